@@ -34,11 +34,16 @@ def alnum_words(text: str | None) -> list[bytes]:
     return encoded(text).translate(_ALNUM).split()
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns _0, _1, ..., and which of them has a name; so names that clash, even by case, do no harm."""
+    first = {c: f"_{i}" for i, c in reversed(list(enumerate(df.columns)))}
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))]), first
+
+
 def pick(df: DataFrame, **wanted: str) -> DataFrame:
-    """Columns new=old chosen by exact name and position, so that extra columns whose names clash (even by case) do no harm."""
-    first = {c: i for i, c in reversed(list(enumerate(df.columns)))}
-    flat = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
-    return flat.select(*[F.col(f"_{first[old]}").alias(new) for new, old in wanted.items()])
+    """Columns new=old, chosen by exact name and position."""
+    flat, first = numbered(df)
+    return flat.select(*[F.col(first[old]).alias(new) for new, old in wanted.items()])
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import NOT_ALNUM, pick, read, stage
+from millrace.llm.common import NOT_ALNUM, numbered, pick, read, stage
 
 WINDOW = 13
 #: Of a benchmark's distinct runs, so many at most become a set inside the plan (16 bytes each); a larger benchmark is joined.
@@ -119,6 +119,14 @@ def decontaminate(
     )
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **names: str) -> DataFrame:
+    """The rows of docs that decontaminate does not call contaminated, with all their columns; cases as there."""
+    bad = decontaminate(docs, benchmark, doc_id, text, **names).where("contaminated").select(F.col("doc_id").alias("id"), "hash").distinct()
+    flat, at = numbered(docs)
+    kept = flat.join(bad, F.col(at[doc_id]).eqNullSafe(F.col("id")) & (F.xxhash64(at[text]) == F.col("hash")), "left_anti")
+    return kept.toDF(*docs.columns)
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("item_ids", "spans", "hash")
 

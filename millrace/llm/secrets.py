@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import pick, read, stage, text_map
+from millrace.llm.common import numbered, pick, read, stage, text_map
 
 #: Kinds in the order in which spans of equal start stand; the first three are the base.
 KINDS = ("assign", "access", "hex", "jwt", "prefixed", "private_key", "entropy")
@@ -127,16 +127,18 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "<SECRET>", **names:
     are as in scan_secrets.
     """
     spans = scan_secrets(docs, text=text, **names).where(F.size("found") > 0)
-    spans = spans.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("_spans"))
-    spans = spans.dropDuplicates(["_id", "_hash"])
-    out = docs.join(spans, F.col(names.get("doc_id", "doc_id")).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left")
+    spans = spans.select(F.col("doc_id").alias("id"), "hash", F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("spans"))
+    spans = spans.dropDuplicates(["id", "hash"])
+    flat, at = numbered(docs)
+    own = at[text]
+    out = flat.join(spans, F.col(at[names.get("doc_id", "doc_id")]).eqNullSafe(F.col("id")) & (F.xxhash64(own) == F.col("hash")), "left")
     cut = F.expr(f"""
-        aggregate(array_sort(_spans), named_struct('at', 0, 'out', cast('' as string)),
+        aggregate(array_sort(spans), named_struct('at', 0, 'out', cast('' as string)),
           (a, x) -> named_struct(
             'at', greatest(a.at, x.end),
-            'out', concat(a.out, if(x.start >= a.at, concat(substring(`{text}`, a.at + 1, x.start - a.at), '{mark}'), ''))),
-          a -> concat(a.out, substring(`{text}`, a.at + 1)))""")
-    return out.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(cut)).select(*docs.columns)
+            'out', concat(a.out, if(x.start >= a.at, concat(substring({own}, a.at + 1, x.start - a.at), '{mark}'), ''))),
+          a -> concat(a.out, substring({own}, a.at + 1)))""")
+    return out.withColumn(own, F.when(F.col("spans").isNull(), F.col(own)).otherwise(cut)).select(*flat.columns).toDF(*docs.columns)
 
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

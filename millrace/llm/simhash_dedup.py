@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import pick, read, space_words, stage, text_map
+from millrace.llm.common import numbered, pick, read, space_words, stage, text_map
 from millrace.llm.components import connected
 
 SHINGLE = 4
@@ -208,8 +208,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each component, the one of least doc_id; all columns stay. Rows that repeat an id are one document. Components of null ids only keep one row."""
-    first = near_duplicates(docs, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(first, F.col(doc_id).eqNullSafe(F.col("_first")), "left_semi").dropDuplicates([doc_id])
+    first = near_duplicates(docs, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first")).distinct()
+    flat, at = numbered(docs)
+    kept = flat.join(first, F.col(at[doc_id]).eqNullSafe(F.col("first")), "left_semi").dropDuplicates([at[doc_id]])
+    return kept.toDF(*docs.columns)
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

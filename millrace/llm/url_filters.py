@@ -57,16 +57,17 @@ def levels(df: DataFrame) -> DataFrame:
 
 def strength(groups: DataFrame, n: str, k: str) -> DataFrame:
     """One row: the prior strength among groups with n outcomes, k of them bad."""
-    rate = F.col(k) / F.col(n)
+    over = F.try_divide  # levels of one group or none have no differences to measure
     sums = groups.where(F.col(n) > 0).agg(
         F.count("*").alias("j"), F.coalesce(F.sum(n), F.lit(0)).alias("n"), F.coalesce(F.sum(k), F.lit(0)).alias("k"),
-        F.sum(F.col(n) * F.col(n)).alias("nn"), F.sum(F.col(k) * rate).alias("kr"),
+        F.sum(F.col(n) * F.col(n)).alias("nn"), F.sum(over(F.col(k) * F.col(k), F.col(n))).alias("kr"),
     )
-    between = (F.col("kr") - F.col("k") * F.col("k") / F.col("n")) / (F.col("j") - 1)
-    within = (F.col("k") - F.col("kr")) / (F.col("n") - F.col("j"))
-    typical = (F.col("n") - F.col("nn") / F.col("n")) / (F.col("j") - 1)
-    rho = (between - within) / (between + (typical - 1) * within)
-    m = F.when((F.col("j") > 1) & (F.col("n") > F.col("j")) & (rho > 0), 1 / rho - 1).otherwise(STRENGTH[1])
+    between = over(F.col("kr") - over(F.col("k") * F.col("k"), F.col("n")), F.col("j") - 1)
+    within = over(F.col("k") - F.col("kr"), F.col("n") - F.col("j"))
+    typical = over(F.col("n") - over(F.col("nn"), F.col("n")), F.col("j") - 1)
+    rho = over(between - within, between + (typical - 1) * within)
+    # Groups that differ no more than chance share most; too few to compare share least.
+    m = F.when((F.col("j") > 1) & (F.col("n") > F.col("j")), F.when(rho > 0, over(F.lit(1.0), rho) - 1).otherwise(STRENGTH[1])).otherwise(STRENGTH[0])
     return sums.select(F.least(F.greatest(m, F.lit(STRENGTH[0])), F.lit(STRENGTH[1])).alias("m"))
 
 
@@ -119,7 +120,7 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     two = ", ".join(f"'{s}'" for s in SUFFIXES)
     last = lambda n: f"array_to_string(string_split(host, '.')[-{n}:], '.')"
-    m = lambda t, n, k: f"""(select least(greatest(case when j > 1 and n > j and (b - w) / nullif(b + (t0 - 1) * w, 0) > 0 then 1 / ((b - w) / (b + (t0 - 1) * w)) - 1 else {STRENGTH[1]} end, {STRENGTH[0]}), {STRENGTH[1]}) from (
+    m = lambda t, n, k: f"""(select least(greatest(case when j > 1 and n > j then case when (b - w) / nullif(b + (t0 - 1) * w, 0) > 0 then 1 / ((b - w) / (b + (t0 - 1) * w)) - 1 else {STRENGTH[1]} end else {STRENGTH[0]} end, {STRENGTH[0]}), {STRENGTH[1]}) from (
       select j, n, (kr - k * k / n) / nullif(j - 1, 0) as b, (k - kr) / nullif(n - j, 0) as w, (n - nn / n) / nullif(j - 1, 0) as t0
       from (select count(*)::double as j, sum({n})::double as n, sum({k})::double as k, sum({n} * {n})::double as nn, sum({k} * {k} / {n}::double) as kr from {t} where {n} > 0)))"""
     case = " ".join(
