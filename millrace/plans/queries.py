@@ -333,7 +333,7 @@ def order_history(spark, sf):
 
 @query(
     f"""with {CATALOG}, s as (select file_id, parent_path, unnest(string_split(parent_path, '/')) as seg, unnest(range(0, len(string_split(parent_path, '/')))) as i from cat),
-k as (select file_id, i, case when not regexp_matches(seg, '[0-9]') then lower(seg) else '?' end as kind from s)
+k as (select file_id, i, case when regexp_full_match(seg, '(19[0-9]{{2}}|20[0-9]{{2}}|2100)') then '<date>' when regexp_full_match(seg, '[0-9]{{2,}}') then '<n>' else lower(seg) end as kind from s)
 select template, count(*) as n_files, count(distinct parent_path) as n_folders, min(parent_path) as example from (select file_id, string_agg(kind, '/' order by i) as template from k group by 1) join cat using (file_id) group by 1"""
 )
 def path_archetypes(spark, sf):
