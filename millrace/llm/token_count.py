@@ -21,7 +21,7 @@ from millrace.llm.common import encoded, pick, read, text_map
 VOCABULARY = "piece_bpe_32k.model"
 OVER_LIMIT = 4096
 #: Pre-tokens whose counts a Python worker remembers; when full, the memory is emptied and filled anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 #: Sequences of more symbols go through a heap, one merge at a time, with the same result.
 LONG = 2_000
 SPACE = "▁"
