@@ -71,7 +71,7 @@ def value_type(raw: Column) -> Column:
         (v.rlike(r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"), "timestamp"),
         (F.startswith(v, F.lit("P")), "duration"),
         (F.startswith(v, F.lit("S-1-")), "sid"),
-        (v.rlike(GUID), "guid"),
+        (F.regexp_replace(v, r"^[{}]+|[{}]+$", "").rlike(GUID), "guid"),
         default="string",
     )
 

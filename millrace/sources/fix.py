@@ -18,7 +18,10 @@ def messages(lines: DataFrame) -> DataFrame:
 
 
 def delimiter(message: Column) -> Column:
-    return F.when(F.contains(message, F.lit(SOH)), SOH).when(F.contains(message, F.lit("|")), "|").when(F.contains(message, F.lit("^A")), "^A").when(message.rlike("^[^ ]*=[^ ]* [^ ]*="), " ").otherwise("|")
+    """SOH, pipe or ^A, the first that is there; space if the first three parts between spaces are fields."""
+    head = F.slice(F.split(message, " "), 1, 3)
+    spaced = F.contains(message, F.lit(" ")) & F.forall(head, lambda p: (p == "") | F.contains(p, F.lit("=")))
+    return F.when(F.contains(message, F.lit(SOH)), SOH).when(F.contains(message, F.lit("|")), "|").when(F.contains(message, F.lit("^A")), "^A").when(spaced, " ").otherwise("|")
 
 
 def fields(message: Column) -> Column:

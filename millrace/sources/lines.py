@@ -47,3 +47,20 @@ def json_pairs(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     each = df.select(*keep, F.explode(pairs).alias("e")).select(*keep, F.col("e.key").alias("key"), F.col("e.value").alias("value_raw"))
     kind = value_type(F.col("value_raw"))
     return each.withColumn("value_type", F.when(F.col("value_raw").isNull(), "empty").otherwise(kind)).withColumn("value_int64", F.when(F.col("value_type") == "int", F.col("value_raw").try_cast("bigint")))
+
+
+def record_types(lines: DataFrame, line: str, keep: list[str], width: int) -> DataFrame:
+    """keep, record_type and column_1..width, all strings, of headerless CSV lines whose second field names their type.
+
+    A trailing colon of the type is dropped; a short line has nulls, a long one loses the rest; a line without a type is left out.
+    """
+    names = [f"column_{i + 1}" for i in range(width)]
+    row = F.from_csv(F.col(line), ", ".join(f"{n} string" for n in names), {"mode": "PERMISSIVE"})
+    flat = lines.select(*keep, row.alias("_r")).select(*keep, "_r.*")
+    kind = F.regexp_replace(F.trim("column_2"), ":$", "")
+    return flat.withColumn("record_type", kind).where("record_type <> ''").select(*keep, "record_type", *names)
+
+
+def tables_by_type(records: DataFrame, types: dict[str, dict[str, str]]) -> dict[str, DataFrame]:
+    """A table for each wanted type: {type: {new name: column}}. Each is a filter and a projection of the same scan."""
+    return {t: records.where(F.col("record_type") == t).select(*[F.col(old).alias(new) for new, old in columns.items()]) for t, columns in types.items()}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text
 from millrace.operators import catalog, contract, inference, paths, sinks
 from millrace.operators.contract import ContractColumn
-from millrace.sources import fix, lines
+from millrace.sources import event_records, fix, fix_outputs, lines
 from millrace.streaming.contract_stream import run_available
 
 LIFECYCLE = [
@@ -111,3 +111,47 @@ def test_stream(spark, tmp_path):
 def test_concentration(spark):
     df = spark.createDataFrame([("a",), ("a",), ("b",), ("b",)], "k string")
     assert paths.concentration(df, "k").first()["concentration"] == 0.0
+
+
+def test_fix_outputs(spark):
+    rows = [
+        "8=FIX.4.4|9=100|35=D|34=2|52=20240102-09:30:00.123|11=A|38=100.12345678905|44=1e2|10=0|", "x=1 comment 8=)", "# 8=FIX mention", "8=FIX.4.4|35=A|34=1|52=20240102-09:30:00|",
+        "8=FIX.4.4|35=8|38=abc|44=9999999999999999999|32=1.5|32=2|", "  8=FIX.4.2 35=0 34=1 ", "plain", "", "8=FIX.4.4|35=|35=Z|35=|",
+    ]
+    df = spark.createDataFrame([("p", i + 1, x, "f") for i, x in enumerate(rows)], "source_path string, line_number long, line string, source_fingerprint string")
+    got = fix_outputs.outputs(df, "America/New_York", (35, 32))
+    assert {k: (len(v.columns), v.count()) for k, v in got.items()} == {"fix_order_lifecycle": (53, 2), "fix_session_events": (29, 2), "fix_parse_errors": (7, 6), "fix_tags": (9, 6)}
+    first, second = got["fix_order_lifecycle"].orderBy("line_number").collect()
+    assert (str(first.order_qty), str(first.price), first.lifecycle_event) == ("100.1234567891", "100.0000000000", "new_order")
+    assert (second.price, second.order_qty, str(second.last_qty)) == (None, None, "2.0000000000")
+    at = got["fix_order_lifecycle"].where("line_number = 1").select(F.unix_millis("sending_time")).first()[0]
+    assert at == 1704205800123
+    assert all(v.count() == 0 for v in fix_outputs.outputs(df.limit(0), "UTC", (35,)).values())
+
+
+RECORD = """{"Event":{"System":{"EventID":{"#text":"0x1F","#attributes":{"Qualifiers":7}},"Version":"x","Level":4,"Task":1.5,"Opcode":true},
+"EventData":{"Data":["a",5,null,"true"],"A":null,"B":[1],"C":{"#text":"12"},"D":{"x":1}},
+"UserData":{"U":{"a":[1,{"b":2},{}],"e":{},"#attributes":{"k":{"z":1}},"#text":"t","n":null}}}}"""
+
+
+def test_event_records(spark):
+    rows = [(1, RECORD), (2, "bad"), (3, '{"System":{"EventID":3},"EventData":"str"}'), (4, '{"Event":{"EventData":{"Data":{"#text":"one"}}}}'), (5, None)]
+    df = spark.createDataFrame(rows, "event_record_id long, record string").withColumn("timestamp", F.lit(None).cast("timestamp"))
+    events = {r.event_record_id: r for r in event_records.events(df).collect()}
+    assert sorted(events) == [1, 3, 4] and len(events[1]) == 21
+    assert (events[1].event_id, events[1].event_qualifiers, events[1].version, events[1].level, events[1].task) == (31, 7, None, 4, None)
+    data = {(r.event_record_id, r.key, r.idx): (r.value_raw, r.value_type) for r in event_records.event_data(df).collect()}
+    assert data == {
+        (1, "A", None): (None, "empty"), (1, "B", None): ("[1]", "json"), (1, "C", None): ("12", "int"), (1, "D", None): ('{"x":1}', "json"), (1, "Data", 0): ("a", "string"),
+        (1, "Data", 1): ("5", "int"), (1, "Data", 2): ("true", "bool"), (4, "Data", 0): ("one", "string"),
+    }
+    user = {(r.key, r.idx): r.value_raw for r in event_records.user_data(df).collect()}
+    assert user == {("U.#attributes.k", None): '{"z":1}', ("U.#text", None): "t", ("U.a", 0): "1", ("U.a.b", 1): "2", ("U.n", None): None}
+    notes = [tuple(r) for r in event_records.annotations(df).collect()]
+    assert len(notes) == 10 and (1, "conversion_failed", "System.Task", "1.5", 4) in notes and (5, "parse_warning", "Event", "Missing Event object", 3) in notes
+
+
+def test_record_types(spark):
+    df = spark.createDataFrame([(1, 'a,T:,"x,y",3'), (2, "b,T"), (3, "c"), (4, ""), (5, None), (6, "d,U,1,2,3,4,5")], "n long, line string")
+    got = {r.n: tuple(r)[1:] for r in lines.record_types(df, "line", ["n"], 4).collect()}
+    assert got == {1: ("T", "a", "T:", "x,y", "3"), 2: ("T", "b", "T", None, None), 6: ("U", "d", "U", "1", "2")}

@@ -7,7 +7,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from millrace.plans.queries import ORACLE_SQL, QUERIES
+from millrace.plans.registry import ORACLE_SQL, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
