@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from millrace.functions.text import failure_category
+from millrace.operators.staging import staged
 
 
 def iteration_metrics(runs: DataFrame, by: str) -> DataFrame:
@@ -37,3 +38,33 @@ def backtest_order(health: DataFrame, file: str = "file") -> DataFrame:
     """Files to test first: failing ones by failures in a row, then resolved, then passing."""
     bucket = F.when(F.col("n_consecutive") > 0, 0).when(F.col("n_passed") < F.col("n_runs"), 1).otherwise(2)
     return health.withColumn("bucket", bucket).orderBy("bucket", F.desc("n_consecutive"), file)
+
+
+def failure_history(runs: DataFrame, file: str = "file", order: str = "run") -> DataFrame:
+    """Files that ever failed: failures, last failing run, its error and category, and whether a later run passed. A partial aggregate; the log is append-only."""
+    bad = ~F.col("passed")
+    h = runs.groupBy(file).agg(
+        F.count_if(bad).alias("n_failures"), F.max(F.when(bad, F.col(order))).alias("last_failure"), F.max_by("error", F.when(bad, F.col(order))).alias("last_error"), F.max_by("passed", order).alias("resolved")
+    )
+    return h.where("n_failures > 0").withColumn("category", failure_category(F.coalesce("last_error", F.lit(""))))
+
+
+def job_status(outputs: DataFrame, job: str = "job_id", status: str = "status") -> DataFrame:
+    """failed over partial_success over success, a row a job."""
+    rank = F.when(F.col(status) == "failed", 2).when(F.col(status) == "partial_success", 1).otherwise(0)
+    worst = F.max(rank)
+    return outputs.groupBy(job).agg(F.when(worst == 2, "failed").when(worst == 1, "partial_success").otherwise("success").alias("status"))
+
+
+def fail_fast(files: DataFrame, history: DataFrame, run, file: str = "file", threshold: float = 0.8, least: int = 3) -> tuple[DataFrame, bool]:
+    """Results of `run` (files to rows of file, passed, error) and whether it stopped early.
+
+    Files with unresolved failures run first, all at once as executors do; if at least `least` of them ran and under
+    `threshold` passed, the rest does not run. The gate reads one row.
+    """
+    open_ = history.where("not resolved").select(file)
+    first = staged(run(files.join(open_, file, "left_semi")), "first")
+    gate = first.agg(F.count("*").alias("n"), F.avg(F.col("passed").cast("int")).alias("rate")).first()
+    if gate["n"] >= least and gate["rate"] < threshold:
+        return first, True
+    return first.unionByName(run(files.join(open_, file, "left_anti"))), False

@@ -143,3 +143,35 @@ def stratified_sample(df: DataFrame, stratum: str, k: int, by: str, seed: int =
     """k rows a stratum. Spark keeps only k rows of each stratum a partition before the shuffle (window group limit)."""
     w = W.partitionBy(stratum).orderBy(seeded(F.col(by), seed), F.col(by))
     return df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).drop("rn")
+
+
+def near_misses(df: DataFrame, extension: str, token: str, glob: str) -> DataFrame:
+    """df with `verdict`: selected if extension, token and glob all fit, near_miss if extension or token does, else other."""
+    path = F.col("rel_path")
+    ext, tok = F.col("extension") == extension, F.contains(F.lower(path), F.lit(token.lower()))
+    return df.withColumn("verdict", F.when(ext & tok & path.rlike(glob_regex(glob)), "selected").when(ext | tok, "near_miss").otherwise("other"))
+
+
+def latest(df: DataFrame, key: str, order: str) -> DataFrame:
+    """The row of greatest `order` of each key, as one aggregate without a sort; ties go to the greatest row."""
+    rest = [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.max(F.struct(order, *[c for c in rest if c != order])).alias("r")).select(key, "r.*")
+
+
+def mark_stale(extractions: DataFrame, extracted: DataFrame, by: str, key: str = "file_id") -> DataFrame:
+    """extractions with status stale for files that extractor `by` has seen; others keep theirs."""
+    seen = extracted.where(F.col("extractor") == by).select(F.col(key).alias("seen_key")).distinct()
+    out = extractions.join(seen, F.col(key) == F.col("seen_key"), "left")
+    return out.withColumn("status", F.when(F.col("seen_key").isNotNull(), "stale").otherwise(F.col("status"))).drop("seen_key")
+
+
+def job_log(jobs: DataFrame, quarantine: DataFrame, job: str = "job_id") -> DataFrame:
+    """jobs with n_quarantined; rows are counted before the join, 0 where there are none."""
+    n = quarantine.groupBy(job).agg(F.count("*").alias("n_quarantined"))
+    return jobs.join(n, job, "left").withColumn("n_quarantined", F.coalesce("n_quarantined", F.lit(0).cast("long")))
+
+
+def materializations(outputs: DataFrame) -> DataFrame:
+    """A record for each output that did not fail: no_data without rows, partial_success with quarantined ones, else success."""
+    status = F.when(F.col("n_rows") + F.col("n_quarantined") == 0, "no_data").when(F.col("n_quarantined") > 0, "partial_success").otherwise("success")
+    return outputs.where(~F.col("failed")).withColumn("status", status).drop("failed")

@@ -51,3 +51,39 @@ def concentration(df: DataFrame, key: str) -> DataFrame:
     p = F.col("n") / F.col("total")
     out = counts.crossJoin(F.broadcast(total)).groupBy("n_keys").agg((-F.sum(p * F.ln(p))).alias("h"))
     return out.select("n_keys", F.round("h", 6).alias("entropy"), F.round(F.when(F.col("n_keys") > 1, 1 - F.col("h") / F.ln("n_keys")).otherwise(1.0), 6).alias("concentration"))
+
+
+#: Types of a placeholder and what they match.
+FIELD_TYPES = {"string": "[^/]+?", "str": "[^/]+?", "int": "[0-9]+", "integer": "[0-9]+", "date": r"\d{4}-?\d{2}-?\d{2}", "uuid": "[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"}
+
+
+def placeholder_regex(pattern: str) -> tuple[str, list[str]]:
+    """Regular expression with a group a field, and the fields' names, of a glob such as `mission_<id:int>/<day:date>/*.csv`.
+
+    Raises for an unclosed, nested, empty, malformed or repeated field and for an unknown type; case matters in no literal.
+    """
+    import re
+
+    names, out = [], ""
+    for part in re.split(r"(<[^<>]*>)", pattern):
+        if part.startswith("<") and part.endswith(">") and len(part) > 1:
+            name, _, kind = part[1:-1].partition(":")
+            if not re.fullmatch("[A-Za-z_][A-Za-z0-9_]*", name):
+                raise ValueError(f"field name {name!r} in {pattern!r}")
+            if name in names:
+                raise ValueError(f"field {name} stands twice in {pattern!r}")
+            if (kind or "string") not in FIELD_TYPES:
+                raise ValueError(f"unknown type {kind!r} in {pattern!r}")
+            names.append(name)
+            out += f"({FIELD_TYPES[kind or 'string']})"
+        elif "<" in part or ">" in part:
+            raise ValueError(f"unclosed or nested field in {pattern!r}")
+        else:
+            out += "".join({"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(x) or re.escape(x) for x in re.findall(r"\*\*/|\*\*|.", part, re.S))
+    return f"(?i)^{out}$", names
+
+
+def placeholder_fields(df: DataFrame, pattern: str, path: str = "rel_path") -> DataFrame:
+    """Rows whose path fits a pattern with placeholders, each field as a column `_cf_path_<name>`."""
+    regex, names = placeholder_regex(pattern)
+    return df.where(F.col(path).rlike(regex)).withColumns({f"_cf_path_{n}": F.regexp_extract(path, regex, i + 1) for i, n in enumerate(names)})

@@ -1,6 +1,6 @@
 """All registered queries: importing a module of queries registers them."""
 
-from millrace.plans import source_queries  # noqa: F401
+from millrace.plans import governance_queries, source_queries  # noqa: F401
 from millrace.plans.queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

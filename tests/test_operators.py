@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import text
-from millrace.operators import catalog, contract, inference, paths, sinks
+from millrace.operators import amend, backtest, catalog, contract, inference, path_groups, paths, sinks
 from millrace.operators.contract import ContractColumn
 from millrace.sources import event_records, fix, fix_outputs, lines
 from millrace.streaming.contract_stream import run_available
@@ -155,3 +155,57 @@ def test_record_types(spark):
     df = spark.createDataFrame([(1, 'a,T:,"x,y",3'), (2, "b,T"), (3, "c"), (4, ""), (5, None), (6, "d,U,1,2,3,4,5")], "n long, line string")
     got = {r.n: tuple(r)[1:] for r in lines.record_types(df, "line", ["n"], 4).collect()}
     assert got == {1: ("T", "a", "T:", "x,y", "3"), 2: ("T", "b", "T", None, None), 6: ("U", "d", "U", "1", "2")}
+
+
+def test_fuzzy_literals(spark):
+    cases = {("abc", "abcdef"): True, ("ns", "netsuite"): True, ("small", "smell"): True, ("longerword", "longerwords"): False, ("xyz", "abc"): False, ("a.c", "abcdefgh"): False, ("", "a"): False}
+    df = spark.createDataFrame(list(cases), "a string, b string").select("a", "b", path_groups.fuzzy(F.col("a"), F.col("b")).alias("f"))
+    assert {(r.a, r.b): r.f for r in df.collect()} == cases
+
+
+def test_variant_groups(spark):
+    found = [f"fin/{a}/ap_aging/rep_{20240101 + i}.csv" for a in ("netsuite", "ns", "payroll") for i in range(5)] + ["gl/x.csv"]
+    got = path_groups.variant_groups(spark.createDataFrame([(p,) for p in found], "rel_path string")).collect()
+    assert {(r.group, r.template) for r in got} == {("fin/netsuite/ap_aging", "fin/netsuite/ap_aging"), ("fin/netsuite/ap_aging", "fin/ns/ap_aging")}
+
+
+def test_synonyms(spark):
+    base = [("cfg/tmp",), ("cfg/temp",), ("cfg/apps",), ("app/x1",), ("apps/reports",), ("apps/repor",)]
+    df = spark.createDataFrame(base * 6, "rel_path string")
+    got = {(r.short_form, r.canonical_form, r.score) for r in path_groups.synonyms(df, top=None).collect()}
+    assert got == {("cfg", "config", 3), ("app", "application", 3), ("tmp", "temp", 3), ("tmp", "temp", 2), ("app", "apps", 3), ("repor", "reports", 2)}
+    assert path_groups.synonyms(df).count() == 5 and path_groups.synonyms(df.limit(29)).count() == 0
+
+
+def test_least_reachable(spark):
+    chain = [(i, i + 1) for i in range(40)] + [(100, 102), (101, 102)]
+    got = {r.node: r.root for r in path_groups.least_reachable(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
+
+
+def test_placeholders(spark):
+    df = spark.createDataFrame([("mission_042/20240115/a.csv",), ("mission_x/20240115/a.csv",), ("b/mission_7/2024-01-15/c.csv",)], "rel_path string")
+    got = paths.placeholder_fields(df, "**/mission_<id:int>/<day:date>/*.csv").collect()
+    assert {(r._cf_path_id, r._cf_path_day) for r in got} == {("042", "20240115"), ("7", "2024-01-15")}
+    for bad in ("<a", "a>", "<a><a>", "<a:money>", "<1a>", "<a<b>>", "<>"):
+        with pytest.raises(ValueError):
+            paths.placeholder_regex(bad)
+
+
+def test_fail_fast(spark):
+    history = spark.createDataFrame([(i, False) for i in range(4)] + [(9, True)], "file long, resolved boolean")
+    run = lambda rate: lambda f: f.select("file", (F.col("file") % 4 < rate).alias("passed"))
+    files = spark.range(10).toDF("file")
+    for rate, n, stopped in ((3, 4, True), (4, 10, False)):
+        got, early = backtest.fail_fast(files, history, run(rate))
+        assert (got.count(), early) == (n, stopped)
+
+
+def test_changes(spark):
+    df = spark.createDataFrame([("1", None), ("x", "b")], "a string, b string")
+    got = amend.apply_changes(df, [amend.Change("retype", "a", "int"), amend.Change("default", "b", default="z"), amend.Change("rename", "b", "c"), amend.Change("reorder", to="c")])
+    assert got.columns == ["c", "a"] and {tuple(r) for r in got.collect()} == {("z", 1), ("b", None)}
+    for bad in (amend.Change("remove", "q"), amend.Change("reorder", to="q"), amend.Change("add", "a", "int"), amend.Change("rename", "a", "b"), amend.Change("turn", "a")):
+        with pytest.raises(ValueError):
+            amend.apply_changes(df, [bad])
+    assert amend.proposals(df.limit(0), [ContractColumn("a", "int"), ContractColumn("b", "string", False)]).count() == 0
