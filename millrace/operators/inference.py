@@ -13,12 +13,17 @@ DATE_FORMATS = (
     ("%Y-%m-%d", r"^(\d{4})-(\d{1,2})-(\d{1,2})$", "ymd"),
     ("%Y/%m/%d", r"^(\d{4})/(\d{1,2})/(\d{1,2})$", "ymd"),
     ("%d/%m/%Y", r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "dmy"),
-    ("%m/%d/%Y", r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "mdy"),
     ("%d-%m-%Y", r"^(\d{1,2})-(\d{1,2})-(\d{4})$", "dmy"),
-    ("%m-%d-%Y", r"^(\d{1,2})-(\d{1,2})-(\d{4})$", "mdy"),
     ("%d.%m.%Y", r"^(\d{1,2})\.(\d{1,2})\.(\d{4})$", "dmy"),
+    ("%m/%d/%Y", r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "mdy"),
+    ("%m-%d-%Y", r"^(\d{1,2})-(\d{1,2})-(\d{4})$", "mdy"),
     ("%d/%m/%y", r"^(\d{1,2})/(\d{1,2})/(\d{2})$", "dmy"),
     ("%m/%d/%y", r"^(\d{1,2})/(\d{1,2})/(\d{2})$", "mdy"),
+    ("%d-%m-%y", r"^(\d{1,2})-(\d{1,2})-(\d{2})$", "dmy"),
+    ("%m-%d-%y", r"^(\d{1,2})-(\d{1,2})-(\d{2})$", "mdy"),
+    ("%y/%m/%d", r"^(\d{2})/(\d{1,2})/(\d{1,2})$", "ymd"),
+    ("%Y%m%d", r"^(\d{4})(\d{2})(\d{2})$", "ymd"),
+    ("%y%m%d", r"^(\d{2})(\d{2})(\d{2})$", "ymd"),
 )
 TYPES = ("boolean", "integer", "float", "date", "datetime", "time", "duration", "string")
 
@@ -55,8 +60,16 @@ def fits(v: Column) -> dict[str, Column]:
     }
 
 
-def infer(df: DataFrame, columns: list[str]) -> DataFrame:
-    """A row a column: possible types, resolved type, formats that survive, nulls, and distinct state. One pass over the table."""
+def infer(df: DataFrame, columns: list[str], cannot_be: dict[str, tuple[str, ...]] | None = None, must_be: dict[str, str] | None = None) -> DataFrame:
+    """A row a column: possible types, resolved type, formats that survive, nulls, and distinct state. One pass over the table.
+
+    Hints rule types out beforehand: cannot_be lists those of a column, must_be leaves one (and string).
+    """
+    hinted = {c: set(ts) for c, ts in (cannot_be or {}).items()}
+    for c, t in (must_be or {}).items():
+        hinted[c] = hinted.get(c, set()) | set(TYPES) - {t, "string"}
+    if unknown := set().union(*hinted.values()) - set(TYPES):
+        raise ValueError(f"unknown types {sorted(unknown)}")
     texts = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("v")) for c in columns])).alias("x")).select("x.*")
     v = F.col("v")
     null = is_null(v)
@@ -66,7 +79,8 @@ def infer(df: DataFrame, columns: list[str]) -> DataFrame:
         F.count_if(null).alias("n_null"), F.count_if(~null).alias("n_values"),
         *[x.alias(f"_{t}") for t, x in flags.items()], *[x.alias(f"__{i}") for i, x in enumerate(formats.values())],
     )
-    left = F.array_compact(F.array(*[F.when(F.col(f"_{t}"), F.lit(t)) for t in TYPES]))
+    allowed = {t: ~F.col("name").isin(*[c for c, ts in hinted.items() if t in ts]) if any(t in ts for ts in hinted.values()) else F.lit(True) for t in TYPES}
+    left = F.array_compact(F.array(*[F.when(F.col(f"_{t}") & allowed[t], F.lit(t)) for t in TYPES]))
     survivors = F.array_compact(F.array(*[F.when(F.col(f"__{i}"), F.lit(f)) for i, f in enumerate(formats)]))
     typed = F.filter("possible", lambda t: t != "string")
     state = (
@@ -74,3 +88,17 @@ def infer(df: DataFrame, columns: list[str]) -> DataFrame:
         .when((F.size(typed) == 2) & F.array_contains(typed, "integer") & F.array_contains(typed, "float"), "integer").otherwise("ambiguous")
     )
     return agg.withColumn("possible", left).select("name", "n_null", "n_values", F.array_join("possible", ",").alias("possible"), state.alias("resolved"), F.array_join(survivors, ",").alias("date_formats"))
+
+
+def intents(inferred: DataFrame) -> DataFrame:
+    """name, declared_type, nullable, null_rate, candidates, method and the question to ask where several types are left, for rows of infer()."""
+    typed = F.filter(F.split("possible", ","), lambda t: (t != "") & (t != "string"))
+    open_ = F.col("resolved") == "ambiguous"
+    candidates = F.when(open_, typed).when(F.col("resolved") == "null", F.array(F.lit("string"))).otherwise(F.array("resolved"))
+    total = F.col("n_null") + F.col("n_values")
+    out = inferred.withColumn("candidates", candidates)
+    return out.select(
+        "name", F.col("candidates")[0].alias("declared_type"), (F.col("n_null") > 0).alias("nullable"), F.round(F.when(total > 0, F.col("n_null") / total).otherwise(0.0), 6).alias("null_rate"),
+        F.array_join("candidates", ",").alias("candidates"), F.when(open_ | (F.col("n_values") == 0), "ambiguous_requires_human").otherwise("constraint_elimination").alias("method"),
+        F.when(open_, F.concat(F.lit("Column '"), "name", F.lit("' has ambiguous type. Which type should be used?"))).alias("question"),
+    )

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from millrace.operators import amend, backtest, catalog, confidence, inference, path_groups, paths
+from millrace.operators import amend, backtest, catalog, confidence, inference, parsers, path_groups, paths
 from millrace.operators.amend import Change
 from millrace.operators.contract import ContractColumn
 from millrace.plans.queries import CATALOG, FIELDS, RUNS, files, query, runs, table
@@ -168,3 +169,45 @@ def materialization_records(spark, sf):
     q = F.col("l_quantity")
     outputs = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("output")).agg(F.count_if(q > 10).alias("n_rows"), F.count_if(q > 45).alias("n_quarantined"))
     return catalog.materializations(outputs.withColumn("failed", F.col("output") % 9 == 0))
+
+
+@query("""select 'bit' as name, 'boolean' as declared_type, false as nullable, 0.0::double as null_rate, 'boolean,integer,float' as candidates, 'ambiguous_requires_human' as method, 'Column ''bit'' has ambiguous type. Which type should be used?' as question
+union all select 'price', 'float', true, round(count(*) filter (o_orderkey % 3 = 0) / count(*), 6), 'float', 'constraint_elimination', null from orders
+union all select 'void', 'string', true, 1.0, 'string', 'ambiguous_requires_human', null""")
+def column_intents(spark, sf):
+    k = F.col("o_orderkey")
+    df = table(spark, sf, "orders").select((k % 2).cast("string").alias("bit"), F.when(k % 3 != 0, F.concat(k.cast("string"), F.lit(".5"))).alias("price"), F.lit("").alias("void"))
+    return inference.intents(inference.infer(df, df.columns))
+
+
+def parsed_documents(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Documents as files for a Python parser of two outputs; it gives up on some."""
+
+    def parse(path: str, content: bytes):
+        if int(path) % 10 == 3:
+            raise ValueError(f"no parser for {path}")
+        yield "summary", {"n_bytes": len(content), "n_lines": content.count(b"\n") + 1}
+        for line in content.split(b"\n"):
+            if b"@" in line:
+                yield "mail", {"n_bytes": len(line)}
+
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    return parsers.run_parser(docs, parse, {"summary": StructType().add("n_bytes", "long").add("n_lines", "long"), "mail": StructType().add("n_bytes", "long")})
+
+
+DOCS = "d as (select cast(doc_id as varchar) as p, doc_id, coalesce(text, '') as text from documents)"
+
+
+@query(f"with {DOCS} select octet_length(encode(text)) as n_bytes, len(string_split(text, chr(10))) as n_lines, p as _source_path, 0 as _source_row from d where doc_id % 10 <> 3")
+def parser_summaries(spark, sf):
+    return parsed_documents(spark, sf)["summary"]
+
+
+@query(f"with {DOCS}, l as (select p, unnest(string_split(text, chr(10))) as line, unnest(range(0, len(string_split(text, chr(10))))) as i from d where doc_id % 10 <> 3) select octet_length(encode(line)) as n_bytes, p as _source_path, row_number() over (partition by p order by i) - 1 as _source_row from l where contains(line, '@')")
+def parser_mail_lines(spark, sf):
+    return parsed_documents(spark, sf)["mail"]
+
+
+@query("select cast(doc_id as varchar) as path, 'ValueError: no parser for ' || doc_id as error from documents where doc_id % 10 = 3")
+def parser_errors(spark, sf):
+    return parsed_documents(spark, sf)["_errors"]

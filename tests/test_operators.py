@@ -2,9 +2,10 @@
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from millrace.functions import text
-from millrace.operators import amend, backtest, catalog, contract, inference, path_groups, paths, sinks
+from millrace.operators import amend, backtest, catalog, contract, inference, parsers, path_groups, paths, sinks
 from millrace.operators.contract import ContractColumn
 from millrace.sources import event_records, fix, fix_outputs, lines
 from millrace.streaming.contract_stream import run_available
@@ -71,7 +72,16 @@ def test_globs(spark):
 def test_inference(spark):
     df = spark.createDataFrame([("1", "31/05/24", "12:30", "1h", "true"), ("0", "01/02/24", "NA", "2 days", "no"), ("", None, "3:5", "PT5M", "y")], "bits string, day string, at string, took string, flag string")
     got = {r.name: (r.resolved, r.date_formats) for r in inference.infer(df, df.columns).collect()}
-    assert got["bits"][0] == "ambiguous" and got["day"] == ("date", "%d/%m/%y") and got["at"][0] == "time" and got["took"][0] == "duration" and got["flag"][0] == "boolean"
+    assert got["bits"][0] == "ambiguous" and got["day"] == ("date", "%d/%m/%y,%y/%m/%d") and got["at"][0] == "time" and got["took"][0] == "duration" and got["flag"][0] == "boolean"
+
+
+def test_inference_hints(spark):
+    df = spark.createDataFrame([("1", "240115"), ("0", "991231")], "bits string, day string")
+    at = lambda **h: {r.name: r.resolved for r in inference.infer(df, df.columns, **h).collect()}
+    assert at() == {"bits": "ambiguous", "day": "ambiguous"}
+    assert at(cannot_be={"bits": ("boolean",)}, must_be={"day": "date"}) == {"bits": "integer", "day": "date"}
+    with pytest.raises(ValueError):
+        at(cannot_be={"bits": ("money",)})
 
 
 def test_second_run_finds_nothing(spark):
@@ -209,3 +219,28 @@ def test_changes(spark):
         with pytest.raises(ValueError):
             amend.apply_changes(df, [bad])
     assert amend.proposals(df.limit(0), [ContractColumn("a", "int"), ContractColumn("b", "string", False)]).count() == 0
+
+
+def test_parsers(spark):
+    def parse(path, content):
+        for i, line in enumerate(content.decode().split("\n")):
+            if line == "boom":
+                raise RuntimeError("bad line")
+            yield ("long_lines" if len(line) > 3 else "lines"), {"n": i, "text": line, "other": 1}
+
+    def odd(path, content):
+        yield "nowhere", {}
+
+    files = spark.createDataFrame([("a", bytearray(b"x\nlonger\ny")), ("b", bytearray(b"z\nboom")), ("c", None), ("d", bytearray(b"\xff"))], "path string, content binary")
+    shape = StructType().add("n", "long").add("text", "string")
+    got = parsers.run_parser(files, parse, {"lines": shape, "long_lines": shape})
+    assert {tuple(r) for r in got["lines"].collect()} == {(0, "x", "a", 0), (2, "y", "a", 1), (0, "", "c", 0)}
+    assert [tuple(r) for r in got["long_lines"].collect()] == [(1, "longer", "a", 0)]
+    assert {r.path: r.error.split(":")[0] for r in got["_errors"].collect()} == {"b": "RuntimeError", "d": "UnicodeDecodeError"}
+    assert parsers.preview(got, 1)["lines"].collect()[0].text == "x"
+    assert parsers.run_parser(files, odd, {"lines": shape})["_errors"].count() == 4
+    assert all(v.count() == 0 for v in parsers.run_parser(files.limit(0), parse, {"lines": shape}).values())
+    meta = parsers.extract(files, lambda p, c: {"size": len(c), "text": c.decode()}).collect()
+    assert {r.path: r.status for r in meta} == {"a": "ok", "b": "ok", "c": "ok", "d": "error"}
+    log = spark.createDataFrame([("e", i, "ok" if i == 1 else "error") for i in range(5)] + [("f", i, "error") for i in range(2)], "extractor string, run long, status string")
+    assert [tuple(r) for r in parsers.paused(log).collect()] == [("e", 3)]
