@@ -207,11 +207,29 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each component, the one of least doc_id; all columns stay. Rows that repeat an id are one document. Components of null ids only keep one row."""
-    first = near_duplicates(docs, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first")).distinct()
+    """docs with one row of each component, the one of least (doc_id, hash of the whole text), null ids last; all columns stay.
+
+    Rows that repeat both id and text are one document; other texts under the same id, or under none, are documents of their own.
+    """
     flat, at = numbered(docs)
-    kept = flat.join(first, F.col(at[doc_id]).eqNullSafe(F.col("first")), "left_semi").dropDuplicates([at[doc_id]])
-    return kept.toDF(*docs.columns)
+    keyed = flat.withColumn("hash", F.sha2(F.col(at[text]), 256))
+
+    def make() -> Callable[[list], list]:
+        return lambda texts: [(signed(fingerprint(t)),) for t in texts]
+
+    rows = keyed.select(F.col(at[doc_id]).alias("doc_id"), "hash", F.col(at[text]).alias("text"))
+    fps = stage(text_map(rows, make, "fp long", keep=("doc_id", "hash")), "fingerprints")
+    distinct = stage(fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("first")), "distinct")
+    roots = connected(links(distinct.select("fp"), distinct.count()))
+    return least_rows(keyed, at[doc_id], distinct, roots).toDF(*docs.columns)
+
+
+def least_rows(keyed: DataFrame, doc_id: str, distinct: DataFrame, roots: DataFrame) -> DataFrame:
+    """Of each root, the rows of keyed with its least `first` (none, doc_id, hash) among the fingerprints in distinct, each once, without the hash."""
+    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("first", F.coalesce("root", "fp").alias("root"))
+    first = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("first_id"), F.col("first.hash").alias("first_hash"))
+    kept = keyed.join(first, F.col(doc_id).eqNullSafe(F.col("first_id")) & F.col("hash").eqNullSafe(F.col("first_hash")), "left_semi")
+    return kept.dropDuplicates([doc_id, "hash"]).drop("hash")
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
