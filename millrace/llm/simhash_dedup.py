@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm import jaccard_dedup
 from millrace.llm.common import numbered, pick, read, space_words, stage, text_map
 from millrace.llm.components import connected
 
@@ -206,21 +207,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return fps.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each component, the one of least (doc_id, hash of the whole text), null ids last; all columns stay.
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = jaccard_dedup.SHINGLE, threshold: float = jaccard_dedup.THRESHOLD) -> DataFrame:
+    """docs with one row of each group of near-duplicates, the one of least (doc_id, hash of the whole text), null ids last; all columns stay.
 
+    Near-duplicates are texts whose shingle sets have a Jaccard similarity of `threshold` or more, and what these connect.
     Rows that repeat both id and text are one document; other texts under the same id, or under none, are documents of their own.
     """
     flat, at = numbered(docs)
     keyed = flat.withColumn("hash", F.sha2(F.col(at[text]), 256))
-
-    def make() -> Callable[[list], list]:
-        return lambda texts: [(signed(fingerprint(t)),) for t in texts]
-
     rows = keyed.select(F.col(at[doc_id]).alias("doc_id"), "hash", F.col(at[text]).alias("text"))
-    fps = stage(text_map(rows, make, "fp long", keep=("doc_id", "hash")), "fingerprints")
-    distinct = stage(fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("first")), "distinct")
-    roots = connected(links(distinct.select("fp"), distinct.count()))
+    distinct, roots = jaccard_dedup.jaccard_roots(rows, shingle, threshold)
     return least_rows(keyed, at[doc_id], distinct, roots).toDF(*docs.columns)
 
 
