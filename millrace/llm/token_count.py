@@ -1,8 +1,10 @@
 """Token counts by rank-synchronous array merging.
 
 Pre-tokens of a whole batch lie in one ragged numpy array. In each round every sequence looks up its neighbouring pairs,
-takes its pair of lowest rank and merges it, all sequences at once; a sequence without a known pair is done. Symbols that
-survive are counted, a character outside the vocabulary as its UTF-8 bytes.
+takes its pair of lowest rank and merges it, all sequences at once; a sequence without a known pair is done. A very long
+sequence has rounds of its own, and finds its pairs of lowest rank in lists of positions kept by rank instead of by a look
+at all of its symbols; the merges are the same. Symbols that survive are counted, a character outside the vocabulary
+as its UTF-8 bytes.
 """
 
 from __future__ import annotations
@@ -11,7 +13,6 @@ import heapq
 import re
 from collections.abc import Callable
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -20,14 +21,17 @@ from millrace.llm.common import encoded, pick, read, text_map
 
 VOCABULARY = "piece_bpe_32k.model"
 OVER_LIMIT = 4096
-#: Pre-tokens whose counts a Python worker remembers; when full, the memory is emptied and filled anew.
-REMEMBERED = 200_000
-#: Sequences of more symbols go through a heap, one merge at a time, with the same result.
+#: Pre-tokens of one generation that a Python worker remembers; there are two generations.
+REMEMBERED = 300_000
+#: Sequences of more symbols keep their pairs' positions by rank.
 LONG = 2_000
+#: Symbols merged at a time; bounds the arrays.
+AT_ONCE = 2_000_000
 SPACE = "▁"
 #: No piece has a space mark after another character, and none a line feed, so no merge crosses these borders.
 PRETOKEN = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+")
 _NONE = np.iinfo(np.int64).max
+_MIX = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
 def vocabulary_path(name: str) -> str:
@@ -44,6 +48,57 @@ def pretokens(text: str | None) -> list[str]:
     return PRETOKEN.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
+class Memory:
+    """What is known of pre-tokens. When the young generation is full it becomes the old one; what is met again comes back from there, the rest goes with it."""
+
+    def __init__(self, most: int = REMEMBERED) -> None:
+        self.most, self.young, self.old = most, {}, {}
+
+    def unknown(self, words: set[str]) -> list[str]:
+        """Of these words, those to be learned; the others are in the young generation afterwards."""
+        missing = words.difference(self.young)
+        if len(self.young) + len(missing) > self.most:
+            self.old, self.young, missing = self.young, {}, words
+        again = missing.intersection(self.old)
+        self.young.update(zip(again, map(self.old.__getitem__, again)))
+        return list(missing.difference(again))
+
+
+class PairTable:
+    """Known pairs (first * n + second) and what they become: a hash table in arrays, with a second one for slots that are taken."""
+
+    def __init__(self, keys: np.ndarray, made: np.ndarray) -> None:
+        self.keys, self.made = np.r_[keys, np.int64(-1)], np.r_[made, np.int64(0)]
+        self.shift = 64 - max(4, int(len(keys) * 8).bit_length())
+        self.levels: list[np.ndarray] = []
+        left = np.arange(len(keys))
+        while len(left):
+            table = np.full(1 << (64 - self.shift), -1, np.int32)
+            slot = self._slot(self.keys[left], len(self.levels))
+            table[slot] = left
+            self.levels.append(table)
+            left = left[table[slot] != left]
+
+    def _slot(self, keys: np.ndarray, level: int) -> np.ndarray:
+        mix = np.uint64((_MIX[level % 2] + 2 * (level // 2) * _MIX[0]) % (1 << 64) | 1)
+        return ((keys.view(np.uint64) * mix) >> np.uint64(self.shift)).view(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Index of each key, or -1."""
+        found = self.levels[0][self._slot(keys, 0)]
+        wrong = np.flatnonzero(self.keys[found] != keys)
+        found[wrong[found[wrong] < 0]] = -1
+        wrong = wrong[found[wrong] >= 0]
+        for level in range(1, len(self.levels)):
+            if not len(wrong):
+                break
+            again = self.levels[level][self._slot(keys[wrong], level)]
+            found[wrong] = again
+            wrong = wrong[(again >= 0) & (self.keys[again] != keys[wrong])]
+        found[wrong] = -1
+        return found
+
+
 class Merger:
     def __init__(self, name: str = VOCABULARY) -> None:
         import sentencepiece
@@ -56,103 +111,136 @@ class Merger:
         crossing = [p for p in self.ids if re.search(f"[^{SPACE}]{SPACE}", p) or "\n" in p]
         if crossing:
             raise ValueError(f"pieces cross the borders of pre-tokens: {crossing[:3]}")
-        self.pairs: dict[tuple[int, int], int] = {}
+        pairs: dict[tuple[int, int], int] = {}
         alone = np.zeros(n, bool)  # merging all of a sequence's pairs of such a piece at once might pass over a lower rank
         for p, i in self.ids.items():
             for k in range(1, len(p)):
                 a, b = self.ids.get(p[:k]), self.ids.get(p[k:])
                 if a is not None and b is not None:
-                    self.pairs[a, b] = i
+                    pairs[a, b] = i
                 for x in (a, b):
                     if x is not None and rank[i] <= rank[x]:
                         alone[x] = True
-        keys = np.array([a * n + b for a, b in self.pairs], np.int64)
-        made = np.array(list(self.pairs.values()), np.int64)
-        order = np.argsort(keys)
-        self.keys, self.made = keys[order], made[order]
-        self.rank, self.alone = rank, alone
+        self.table = PairTable(np.array([a * n + b for a, b in pairs], np.int64), np.array(list(pairs.values()), np.int64))
+        self.become = dict(zip(self.table.keys.tolist(), self.table.made.tolist()))
+        self.rank, self.alone, self.ranks = rank, alone, rank.tolist()
+        #: Symbol of each code point; one outside the vocabulary is size + its number of UTF-8 bytes.
+        self.point = np.repeat(np.arange(n + 1, n + 5, dtype=np.int32), [0x80, 0x780, 0xF800, 0x100000])
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.point[ord(p)] = i
 
-    def symbols(self, word: str) -> list[int]:
-        """Ids of the single characters; one outside the vocabulary is size + its number of UTF-8 bytes."""
-        get = self.ids.get
-        return [i if (i := get(c)) is not None else self.size + len(c.encode("utf-8", "surrogatepass")) for c in word]
+    def symbols(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of the single characters of all words, and how many each word has."""
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        return self.point[points].astype(np.int64), np.fromiter(map(len, words), np.int64, len(words))
+
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the known pairs of two arrays of symbols, and the piece each becomes."""
+        found = self.table.find(np.where((a < self.size) & (b < self.size), a * self.size + b, -2))
+        at = np.flatnonzero(found >= 0)
+        return at, self.table.made[found[at]]
 
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Surviving symbols of all words, one after another, and how many each word has."""
-        long = {i for i, w in enumerate(words) if len(w) > LONG}
-        lists = [self.symbols(w) for i, w in enumerate(words) if i not in long]
-        done = dict(zip((i for i in range(len(words)) if i not in long), self._rounds(lists)))
-        done |= {i: np.array(self.merge_heap(self.symbols(words[i])), np.int64) for i in long}
-        parts = [done[i] for i in range(len(words))]
-        return (np.concatenate(parts) if parts else np.zeros(0, np.int64)), np.array([len(p) for p in parts], np.int64)
-
-    def _rounds(self, lists: list[list[int]]) -> list[np.ndarray]:
-        sizes = np.array([len(x) for x in lists], np.int64)
-        sym = np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum()))
-        seq = np.repeat(np.arange(len(lists)), sizes)
-        out_sym, out_seq = [], []
+        parts, sizes, at = [], [], 0
+        while at < len(words):
+            if len(words[at]) > LONG:
+                stop = at + 1
+                parts.append(self.by_rank(self.symbols(words[at:stop])[0]))
+                sizes.append(np.array([len(parts[-1])], np.int64))
+            else:
+                stop, total = at, 0
+                while stop < len(words) and len(words[stop]) <= LONG and total < AT_ONCE:
+                    total += len(words[stop])
+                    stop += 1
+                sym, n = self.rounds(*self.symbols(words[at:stop]))
+                parts.append(sym)
+                sizes.append(n)
+            at = stop
+        return (np.concatenate(parts), np.concatenate(sizes)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def rounds(self, sym: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(sizes)
+        seq = np.repeat(np.arange(n), sizes)
+        out_sym, out_seq = [sym[:0]], [seq[:0]]
         while len(sym):
-            at, ranks = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            if len(sym) > 1:
-                key = sym[:-1] * self.size + sym[1:]
-                slot = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                at = np.flatnonzero((self.keys[slot] == key) & (seq[:-1] == seq[1:]) & (sym[:-1] < self.size) & (sym[1:] < self.size))
-                made = self.made[slot[at]]
-                ranks = self.rank[made]
-            busy = np.zeros(len(lists), bool)
+            at, made = self.pairs(sym[:-1], sym[1:])
+            same = seq[at] == seq[at + 1]
+            at, made = at[same], made[same]
+            busy = np.zeros(n, bool)
             busy[seq[at]] = True
-            if not busy.all():
-                idle = ~busy[seq]
-                out_sym.append(sym[idle])
-                out_seq.append(seq[idle])
+            active = busy[seq]
+            if not active.all():
+                out_sym.append(sym[~active])
+                out_seq.append(seq[~active])
             if not len(at):
                 break
-            owner = seq[at]
+            ranks, owner = self.rank[made], seq[at]
             first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             best = np.repeat(np.minimum.reduceat(ranks, first), np.diff(np.r_[first, len(owner)]))
             chosen = ranks == best
             at, made, owner = at[chosen], made[chosen], owner[chosen]
-            start = np.r_[True, owner[1:] != owner[:-1]]
-            run = start | (np.r_[-9, at[:-1]] + 1 != at)
-            place = np.arange(len(at)) - np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-            lead = np.flatnonzero(start)
-            single = np.repeat(self.alone[made[lead]], np.diff(np.r_[lead, len(at)]))
-            use = np.where(single, start, place % 2 == 0)
+            use = self.apart(at, owner, made, at[1:] == at[:-1] + 1)
             sym[at[use]] = made[use]
-            stay = busy[seq]
-            stay[at[use] + 1] = False
-            sym, seq = sym[stay], seq[stay]
-        if not out_sym:
-            return [np.zeros(0, np.int64) for _ in lists]
+            active[at[use] + 1] = False
+            sym, seq = sym[active], seq[active]
         sym, seq = np.concatenate(out_sym), np.concatenate(out_seq)
-        order = np.argsort(seq, kind="stable")
-        return np.split(sym[order], np.cumsum(np.bincount(seq, minlength=len(lists)))[:-1])
-
-    def merge_heap(self, sym: list[int]) -> list[int]:
-        """The same merges one at a time: lowest rank first, then leftmost."""
+        return sym[np.argsort(seq, kind="stable")], np.bincount(seq, minlength=n)
+
+    def apart(self, at: np.ndarray, owner: np.ndarray, made: np.ndarray, touches: np.ndarray) -> np.ndarray:
+        """Which of the chosen pairs are merged: every other one of a run that touches, or a sequence's first alone where the rest might have to wait."""
+        start = np.r_[True, owner[1:] != owner[:-1]]
+        run = start | np.r_[True, ~touches]
+        count = np.arange(len(at))
+        place = count - np.maximum.accumulate(np.where(run, count, 0))
+        lead = np.flatnonzero(start)
+        single = np.repeat(self.alone[made[lead]], np.diff(np.r_[lead, len(at)]))
+        return np.where(single, start, place % 2 == 0)
+
+    def by_rank(self, sym: np.ndarray) -> np.ndarray:
+        """The same rounds for one long sequence: a round has the positions that wait under the lowest rank, and merged symbols are passed over by links."""
+        out = [*sym.tolist(), self.size]  # the end is a symbol without pairs
         n = len(sym)
-        nxt, prev, live = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap: list[tuple[int, int, int, int]] = []
-
-        def offer(i: int) -> None:
-            j = nxt[i]
-            if j < n and (m := self.pairs.get((sym[i], sym[j]))) is not None:
-                heapq.heappush(heap, (int(self.rank[m]), i, sym[i], sym[j]))
-
-        for i in range(n - 1):
-            offer(i)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = nxt[i] if live[i] else n
-            if j >= n or sym[i] != a or sym[j] != b:
-                continue
-            sym[i], live[j], nxt[i] = self.pairs[a, b], False, nxt[j]
-            if nxt[j] < n:
-                prev[nxt[j]] = i
-            offer(i)
-            if prev[i] >= 0:
-                offer(prev[i])
-        return [s for s, alive in zip(sym, live) if alive]
+        after, before = list(range(1, n + 2)), list(range(-1, n))
+        piece = [-1] * (n + 1)
+        waiting: dict[int, list[int]] = {}
+        order: list[int] = []
+
+        def offer(p: int, made: int) -> None:
+            piece[p] = made
+            if made >= 0:
+                r = self.ranks[made]
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(order, r)
+                waiting[r].append(p)
+
+        at, made = self.pairs(sym[:-1], sym[1:])
+        for p, m in zip(at.tolist(), made.tolist()):
+            offer(p, m)
+        while order:
+            r = heapq.heappop(order)
+            some = sorted(set(waiting.pop(r)))
+            for k, p in enumerate(some):
+                made = piece[p]
+                if made < 0 or self.ranks[made] != r:
+                    continue  # it was merged otherwise since, or by the one before it in this round
+                gone = after[p]
+                out[p], out[gone], piece[gone] = made, -1, -1
+                after[p] = after[gone]
+                before[after[p]] = p
+                for q in (before[p], p):
+                    if q >= 0:
+                        a, b = out[q], out[after[q]]
+                        offer(q, self.become.get(a * self.size + b, -1) if a < self.size and b < self.size else -1)
+                if self.alone[made] and order and order[0] <= r:  # the rest has to wait for what this merge has brought
+                    if r not in waiting:
+                        waiting[r] = []
+                        heapq.heappush(order, r)
+                    waiting[r] += some[k + 1 :]
+                    break
+        return np.array([x for x in out[:n] if x >= 0], np.int64)
 
     def weights(self, sym: np.ndarray) -> np.ndarray:
         return np.where(sym < self.size, 1, sym - self.size)
@@ -163,22 +251,21 @@ def merger(name: str = VOCABULARY) -> Merger:
     return Merger(name)
 
 
-_COUNTS: dict[str, dict[str, int]] = {}
+@lru_cache(2)
+def counts_of(name: str) -> Memory:
+    """One a Python worker, kept from task to task."""
+    return Memory()
 
 
 def counter(name: str) -> Callable[[list], list]:
     def work(texts: list) -> list:
-        own, seen = merger(name), _COUNTS.setdefault(name, {})
+        own, memory = merger(name), counts_of(name)
         split = [pretokens(t) for t in texts]
-        new = list({w for words in split for w in words if w not in seen})
-        if len(seen) + len(new) > REMEMBERED:
-            seen.clear()
-            new = list({w for words in split for w in words})
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
-            sym, sizes = own.merge(part)
-            ends = np.cumsum(np.r_[0, own.weights(sym)])[np.cumsum(np.r_[0, sizes])]
-            seen.update(zip(part, np.diff(ends).tolist()))
+        new = memory.unknown(set().union(*split))
+        sym, sizes = own.merge(new)
+        ends = np.cumsum(np.r_[0, own.weights(sym)])[np.cumsum(np.r_[0, sizes])]
+        seen = memory.young
+        seen.update(zip(new, np.diff(ends).tolist()))
         return [(len(encoded(t)), sum(map(seen.__getitem__, words))) for t, words in zip(texts, split)]
 
     return work
