@@ -1,12 +1,14 @@
-"""Quality rules from a public tokeniser's fertility.
+"""Quality rules from public tokenisers' fertility.
 
-A public vocabulary is asked how it cuts a text: characters a token, the share of tokens that are bytes of characters it
-lacks, and the entropy of the tokens. Each language (else each script) has bands for the three; a text outside a band is
-rejected, and so is one that fails the plain rules on words and repeated windows.
+Public vocabularies are asked how they cut a text: characters a token by two of them (pieces with a fall back to bytes, and
+byte pairs), the share of tokens that are bytes of characters the first lacks, and the entropy of its tokens. Each language
+(else each script) has bands for the four; a text outside a band is rejected, and so is one that fails the plain rules on
+words and repeated windows.
 """
 
 from __future__ import annotations
 
+import base64
 import math
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -17,26 +19,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import ROWS_AT_ONCE, encoded, pick, read, text_map
-from millrace.llm.token_count import REMEMBERED, VOCABULARY, merger, pretokens
+from millrace.llm.token_count import SPACE, VOCABULARY, Memory, merger, pretokens, vocabulary_path
 
+#: The second vocabulary: byte pairs as ranks.
+BYTE_VOCABULARY = "byte_bpe_50k.tiktoken"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 20
 WINDOW = 8
 MAX_REPEAT_PERCENT = 30
-#: Bands a language or script, as (least, most) characters a token, most byte share, least entropy in bits.
-#: They hold for ordinary prose: news-like text has 5 to 6 characters a token in English and 3.3 to 3.7 in German, French and
-#: Spanish, formal text of long words up to half as many again and more.
+#: Bands a language or script, as (least, most) characters a token, most byte share, least entropy in bits, and
+#: (least, most) characters a token of the second vocabulary. They hold for ordinary prose: news-like text has 5 to 6 characters
+#: a token in English and 3.3 to 3.7 in German, French and Spanish, formal text of long words up to half as many again and more.
 BANDS = {
-    "en": (1.20, 9.00, 0.10, 4.0),
-    "de": (1.20, 8.00, 0.10, 4.0),
-    "fr": (1.20, 8.00, 0.10, 4.0),
-    "es": (1.20, 8.00, 0.10, 4.0),
-    "latin": (1.20, 9.00, 0.15, 3.5),
-    "cyrillic": (1.10, 8.00, 0.20, 3.5),
-    "other": (0.25, 8.00, 0.95, 3.0),
+    "en": (1.20, 9.00, 0.10, 4.0, 1.20, 9.00),
+    "de": (1.20, 8.00, 0.10, 4.0, 1.10, 8.00),
+    "fr": (1.20, 8.00, 0.10, 4.0, 1.10, 8.00),
+    "es": (1.20, 8.00, 0.10, 4.0, 1.10, 8.00),
+    "latin": (1.20, 9.00, 0.15, 3.5, 1.00, 9.00),
+    "cyrillic": (1.10, 8.00, 0.20, 3.5, 0.45, 8.00),
+    "other": (0.25, 8.00, 0.95, 3.0, 0.20, 8.00),
 }
-#: Texts of fewer tokens vary more: their bands are wider by this factor, and their least entropy is less by the bits that the tokens to MIN_TOKENS could add.
-MIN_TOKENS, WIDER = 100, 1.5
+#: Texts of few tokens vary more: for n tokens the bands are wider by the factor 1 + WIDER / sqrt(n), and no more entropy is asked than this share of the most that n tokens can have.
+WIDER, ENTROPY_SHARE = 4.0, 0.6
 _SPACES = " \t\n\v\f\r"
 
 
@@ -49,21 +53,21 @@ def script(text: str) -> str:
     return "latin" if latin >= max(cyrillic, others) else "cyrillic" if cyrillic >= others else "other"
 
 
-def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
-    """Words that lie in a window found twice or more. Ids of windows of 1, 2, 4, ... words are made from ids of halves, so equal ids mean equal words."""
-    n = len(words) - window + 1
+def repeated_words(ids: np.ndarray, window: int = WINDOW) -> int:
+    """Words, as numbers, that lie in a window found twice or more. Ids of windows of 1, 2, 4, ... words are made from ids of halves, so equal ids mean equal words; where all shorter windows differ, all of them do."""
+    total, n = len(ids), len(ids) - window + 1
     if n < 2:
         return 0
-    first: dict[bytes, int] = {}
-    ids = np.array([first.setdefault(w, len(first)) for w in words], np.int64)
     width = 1
     while width < window:
         step = min(width, window - width)
         left, right = ids[:-step], ids[step:]
-        ids = np.unique(left * (int(ids.max()) + 1) + right, return_inverse=True)[1]
+        known, ids = np.unique(left * (int(ids.max()) + 1) + right, return_inverse=True)
+        if len(known) == len(ids):
+            return 0
         width += step
     twice = np.flatnonzero(np.bincount(ids)[ids] > 1)
-    ends = np.zeros(len(words) + 1, np.int64)
+    ends = np.zeros(total + 1, np.int64)
     np.add.at(ends, twice, 1)
     np.add.at(ends, twice + window, -1)
     return int(np.count_nonzero(np.cumsum(ends)[:-1]))
@@ -74,55 +78,67 @@ def duplicate_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
-def in_band(band: tuple[float, float, float, float], n: int, fert: float, share: float, entropy: float) -> bool:
-    low, high, most_bytes, least_bits = band
-    if n < MIN_TOKENS:
-        low, high, most_bytes, least_bits = low / WIDER, high * WIDER, most_bytes * WIDER, least_bits - math.log2(MIN_TOKENS / max(n, 1))
-    return low <= fert <= high and share <= most_bytes and entropy >= least_bits
+def in_band(band: tuple[float, ...], n: int, fert: float, share: float, entropy: float, byte_fert: float) -> bool:
+    low, high, most_bytes, least_bits, byte_low, byte_high = band
+    if not n:
+        return False
+    wide = 1 + WIDER / math.sqrt(n)
+    least_bits = min(least_bits, ENTROPY_SHARE * math.log2(n))
+    return low / wide <= fert <= high * wide and byte_low / wide <= byte_fert <= byte_high * wide and share <= most_bytes * wide and entropy >= least_bits
 
 
 class Fertility:
-    """Tokens of pre-tokens, remembered as slices of one growing array."""
+    """Tokens of pre-tokens, remembered as 32-bit numbers in bytes, so a text's are put together by one join.
 
-    def __init__(self, vocabulary: str) -> None:
-        self.merger = merger(vocabulary)
-        self.forget()
+    After a pre-token's symbols (up to size + 4, see Merger) stands the number of its tokens in the second vocabulary, raised by size + 5.
+    """
+
+    def __init__(self, vocabulary: str, byte_vocabulary: str) -> None:
+        import public_tokenizers
+        import tiktoken
 
-    def forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.merger, self.memory = merger(vocabulary), Memory()
+        with open(vocabulary_path(byte_vocabulary), "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.byte_pairs = tiktoken.Encoding("byte_pairs", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def learn(self, split: list[list[str]]) -> None:
-        new = list({w for words in split for w in words if w not in self.index})
-        if len(self.index) + len(new) > REMEMBERED:
-            self.forget()
-            new = list({w for words in split for w in words})
-        if new:
-            sym, sizes = self.merger.merge(new)
-            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
-            self.flat = np.concatenate([self.flat, sym.astype(np.int32)])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-
-    def measure(self, words: list[str], chars: int) -> tuple[int, float, float, float]:
-        """Tokens, characters a token, byte share, entropy in bits; characters outside the vocabulary count in the entropy by their number of bytes."""
+        new = self.memory.unknown(set().union(*split))
+        sym, sizes = self.merger.merge(new)
+        ends = np.cumsum(sizes + 1)
+        flat = np.empty(len(sym) + len(new), np.int32)
+        last = np.zeros(len(flat), bool)
+        last[ends - 1] = True
+        flat[~last], flat[last] = sym, self.merger.size + 5 + np.array(list(map(self.byte_tokens, new)), np.int64)
+        raw, ends = flat.tobytes(), (4 * ends).tolist()
+        self.memory.young.update(zip(new, map(raw.__getitem__, map(slice, [0, *ends], ends))))
+
+    def byte_tokens(self, word: str) -> int:
+        """Lone surrogates are question marks to the second vocabulary."""
+        word = word.replace(SPACE, " ")
+        return len(self.byte_pairs.encode_ordinary(word if word.isascii() else word.encode("utf-8", "replace").decode()))
+
+    def measure(self, words: list[str], chars: int) -> tuple[int, float, float, float, float]:
+        """Tokens, characters a token, byte share, entropy in bits, and characters a token of the second vocabulary; characters outside the vocabulary count in the entropy by their number of bytes."""
         if not words:
-            return 0, 0.0, 0.0, 0.0
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        starts, sizes = self.starts[at], self.starts[at + 1] - self.starts[at]
-        ends = np.cumsum(sizes)
-        sym = self.flat[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1])]
-        counts = np.bincount(sym, minlength=self.merger.size + 5)
-        in_bytes = int((counts[self.merger.size :] * np.arange(len(counts) - self.merger.size)).sum())
-        n = len(sym) - int(counts[self.merger.size :].sum()) + in_bytes
+            return 0, 0.0, 0.0, 0.0, 0.0
+        size = self.merger.size
+        counts = np.bincount(np.frombuffer(b"".join(map(self.memory.young.__getitem__, words)), np.int32), minlength=size + 5)
+        in_second = counts[size + 5 :]
+        byte_tokens = int((in_second * np.arange(len(in_second))).sum())
+        in_bytes = int((counts[size : size + 5] * np.arange(5)).sum())
+        counts = counts[: size + 5]
+        total = int(counts.sum())
+        n = total - int(counts[size:].sum()) + in_bytes
         counts = counts[counts > 0]
-        entropy = float(np.log2(len(sym)) - (counts * np.log2(counts)).sum() / len(sym))
-        return n, chars / n, in_bytes / n, entropy
+        entropy = float(np.log2(total) - (counts * np.log2(counts)).sum() / total)
+        return n, chars / n, in_bytes / n, entropy, chars / max(byte_tokens, 1)
 
 
 @lru_cache(2)
-def fertility_of(vocabulary: str) -> Fertility:
+def fertility_of(vocabulary: str, byte_vocabulary: str = BYTE_VOCABULARY) -> Fertility:
     """One a Python worker, kept from task to task."""
-    return Fertility(vocabulary)
+    return Fertility(vocabulary, byte_vocabulary)
 
 
 def judge(vocabulary: str, bands: dict) -> Callable[[list, list], list]:
@@ -131,21 +147,21 @@ def judge(vocabulary: str, bands: dict) -> Callable[[list, list], list]:
         texts = [t or "" for t in texts]
         split = [pretokens(t) for t in texts]
         fertility.learn(split)
-        rows = []
-        for text, lang, pieces in zip(texts, langs, split):
-            words = encoded(text).split()
-            n_words, repeat = len(words), repeated_words(words)
+        rows, all_words = [], [encoded(t).split() for t in texts]
+        codes = {w: k for k, w in enumerate(set().union(*all_words))}
+        for text, lang, pieces, words in zip(texts, langs, split, all_words):
+            n_words, repeat = len(words), repeated_words(np.array(list(map(codes.__getitem__, words)), np.int64))
             chars = len(text) - sum(map(text.count, _SPACES))
             failed = n_words < MIN_WORDS or 100 * repeat > MAX_REPEAT_PERCENT * n_words
-            n, fert, share, entropy = fertility.measure(pieces, len(text))
-            fits = in_band(bands.get(lang) or bands[script(text)], n, fert, share, entropy)
-            rows.append((n_words, chars, sum(map(text.count, SYMBOLS)), duplicate_lines(text), repeat, failed, fits and not failed, n, fert, share, entropy))
+            n, fert, share, entropy, byte_fert = fertility.measure(pieces, len(text))
+            fits = in_band(bands.get(lang) or bands[script(text)], n, fert, share, entropy, byte_fert)
+            rows.append((n_words, chars, sum(map(text.count, SYMBOLS)), duplicate_lines(text), repeat, failed, fits and not failed, n, fert, share, entropy, byte_fert))
         return rows
 
     return work
 
 
-COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_tokens long, chars_per_token double, byte_share double, token_entropy double"
+COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_tokens long, chars_per_token double, byte_share double, token_entropy double, chars_per_byte_token double"
 
 
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", vocabulary: str = VOCABULARY, bands: dict | None = None) -> DataFrame:

@@ -1,5 +1,7 @@
 """Ordinary sentences of each language stay, whether short or long, and junk of few tokens goes."""
 
+import random
+
 import pytest
 
 from millrace.llm import quality
@@ -28,3 +30,17 @@ def test_short_texts():
     assert work([FORMAL], ["en"])[0][6]
     junk = work([" ".join(map(chr, range(0xA000, 0xA015)))], ["en"])[0]
     assert junk[7] < 100 and not junk[5] and not junk[6], junk
+
+
+def test_junk_goes():
+    """Random bytes, text of another script under a Latin language, and one word over and over."""
+    rng = random.Random(2)
+    noise = " ".join("".join(chr(rng.randrange(0x2500, 0x2900)) for _ in range(6)) for _ in range(60))
+    greek = "Το δημοτικό συμβούλιο αποφάσισε την Τρίτη να παρατείνει τη σύμβαση για τη νέα γραμμή λεωφορείων που αναμένεται να ανοίξει την άνοιξη και οι κάτοικοι που μίλησαν στη συνεδρίαση είπαν ότι η υπηρεσία θα διευκολύνει την πρόσβαση"
+    hashes = " ".join("".join(rng.choice("QXZJKVWYqxzjkvw0123456789+/") for _ in range(40)) for _ in range(30))
+    pairs = " ".join(rng.choice(("la", "li")) for _ in range(24))
+    work = quality.judge(quality.VOCABULARY, quality.BANDS)
+    for text in (noise, greek, pairs, hashes):
+        (row,) = work([text], ["en"])
+        assert not row[6], row
+    assert work([greek], [None])[0][6]
