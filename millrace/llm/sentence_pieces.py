@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding by an Aho-Corasick Viterbi.
 
 One automaton holds all pieces. Each pre-token is read once; at each position the automaton follows its output links to all
-pieces that end there, and each relaxes the best score of its end from that of its start. A character that no piece covers
-costs the least score less UNKNOWN_COST and becomes its UTF-8 bytes. Ids of equal score: the piece that starts first (the
-longest) wins.
+pieces that end there, and each relaxes the best score of its end from that of its start. The public vocabulary is one of
+merges, whose stored scores are only their order; a piece's log probability is therefore taken by Zipf's law from its place
+in that order. A character that no piece covers costs the least score less UNKNOWN_COST and becomes its UTF-8 bytes. Of
+paths of equal score, the piece that starts first (the longest) wins.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.common import encoded, pick, read, text_map
-from millrace.llm.token_count import REMEMBERED, SPACE, VOCABULARY, pretokens, vocabulary_path
+from millrace.llm.token_count import SPACE, VOCABULARY, Memory, pretokens, vocabulary_path
 
 #: As the library's unigram models have it.
 UNKNOWN_COST = 10.0
@@ -30,24 +31,33 @@ class PieceCodec:
         sp = sentencepiece.SentencePieceProcessor(model_file=vocabulary_path(name))
         self.automaton, self.bytes_at = ahocorasick.Automaton(), {}
         self.raw: list[bytes] = []
-        scores = []
-        for i in range(sp.get_piece_size()):
+        n = sp.get_piece_size()
+        pieces = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))]
+        place = np.unique([-sp.get_score(i) for i in pieces], return_inverse=True)[1] + 1.0
+        log_p = -np.log(place) - np.log((1 / place).sum())
+        #: Score of each id as it stands in a text's path: pieces their own, the first byte of an uncovered character its cost, further bytes nothing.
+        self.score_of = np.zeros(n)
+        self.score_of[pieces] = log_p
+        self.unknown = float(log_p.min()) - UNKNOWN_COST
+        for i in range(n):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
-                self.bytes_at[int(piece[1:-1], 16)] = i
-                self.raw.append(bytes([int(piece[1:-1], 16)]))
+                value = int(piece[1:-1], 16)
+                self.bytes_at[value] = i
+                self.score_of[i] = 0.0 if value & 0xC0 == 0x80 else self.unknown
+                self.raw.append(bytes([value]))
             elif sp.is_control(i) or sp.is_unknown(i):
                 self.raw.append(b"")
             else:
-                self.automaton.add_word(piece, (i, len(piece), sp.get_score(i)))
-                scores.append(sp.get_score(i))
+                self.automaton.add_word(piece, (i, len(piece), float(self.score_of[i])))
                 self.raw.append(piece.replace(SPACE, " ").encode())
         self.automaton.make_automaton()
-        self.unknown = min(scores) - UNKNOWN_COST
-        self.known: dict[str, tuple[list[int], float, int]] = {}
+        self.is_byte = np.zeros(n, bool)
+        self.is_byte[list(self.bytes_at.values())] = True
+        self.memory = Memory()
 
-    def viterbi(self, word: str) -> tuple[list[int], float, int]:
-        """Ids, score, and how many ids are bytes."""
+    def viterbi(self, word: str) -> list[int]:
+        """Ids of the best path."""
         n = len(word)
         best, via = [0.0] + [-np.inf] * n, [(-1, 1)] * (n + 1)
         at = 0  # ends up to here are final but for unknown characters
@@ -59,35 +69,31 @@ class PieceCodec:
             start = end + 1 - size
             if best[start] + score > best[end + 1]:
                 best[end + 1], via[end + 1] = best[start] + score, (i, size)
-        for at in range(at + 1, n + 1):
-            if best[at] == -np.inf:
-                best[at] = best[at - 1] + self.unknown
-        ids, in_bytes, at = [], 0, n
+        ids, at = [], n
         while at:
             i, size = via[at]
             if i < 0:
-                raw = word[at - 1].encode("utf-8", "surrogatepass")
-                ids += [self.bytes_at[b] for b in reversed(raw)]
-                in_bytes += len(raw)
+                ids += [self.bytes_at[b] for b in reversed(word[at - 1].encode("utf-8", "surrogatepass"))]
             else:
                 ids.append(i)
             at -= size
-        return ids[::-1], best[n], in_bytes
+        return ids[::-1]
+
+    def encode_all(self, texts: list) -> list[tuple[np.ndarray, float, int]]:
+        """Ids, score and how many ids are bytes, of each text. No piece crosses the borders of pre-tokens, so their best paths make up the text's."""
+        split = [pretokens(t) for t in texts]
+        new, seen = self.memory.unknown(set().union(*split)), self.memory.young
+        for word in new:
+            seen[word] = np.array(self.viterbi(word), np.int32).tobytes()
+        out = []
+        for words in split:
+            ids = np.frombuffer(b"".join(map(self.memory.young.__getitem__, words)), np.int32)
+            out.append((ids, float(self.score_of[ids].sum()), int(np.count_nonzero(self.is_byte[ids]))))
+        return out
 
     def encode(self, text: str | None) -> tuple[list[int], float, int]:
-        """No piece crosses the borders of pre-tokens, so their best paths make up the text's."""
-        ids: list[int] = []
-        total, in_bytes, known = 0.0, 0, self.known
-        for word in pretokens(text):
-            found = known.get(word)
-            if found is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                found = known[word] = self.viterbi(word)
-            ids += found[0]
-            total += found[1]
-            in_bytes += found[2]
-        return ids, total, in_bytes
+        ((ids, score, in_bytes),) = self.encode_all([text])
+        return ids.tolist(), score, in_bytes
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: spaces for marks, bytes put together, without the leading mark's space."""
@@ -111,11 +117,7 @@ def encode_pieces(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (
         own = codec(vocabulary)
 
         def work(texts: list) -> list:
-            rows = []
-            for t in texts:
-                ids, score, in_bytes = own.encode(t)
-                rows.append((np.array(ids, np.int32), len(ids), in_bytes, score))
-            return rows
+            return [(ids, len(ids), in_bytes, score) for ids, score, in_bytes in own.encode_all(texts)]
 
         return work
 
@@ -141,10 +143,9 @@ def digest_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", v
 
         def work(texts: list) -> list:
             rows = []
-            for t in texts:
-                ids, score, in_bytes = own.encode(t)
-                sha = hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest()
-                rows.append((len(encoded(t)), len(ids), in_bytes, score, sha, own.decode(ids) == (t or "").replace(SPACE, " ")))
+            for t, (ids, score, in_bytes) in zip(texts, own.encode_all(texts)):
+                sha = hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest()
+                rows.append((len(encoded(t)), len(ids), in_bytes, score, sha, own.decode(ids.tolist()) == (t or "").replace(SPACE, " ")))
             return rows
 
         return work
