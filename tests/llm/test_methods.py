@@ -143,9 +143,66 @@ def test_token_counts(texts):
     got = token_count.counter(token_count.VOCABULARY)(all_texts)
     assert [n for _, n in got] == [len(sp.encode(t)) for t in all_texts]
     merger = token_count.merger()
-    for _ in range(200):
-        s = "".join(rng.choice("abcdethingons") for _ in range(rng.randint(0, 200)))
-        assert merger.merge([s])[0].tolist() == merger.merge_heap(merger.symbols(s))
+    for k in range(200):
+        words = ["".join(rng.choice("abcdethingons") for _ in range(rng.randint(1, 40 if k else 4000))) for _ in range(3)]
+        sym, sizes = merger.merge(words)
+        want = [brute_merge(merger, w) for w in words]
+        assert sym.tolist() == sum(want, []) and sizes.tolist() == list(map(len, want))
+        assert merger.by_rank(merger.symbols(words[:1])[0]).tolist() == want[0]
+
+
+def brute_merge(merger, word):
+    """Lowest rank first, then leftmost, one pair at a time."""
+    sym = merger.symbols([word])[0].tolist()
+    while True:
+        found = [(merger.rank[m], k, m) for k in range(len(sym) - 1) if (m := merger.become.get(sym[k] * merger.size + sym[k + 1])) is not None]
+        if not found:
+            return sym
+        _, k, m = min(found)
+        sym[k : k + 2] = [m]
+
+
+def test_token_counts_query(spark, texts):
+    """The whole query against the library, with a memory that is full all the time."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=token_count.vocabulary_path(token_count.VOCABULARY))
+    got = by_id(registry.QUERIES["op4_token_counts"](spark, SF))
+    want = {d: (len(t.encode()), len(sp.encode(t)), len(sp.encode(t)) > 4096) for d, t in texts.items()}
+    assert {d: (r.n_bytes, r.n_tokens, r.over_limit) for d, r in got.items()} == want
+    memory = token_count.Memory(3)
+    for some in ({"a", "b"}, {"b", "c"}, {"c", "d"}, {"a", "d"}):
+        new = memory.unknown(some)
+        memory.young.update(zip(new, new))
+        assert some <= memory.young.keys() and all(memory.young[w] == w for w in some)
+
+
+def test_fertility(texts):
+    """The measures against the two libraries' own tokens."""
+    import base64
+
+    import public_tokenizers
+    import sentencepiece
+    import tiktoken
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=token_count.vocabulary_path(token_count.VOCABULARY))
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path(quality.BYTE_VOCABULARY), "rb"))}
+    second = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    some = [t for t in texts.values() if t.strip()][:150] + ["中文 text 😀 mixed", "a"]
+    rows = quality.judge(quality.VOCABULARY, quality.BANDS)(some, ["en"] * len(some))
+    for t, r in zip(some, rows):
+        ids = sp.encode(t)
+        in_bytes = sum(sp.is_byte(i) for i in ids)
+        assert (r[7], r[8], r[9]) == (len(ids), len(t) / len(ids), in_bytes / len(ids))
+        if not in_bytes:
+            c = np.array(list(collections.Counter(ids).values())) / len(ids)
+            assert math.isclose(r[10], -(c * np.log2(c)).sum(), abs_tol=1e-9)
+        words = [w.replace(token_count.SPACE, " ") for w in token_count.pretokens(t)]
+        assert math.isclose(r[11], len(t) / sum(len(second.encode_ordinary(w)) for w in words))
+        low, high, share, bits, low2, high2 = quality.BANDS["en"]
+        wide = 1 + quality.WIDER / math.sqrt(r[7])
+        fits = low / wide <= r[8] <= high * wide and r[9] <= share * wide and low2 / wide <= r[11] <= high2 * wide and r[10] >= min(bits, quality.ENTROPY_SHARE * math.log2(r[7]))
+        assert r[6] == (fits and not r[5])
 
 
 def test_quality_counts(spark, texts):
@@ -174,11 +231,20 @@ def test_pieces(texts):
     """Exact round trips, and scores as a plain dynamic program finds them."""
     own = sentence_pieces.codec()
     for t in [*texts.values(), "", " ", "  a\nb😀\x00", "x" * 5000]:
-        ids, score, _ = own.encode(t)
-        assert own.decode(ids) == t
+        ids, score, in_bytes = own.encode(t)
+        assert own.decode(ids) == t and in_bytes == sum(own.is_byte[i] for i in ids)
         assert math.isclose(score, brute_score(own, t), rel_tol=1e-12, abs_tol=1e-9)
 
 
+def test_pieces_of_ordinary_text():
+    """About as many pieces as the library's own encoding has."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=token_count.vocabulary_path(token_count.VOCABULARY))
+    text = "The committee met on Tuesday to discuss the transport budget, and several members of the council asked why the figures had changed since the spring."
+    assert len(sentence_pieces.codec().encode(text)[0]) <= 1.05 * len(sp.encode(text))
+
+
 def brute_score(own, text):
     """Plain dynamic program over all substrings, pre-token by pre-token."""
     pieces = {own.raw[i].decode().replace(" ", "▁"): s for i, _, s in own.automaton.values()}
