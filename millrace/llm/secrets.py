@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable
 
@@ -53,10 +54,17 @@ def find(text: str | None) -> list[tuple[int, int, int, str]]:
     found += [(4, m.start(), m.end(), m[0]) for m in PREFIXED.finditer(text)]
     if "-----BEGIN " in text:
         found += [(5, m.start(), m.end(), m[0]) for m in PRIVATE_KEY.finditer(text)]
-    taken = sorted((s, e) for _, s, e, _ in found)
+    begins, ends = [], []  # what is taken, as spans that don't touch
+    for s, e in sorted((s, e) for _, s, e, _ in found):
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            begins.append(s)
+            ends.append(e)
     for m in GENERIC.finditer(text):
         s, e = m.span()
-        if DIGIT.search(m[0]) and not any(a < e and s < b for a, b in taken) and entropy(m[0]) >= MIN_ENTROPY:
+        before = bisect_left(begins, e) - 1  # the last that begins before this one ends
+        if DIGIT.search(m[0]) and not (before >= 0 and ends[before] > s) and entropy(m[0]) >= MIN_ENTROPY:
             found.append((6, s, e, m[0]))
     return sorted(found, key=lambda x: (x[1], x[0]))
 
