@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import pick, read
+from millrace.llm.common import pick, read, stage
 
 #: Verdict and rule; a rule is a host and the start of a path.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -77,7 +77,7 @@ def reputation(pages: DataFrame, outcomes: DataFrame, z: float = Z) -> DataFrame
     outcomes(page_id, bad 0/1). Only counts by host go further; a host with any number of pages is one row after partial sums.
     """
     counts = pages.join(outcomes, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("k"))
-    hosts = levels(counts)
+    hosts = stage(levels(counts), "hosts")  # the three priors and the levels below read it again
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("dn"), F.sum("k").alias("dk"))
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dk").alias("sk"))
     whole = suffixes.agg(((F.sum("sk") + 1) / (F.sum("sn") + 2)).alias("top"))

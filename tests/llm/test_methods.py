@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -297,18 +298,72 @@ def test_secrets(spark):
 def test_licenses(texts):
     own = licenses.automaton()
     phrases = [(p.encode().split(), label) for p, label in licenses.PHRASES]
-    for t in [*texts.values(), *licenses.TEMPLATES.values(), "MIT license-MIT  License the gnu general public licens general public license", "mit"]:
+    for t in [*texts.values(), *[x for _, x in licenses.TEMPLATES], "MIT license-MIT  License the gnu general public licens general public license", "mit"]:
         words = licenses.alnum_words(t)
         want = sorted((i, len(p), label) for p, label in phrases for i in range(len(words)) if words[i : i + len(p)] == p)
         places, matches = own.scan(words)
         assert sorted(places) == want
         for template, at, start, size in matches:
-            source = licenses.alnum_words(licenses.TEMPLATES[own.labels[template]])
+            source = licenses.alnum_words(licenses.TEMPLATES[template][1])
             assert source[at : at + size] == words[start : start + size]
-    for label, text in licenses.TEMPLATES.items():
+        if len(words) < 400:
+            assert {(t, a + n, s + n) for t, a, s, n in matches} == brute_matches(words)
+    for label, text in licenses.TEMPLATES:
         assert own.covers(own.scan(licenses.alnum_words("before it " + text + " after"))[1])[label] == 1.0
 
 
+def brute_matches(words):
+    """(template, end there, end in the file) of all runs of MIN_MATCH words or more that their next words do not prolong."""
+    out = set()
+    for k, (_, text) in enumerate(licenses.TEMPLATES):
+        template = licenses.alnum_words(text)
+        runs = {}
+        for e, w in enumerate([*words, None]):
+            now = {i: runs.get(i - 1, 0) + 1 for i, x in enumerate(template) if x == w}
+            out |= {(k, i + 1, e) for i, n in runs.items() if n >= licenses.MIN_MATCH and i + 1 not in now}
+            runs = now
+    return out
+
+
+def test_shared_runs_count_for_all_templates():
+    own = licenses.automaton()
+    covers = own.covers(own.scan(licenses.alnum_words("the above copyright notice and this permission notice shall"))[1])
+    assert {"mit", "isc"} <= covers.keys()
+
+
+def test_license_query(spark, texts):
+    got = by_id(registry.QUERIES["op9_license_scans"](spark, SF))
+    phrases = [(p.encode().split(), label) for p, label in licenses.PHRASES]
+    for d, t in texts.items():
+        words, r = licenses.alnum_words(t), got[d]
+        places = sorted((i, label) for p, label in phrases for i in range(len(words)) if words[i : i + len(p)] == p)
+        base = sorted({label for _, label in places})
+        assert (r.n_words, r.n_base, r.base_labels) == (len(words), len(places), ",".join(base))
+        assert (r.first_word, r.last_word) == ((places[0][0], places[-1][0]) if places else (None, None))
+        assert set(base) <= set(r.labels.split(",")) if base else True
+        assert 0 <= r.score <= 1
+
+
+def test_secret_query(spark, texts):
+    """Base counts and spans of the whole table against plain patterns."""
+    got = by_id(registry.QUERIES["op8_secret_scans"](spark, SF))
+    for d, t in texts.items():
+        base = [(m.start(), 0, m.end()) for m in secrets.ASSIGN.finditer(t) if len(m[2]) >= 8]
+        base += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+        base += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+        digest = ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in sorted(base))
+        r, kinds = got[d], [k for _, k, _ in base]
+        assert (r.n_assign, r.n_access, r.n_hex) == (kinds.count(0), kinds.count(1), kinds.count(2))
+        assert r.base_sha256 == hashlib.sha256(digest.encode()).hexdigest()
+        assert set(digest.split(",")) <= set(r.spans.split(","))
+
+
+def test_many_secrets_in_one_text():
+    text = "token=abcdefgh1 key Zq8xV2mLr5Tn4KpW7sYd3HbJ9c " * 20_000
+    began = time.process_time()
+    assert len(secrets.find(text)) == 40_000 and time.process_time() - began < 10
+
+
 def test_decontaminate_spans(spark):
     words = [f"w{i}" for i in range(30)]
     docs = spark.createDataFrame([(1, "a b " + " ".join(words[5:20]) + " c"), (2, " ".join(words[5:17])), (3, "É " + " ".join(words[:13]).upper())], "doc_id long, text string")
