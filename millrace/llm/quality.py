@@ -11,7 +11,6 @@ from __future__ import annotations
 import base64
 import math
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import ROWS_AT_ONCE, encoded, pick, read, text_map
-from millrace.llm.token_count import SPACE, VOCABULARY, Memory, merger, pretokens, vocabulary_path
+from millrace.llm.token_count import SPACE, VOCABULARY, Memory, kept, merger, pretokens, vocabulary_path
 
 #: The second vocabulary: byte pairs as ranks.
 BYTE_VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -135,10 +134,8 @@ class Fertility:
         return n, chars / n, in_bytes / n, entropy, chars / max(byte_tokens, 1)
 
 
-@lru_cache(2)
 def fertility_of(vocabulary: str, byte_vocabulary: str = BYTE_VOCABULARY) -> Fertility:
-    """One a Python worker, kept from task to task."""
-    return Fertility(vocabulary, byte_vocabulary)
+    return kept("fertility", vocabulary, byte_vocabulary, make=lambda: Fertility(vocabulary, byte_vocabulary))
 
 
 def judge(vocabulary: str, bands: dict) -> Callable[[list, list], list]:

@@ -11,14 +11,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.common import encoded, pick, read, text_map
-from millrace.llm.token_count import SPACE, VOCABULARY, Memory, pretokens, vocabulary_path
+from millrace.llm.token_count import SPACE, VOCABULARY, Memory, kept, pretokens, vocabulary_path
 
 #: As the library's unigram models have it.
 UNKNOWN_COST = 10.0
@@ -101,9 +100,8 @@ class PieceCodec:
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "surrogatepass")
 
 
-@lru_cache(2)
 def codec(name: str = VOCABULARY) -> PieceCodec:
-    return PieceCodec(name)
+    return kept("pieces", name, make=lambda: PieceCodec(name))
 
 
 def encode_pieces(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), vocabulary: str = VOCABULARY) -> DataFrame:

@@ -221,11 +221,12 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
 
 
 def least_rows(keyed: DataFrame, doc_id: str, distinct: DataFrame, roots: DataFrame) -> DataFrame:
-    """Of each root, the rows of keyed with its least `first` (none, doc_id, hash) among the fingerprints in distinct, each once, without the hash."""
+    """Of each root, the rows of keyed with its least `first` key (none, doc_id, hash) among the fingerprints in distinct, each once, without the hash. Only rows that repeat are dealt out again."""
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("first", F.coalesce("root", "fp").alias("root"))
-    first = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("first_id"), F.col("first.hash").alias("first_hash"))
-    kept = keyed.join(first, F.col(doc_id).eqNullSafe(F.col("first_id")) & F.col("hash").eqNullSafe(F.col("first_hash")), "left_semi")
-    return kept.dropDuplicates([doc_id, "hash"]).drop("hash")
+    first = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key.doc_id").alias("first_id"), F.col("first.key.hash").alias("first_hash"), (F.col("first.times") > 1).alias("repeats"))
+    columns = [c for c in keyed.columns if c != "hash"]
+    kept = keyed.join(stage(first, "first"), F.col(doc_id).eqNullSafe(F.col("first_id")) & F.col("hash").eqNullSafe(F.col("first_hash")))
+    return kept.where(~F.col("repeats")).select(*columns).union(kept.where("repeats").dropDuplicates([doc_id, "hash"]).select(*columns))
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

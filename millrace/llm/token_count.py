@@ -22,7 +22,7 @@ from millrace.llm.common import encoded, pick, read, text_map
 VOCABULARY = "piece_bpe_32k.model"
 OVER_LIMIT = 4096
 #: Pre-tokens of one generation that a Python worker remembers; there are two generations.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Sequences of more symbols keep their pairs' positions by rank.
 LONG = 2_000
 #: Symbols merged at a time; bounds the arrays.
@@ -251,15 +251,20 @@ def merger(name: str = VOCABULARY) -> Merger:
     return Merger(name)
 
 
-@lru_cache(2)
-def counts_of(name: str) -> Memory:
-    """One a Python worker, kept from task to task."""
-    return Memory()
+_KEPT: dict = {}
+
+
+def kept(*key: object, make: Callable[[], object]) -> object:
+    """What a Python worker remembers from task to task: one thing at a time, so stages that follow one another in a worker don't add up."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
 
 
 def counter(name: str) -> Callable[[list], list]:
     def work(texts: list) -> list:
-        own, memory = merger(name), counts_of(name)
+        own, memory = merger(name), kept("counts", name, make=Memory)
         split = [pretokens(t) for t in texts]
         new = memory.unknown(set().union(*split))
         sym, sizes = own.merge(new)
