@@ -90,8 +90,8 @@ def apply_changes(df: DataFrame, changes: list[Change]) -> DataFrame:
 def elimination_evidence(df: DataFrame, columns: list[str], order: str) -> DataFrame:
     """name, type, value: for each column and type that its values rule out, the value of least `order` that does. One aggregate."""
     texts = df.select(F.col(order).alias("_o"), F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("v")) for c in columns])).alias("x")).select("_o", "x.*")
-    texts = texts.where(~inference.is_null(F.col("v")))
-    tests = inference.fits(F.col("v"))
+    texts = inference.with_dates(texts.withColumn("t", F.trim("v")).where(~inference.is_null(F.col("t"))), "t")
+    tests = inference.fits(F.col("t"), F.col("days"))
     out = F.array_compact(F.array(*[F.when(~F.coalesce(test, F.lit(False)), F.lit(t)) for t, test in tests.items()]))
     return texts.select("name", "_o", "v", F.explode(out).alias("type")).groupBy("name", "type").agg(F.min_by("v", F.struct("_o", "v")).alias("value"))
 

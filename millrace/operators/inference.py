@@ -5,25 +5,27 @@ Ruling out is a commutative AND, so it is one partial aggregate over any number
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Date formats in the order in which the first survivor is chosen, as (name, regex with groups, order of parts).
+#: Date formats in the order in which the first survivor is chosen, as (name, order of parts, separator, digits of the year).
 DATE_FORMATS = (
-    ("%Y-%m-%d", r"^(\d{4})-(\d{1,2})-(\d{1,2})$", "ymd"),
-    ("%Y/%m/%d", r"^(\d{4})/(\d{1,2})/(\d{1,2})$", "ymd"),
-    ("%d/%m/%Y", r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "dmy"),
-    ("%d-%m-%Y", r"^(\d{1,2})-(\d{1,2})-(\d{4})$", "dmy"),
-    ("%d.%m.%Y", r"^(\d{1,2})\.(\d{1,2})\.(\d{4})$", "dmy"),
-    ("%m/%d/%Y", r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "mdy"),
-    ("%m-%d-%Y", r"^(\d{1,2})-(\d{1,2})-(\d{4})$", "mdy"),
-    ("%d/%m/%y", r"^(\d{1,2})/(\d{1,2})/(\d{2})$", "dmy"),
-    ("%m/%d/%y", r"^(\d{1,2})/(\d{1,2})/(\d{2})$", "mdy"),
-    ("%d-%m-%y", r"^(\d{1,2})-(\d{1,2})-(\d{2})$", "dmy"),
-    ("%m-%d-%y", r"^(\d{1,2})-(\d{1,2})-(\d{2})$", "mdy"),
-    ("%y/%m/%d", r"^(\d{2})/(\d{1,2})/(\d{1,2})$", "ymd"),
-    ("%Y%m%d", r"^(\d{4})(\d{2})(\d{2})$", "ymd"),
-    ("%y%m%d", r"^(\d{2})(\d{2})(\d{2})$", "ymd"),
+    ("%Y-%m-%d", "ymd", "-", 4),
+    ("%Y/%m/%d", "ymd", "/", 4),
+    ("%d/%m/%Y", "dmy", "/", 4),
+    ("%d-%m-%Y", "dmy", "-", 4),
+    ("%d.%m.%Y", "dmy", ".", 4),
+    ("%m/%d/%Y", "mdy", "/", 4),
+    ("%m-%d-%Y", "mdy", "-", 4),
+    ("%d/%m/%y", "dmy", "/", 2),
+    ("%m/%d/%y", "mdy", "/", 2),
+    ("%d-%m-%y", "dmy", "-", 2),
+    ("%m-%d-%y", "mdy", "-", 2),
+    ("%y/%m/%d", "ymd", "/", 2),
+    ("%Y%m%d", "ymd", "", 4),
+    ("%y%m%d", "ymd", "", 2),
 )
 TYPES = ("boolean", "integer", "float", "date", "datetime", "time", "duration", "string")
 
@@ -32,27 +34,46 @@ def is_null(v: Column) -> Column:
     return v.isNull() | (v == "") | (F.lower(v) == "null") | (v == "NA")
 
 
-def fits_date(v: Column, regex: str, order: str) -> Column:
-    part = {p: F.regexp_extract(v, regex, i + 1).try_cast("int") for i, p in enumerate(order)}
-    year = F.when(part["y"] >= 100, part["y"]).when(part["y"] >= 70, part["y"] + 1900).otherwise(part["y"] + 2000)
+def in_calendar(y: Column, m: Column, d: Column) -> Column:
+    year = F.when(y >= 100, y).when(y >= 70, y + 1900).otherwise(y + 2000)
     leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
-    days = F.when(part["m"] == 2, F.when(leap, 29).otherwise(28)).when(part["m"].isin(4, 6, 9, 11), 30).otherwise(31)
-    return v.rlike(regex) & year.between(1900, 2100) & part["m"].between(1, 12) & (part["d"] >= 1) & (part["d"] <= days)
+    days = F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
+    return F.coalesce(year.between(1900, 2100) & m.between(1, 12) & (d >= 1) & (d <= days), F.lit(False))
+
+
+def with_dates(df: DataFrame, v: str = "v") -> DataFrame:
+    """df with `days`, a number with a bit for each of DATE_FORMATS that the text in v fits as a day of the calendar.
+
+    A text is taken apart once: three numbers between two equal separators, or the digits of one number.
+    """
+    t = F.col(v)
+    apart = df.withColumns({"_s": F.regexp_extract(t, r"^[0-9]{1,4}([-/.])[0-9]{1,2}\1[0-9]{1,4}$", 1), "_c": F.when(t.rlike("^(?:[0-9]{6}|[0-9]{8})$"), t.try_cast("int")), "_n": F.length(t)})
+    parts = F.when(F.col("_s") != "", F.split(t, "[-/.]"))
+    apart = apart.withColumn("_p", parts)
+    numbers = apart.withColumns({f"_{i}": F.get("_p", i).try_cast("int") for i in range(3)} | {f"_l{i}": F.length(F.get("_p", i)) for i in range(3)})
+    bits = F.lit(0)
+    for k, (_, order, separator, digits) in enumerate(DATE_FORMATS):
+        if separator:
+            of = {p: i for i, p in enumerate(order)}
+            shape = (F.col("_s") == separator) & (F.col(f"_l{of['y']}") == digits) & (F.col(f"_l{of['m']}") <= 2) & (F.col(f"_l{of['d']}") <= 2)
+            y, m, d = (F.col(f"_{of[p]}") for p in "ymd")
+        else:
+            shape, c = (F.col("_n") == digits + 4) & F.col("_c").isNotNull(), F.col("_c")
+            y, m, d = F.floor(c / 10_000).cast("int"), F.floor(c / 100).cast("int") % 100, c % 100
+        bits = bits + F.when(F.coalesce(shape, F.lit(False)) & in_calendar(y, m, d), 1 << k).otherwise(0)
+    return numbers.withColumn("days", bits).select(*df.columns, "days")
 
 
-def fits(v: Column) -> dict[str, Column]:
-    """Whether a value leaves a type possible."""
+def fits(v: Column, days: Column) -> dict[str, Column]:
+    """Whether a value leaves a type possible; days: as of with_dates()."""
     numeric = v.rlike(r"^[+-]?[0-9eE,]*\.?[0-9eE,]*$") & v.rlike("[0-9]")
-    date = F.lit(False)
-    for _, regex, order in DATE_FORMATS:
-        date = date | fits_date(v, regex, order)
     low = F.lower(v)
     duration = low.rlike("^p.*[tymd]") | low.rlike("hour|min|sec|day|[hmsd]$") | (v.rlike("[0-9]") & low.rlike("[hms]"))
     return {
         "boolean": low.isin("true", "false", "yes", "no", "y", "n", "1", "0", "t", "f"),
         "integer": numeric & ~F.contains(v, F.lit(".")),
         "float": numeric,
-        "date": date,
+        "date": days != 0,
         "datetime": v.rlike("[ T]") & F.contains(v, F.lit(":")),
         "time": v.rlike(r"^([01]?\d|2[0-3]):[0-5]?\d(:[0-5]?\d(\.\d+)?)?$"),
         "duration": duration,
@@ -70,18 +91,20 @@ def infer(df: DataFrame, columns: list[str], cannot_be: dict[str, tuple[str, ...
         hinted[c] = hinted.get(c, set()) | set(TYPES) - {t, "string"}
     if unknown := set().union(*hinted.values()) - set(TYPES):
         raise ValueError(f"unknown types {sorted(unknown)}")
-    texts = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("v")) for c in columns])).alias("x")).select("x.*")
+    texts = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.trim(F.col(c).cast("string")).alias("v")) for c in columns])).alias("x")).select("x.*")
     v = F.col("v")
-    null = is_null(v)
-    flags = {t: F.bool_and(F.when(~null, test)) for t, test in fits(v).items()}
-    formats = {f: F.bool_and(F.when(~null, fits_date(v, r, o))) for f, r, o in DATE_FORMATS}
-    agg = texts.groupBy("name").agg(
-        F.count_if(null).alias("n_null"), F.count_if(~null).alias("n_values"),
-        *[x.alias(f"_{t}") for t, x in flags.items()], *[x.alias(f"__{i}") for i, x in enumerate(formats.values())],
-    )
+    # One number a value: a bit for each date format, then one for each type. What all values leave is the AND of the numbers.
+    n = len(DATE_FORMATS)
+    bit = lambda test, i: F.when(test, 1 << i).otherwise(0)
+    marked = with_dates(texts.withColumn("null", is_null(v)))
+    types = reduce(lambda a, b: a + b, [bit(test, n + i) for i, test in enumerate(fits(v, F.col("days")).values())])
+    masks = marked.select("name", "null", F.when(~F.col("null"), F.coalesce(F.col("days") + types, F.lit(0))).alias("mask"))
+    left_of = masks.groupBy("name").agg(F.count_if("null").alias("n_null"), F.count_if(~F.col("null")).alias("n_values"), F.bit_and("mask").alias("mask"))
+    has = lambda i: F.col("mask").bitwiseAND(F.lit(1 << i)) != 0
+    agg = left_of.select("name", "n_null", "n_values", *[has(n + i).alias(f"_{t}") for i, t in enumerate(TYPES)], *[has(i).alias(f"__{i}") for i in range(n)])
     allowed = {t: ~F.col("name").isin(*[c for c, ts in hinted.items() if t in ts]) if any(t in ts for ts in hinted.values()) else F.lit(True) for t in TYPES}
     left = F.array_compact(F.array(*[F.when(F.col(f"_{t}") & allowed[t], F.lit(t)) for t in TYPES]))
-    survivors = F.array_compact(F.array(*[F.when(F.col(f"__{i}"), F.lit(f)) for i, f in enumerate(formats)]))
+    survivors = F.array_compact(F.array(*[F.when(F.col(f"__{i}"), F.lit(f)) for i, (f, *_) in enumerate(DATE_FORMATS)]))
     typed = F.filter("possible", lambda t: t != "string")
     state = (
         F.when(F.col("n_values") == 0, "null").when(F.size(typed) == 0, "string").when(F.size(typed) == 1, typed[0])
