@@ -66,7 +66,7 @@ def value_type(raw: Column) -> Column:
         (v.isNull(), None),
         (v == "", "empty"),
         (low.isin("true", "false"), "bool"),
-        (v.rlike("^0[xX][0-9a-fA-F]{1,15}$"), "hex"),
+        (v.rlike("^0[xX]0*(?:[0-9a-fA-F]{1,15}|[0-7][0-9a-fA-F]{15})$"), "hex"),
         (v.rlike("^[+-]?[0-9]+$") & v.try_cast("bigint").isNotNull(), "int"),
         (v.rlike(r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"), "timestamp"),
         (F.startswith(v, F.lit("P")), "duration"),
@@ -91,7 +91,8 @@ def key_of(*parts: Column | str) -> Column:
 
 def safe_name(c: Column) -> Column:
     """A name of lower-case letters, digits and underscores as it is; else a slug and eight digits of its digest."""
-    slug = F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    slug = F.regexp_replace(F.lower(F.regexp_replace(c, "[^A-Za-z0-9]+", "_")), "^_+|_+$", "")
+    slug = F.when(slug == "", "output").otherwise(slug)
     return F.when(c.rlike("^[a-z0-9_]+$"), c).otherwise(F.concat(slug, F.lit("_"), F.substring(F.sha2(c, 256), 1, 8)))
 
 

@@ -104,13 +104,24 @@ def diff(before: DataFrame, now: DataFrame, keys: list[str], compare: list[str])
     return n.join(b, on, "full_outer").select(*[F.coalesce(k, f"b_{k}").alias(k) for k in keys], state.alias("state"))
 
 
-def upsert(before: DataFrame, now: DataFrame, key: str, compare: list[str]) -> DataFrame:
-    """The merged catalog: changed and new files are pending without error, unchanged keep their status, absent ones stay and are deleted."""
-    state = diff(before, now, [key], compare)
-    old = before.select(F.col(key).alias("k"), *[F.col(c).alias(f"o_{c}") for c in compare], F.col("status").alias("o_status"))
-    merged = state.join(now.select(key, *compare), key, "left").join(old, F.col(key) == F.col("k"), "left")
-    status = F.when(F.col("state").isin("new", "changed"), "pending").when(F.col("state") == "deleted", "deleted").otherwise(F.col("o_status"))
-    return merged.select(key, *[F.when(F.col("state") == "deleted", F.col(f"o_{c}")).otherwise(F.col(c)).alias(c) for c in compare], status.alias("status"), "state")
+def upsert(before: DataFrame, now: DataFrame, key: str, compare: list[str], cleared: tuple[str, ...] = (), complete: bool = True) -> DataFrame:
+    """The merged catalog, in one outer join: changed and new files are pending, unchanged keep their status, absent ones stay and are deleted.
+
+    The columns `cleared` (tags, errors, jobs) keep their values for unchanged and absent files and become null for others.
+    After a scan that is not complete, absent files keep their status.
+    """
+    old = before.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in (*compare, *cleared)], F.col("status").alias("_status"))
+    both = now.select(key, *compare).join(old, F.col(key) == F.col("_k"), "full_outer")
+    same = F.lit(True)
+    for c in compare:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    state = F.when(F.col("_k").isNull(), "new").when(F.col(key).isNull(), "deleted").when(same, "unchanged").otherwise("changed")
+    both = both.withColumn("state", state)
+    gone, fresh = F.col("state") == "deleted", F.col("state").isin("new", "changed")
+    status = F.when(fresh, "pending").when(gone & F.lit(complete), "deleted").otherwise(F.col("_status"))
+    return both.select(
+        F.coalesce(key, "_k").alias(key), *[F.when(gone, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in compare], *[F.when(~fresh, F.col(f"_{c}")).alias(c) for c in cleared], status.alias("status"), "state"
+    )
 
 
 def renames(before: DataFrame, now: DataFrame, uid: str = "uid", path: str = "rel_path") -> DataFrame:

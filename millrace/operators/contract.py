@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
+import json
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import strict_decimal, violation_type
+from millrace.functions.values import offset_fits
 
 ERROR = "_cf_row_error"
 LINEAGE = ("_cf_source_hash", "_cf_job_id", "_cf_processed_at", "_cf_parser_version")
@@ -21,6 +24,7 @@ class ContractColumn:
     type: str
     nullable: bool = True
     format: str | None = None
+    zone: str | None = None
 
 
 class SchemaMismatch(ValueError):
@@ -48,7 +52,7 @@ def check_shape(df: DataFrame, columns: list[ContractColumn]) -> None:
     kinds = dict(df.dtypes)
     for c in columns:
         kind = kinds[c.name]
-        castable = kind == "string" and (c.type.startswith(("decimal", "date", "timestamp")))
+        castable = kind == "string" and (c.type.startswith(("decimal", "date", "timestamp")) or c.type == "time")
         if kind not in ("void", c.type) and kind not in WIDENS.get(c.type, ()) and not castable:
             raise SchemaMismatch(f"column {c.name} is {kind}, the contract says {c.type}")
 
@@ -61,10 +65,21 @@ def _cast(c: ContractColumn, kind: str) -> Column:
     if c.type.startswith("decimal"):
         p, s = map(int, c.type[8:-1].split(","))
         return strict_decimal(filled, p, s)
+    if c.type == "time":  # as text HH:MM:SS
+        at = F.coalesce(*[F.try_to_timestamp(filled, F.lit(java_format(f))) for f in ((c.format,) if c.format else ("%H:%M:%S", "%H:%M"))])
+        return F.date_format(at, "HH:mm:ss")
+    if c.type == "timestamp" and c.zone:  # an instant whose offset must be the zone's
+        return F.when(offset_fits(filled, c.zone), F.try_to_timestamp(F.replace(F.upper(filled), F.lit(" "), F.lit("T"))))
     fmt = java_format(c.format or ("%Y-%m-%d" if c.type == "date" else "%Y-%m-%dT%H:%M:%S"))
     return F.try_to_timestamp(filled, F.lit(fmt)).cast(c.type)
 
 
+def _fits_format(c: ContractColumn) -> Column:
+    """Whether a text column's value has the contract's temporal format; an empty one has any."""
+    v = F.col(c.name)
+    return (v == "") | F.try_to_timestamp(v, F.lit(java_format(c.format))).isNotNull()
+
+
 def enforce(df: DataFrame, columns: list[ContractColumn]) -> DataFrame:
     """df in the contract's types with `_cf_row_error`: messages of bad values and forbidden nulls, or null. One projection."""
     check_shape(df, columns)
@@ -73,6 +88,8 @@ def enforce(df: DataFrame, columns: list[ContractColumn]) -> DataFrame:
     cast = {c.name: _cast(c, kinds[c.name]) for c in columns}
     for c in columns:
         raw, value = F.col(c.name), cast[c.name]
+        if kinds[c.name] == "string" and c.type == "string" and c.format:
+            messages.append(F.when(~_fits_format(c), f"schema: value does not match format '{c.format}' for '{c.name}'"))
         if kinds[c.name] == "string" and c.type != "string":
             messages.append(F.when((raw != "") & value.isNull(), f"schema: value does not match format '{c.format or c.type}' for '{c.name}'"))
         if not c.nullable:
@@ -82,6 +99,67 @@ def enforce(df: DataFrame, columns: list[ContractColumn]) -> DataFrame:
     return df.select(*[v.alias(n) for n, v in cast.items()], *rest, F.when(joined != "", joined).alias(ERROR))
 
 
+def with_row_numbers(bad: DataFrame, position: str, row_id: str = "__cf_row_id") -> DataFrame:
+    """Quarantined rows with `_source_row` from the parser's row id, or, if any of them has none or a negative one, with `_output_row_index` for all.
+
+    The choice is made for the whole set: one row of an aggregate, broadcast.
+    """
+    if row_id not in bad.columns:
+        return bad.withColumns({"_source_row": F.lit(None).cast("long"), "_output_row_index": F.col(position).cast("long")})
+    usable = bad.agg(F.coalesce(F.bool_and(F.coalesce(F.col(row_id) >= 0, F.lit(False))), F.lit(True)).alias("_usable"))
+    both = bad.crossJoin(F.broadcast(usable))
+    own, index = F.when(F.col("_usable"), F.col(row_id)), F.when(~F.col("_usable"), F.col(position))
+    return both.withColumns({"_source_row": own.cast("long"), "_output_row_index": index.cast("long")}).drop("_usable")
+
+
+def mismatches(observed: DataFrame, declared: list[ContractColumn], by: str = "file") -> DataFrame:
+    """by, kind (missing, extra, type), column, expected, actual: how the columns(by, name, type, position) of each file differ from a contract; order where only that differs."""
+    spark = observed.sparkSession
+    want = spark.createDataFrame([(c.name, c.type, i) for i, c in enumerate(declared)], "want_name string, want_type string, want_at int")  # a contract's columns: few
+    files = observed.select(by).distinct().crossJoin(F.broadcast(want))
+    have = observed.select(F.col(by).alias("_f"), F.col("name"), F.col("type"), F.col("position"))
+    both = files.join(have, (F.col(by) == F.col("_f")) & (F.col("want_name") == F.col("name")), "full_outer")
+    kind = (
+        F.when(F.col("name").isNull(), "missing").when(F.col("want_name").isNull(), "extra").when(F.col("type") != F.col("want_type"), "type").when(F.col("position") != F.col("want_at"), "order")
+    )
+    rows = both.select(F.coalesce(by, "_f").alias(by), kind.alias("kind"), F.coalesce("want_name", "name").alias("column"), F.col("want_type").alias("expected"), F.col("type").alias("actual")).where("kind is not null")
+    # A missing or extra column shifts the rest; order is reported only for files that have all columns and no other.
+    other = rows.where("kind in ('missing', 'extra')").select(F.col(by).alias("_g")).distinct()
+    return rows.join(other, F.col(by) == F.col("_g"), "left").where("kind <> 'order' or _g is null").drop("_g")
+
+
+def scope_id(parser: Column | str, version: Column | str, output: Column | str) -> Column:
+    """Digest of `parser:version:output`, by which contracts are kept."""
+    parts = [p if isinstance(p, Column) else F.lit(p) for p in (parser, version, output)]
+    return F.sha2(F.concat_ws(":", *parts), 256)
+
+
+def lock(columns: list[ContractColumn]) -> tuple[str, str]:
+    """A contract as canonical JSON, and its SHA-256."""
+    names = [c.name for c in columns]
+    if not names:
+        raise SchemaMismatch("a contract has at least one column")
+    if len(set(names)) < len(names):
+        raise SchemaMismatch(f"columns stand twice: {sorted({n for n in names if names.count(n) > 1})}")
+    text = json.dumps([{"name": c.name, "type": c.type, "nullable": c.nullable, "format": c.format} for c in columns], separators=(",", ":"), sort_keys=True)
+    return text, hashlib.sha256(text.encode()).hexdigest()
+
+
+def approve(columns: list[ContractColumn], renames: dict[str, str] | None = None, nested: bool = False) -> list[ContractColumn]:
+    """The columns under their new names. Raises for no column, names that then stand twice, and nested types unless they are opted in."""
+    out = [replace(c, name=(renames or {}).get(c.name, c.name)) for c in columns]
+    lock(out)
+    deep = [c.name for c in out if c.type.startswith(("array", "struct", "map"))]
+    if deep and not nested:
+        raise SchemaMismatch(f"nested columns {deep} are not opted in")
+    return out
+
+
+def override(scope: str, contracts: dict[str, list[ContractColumn]], default: list[ContractColumn]) -> list[ContractColumn]:
+    """The contract kept under a scope id, else the sink's own."""
+    return contracts.get(scope, default)
+
+
 def is_valid() -> Column:
     return F.col(ERROR).isNull() | (F.col(ERROR) == "")
 

@@ -5,12 +5,14 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MODES = {"append": "append", "replace": "overwrite", "error": "errorifexists"}
-FORBIDDEN = frozenset("insert update delete merge drop create alter truncate copy attach detach pragma call grant revoke vacuum".split())
+#: Words that no reading statement has.
+FORBIDDEN = frozenset("insert update delete drop create alter truncate copy attach detach install load export import call pragma".split())
 
 
 def format_of(uri: str) -> tuple[str, str]:
@@ -34,17 +36,59 @@ def write(df: DataFrame, uri: str, mode: str = "append") -> None:
     df.write.mode("append").options(**({"header": True} if kind == "csv" else {"compression": "snappy"} if kind == "parquet" else {})).format(kind).save(path)
 
 
-def write_all(outputs: dict[str, DataFrame], root: str, job_id: str) -> dict[str, str]:
-    """Writes every output to a staging folder; only when all are there are they read back into their tables, in name order."""
-    staged = {}
+def write_all(outputs: dict[str, DataFrame], root: str, job_id: str, may_commit: Callable[[], bool] = lambda: True) -> dict[str, str]:
+    """Writes every output once, under a hidden name beside its table; only when all are there are they renamed, in name order.
+
+    may_commit is asked between the two. If it says no, or anything fails, what was written or renamed is taken back and the
+    tables are as before. A job's folder that is there already is an error, before anything is written. Returns each table's path.
+    """
+    spark = next(iter(outputs.values())).sparkSession
+    fs, path = file_system(spark, root)
     for name in sorted(outputs):
         check_name(name)
-        staged[name] = f"{root}/_staging/{job_id}-{uuid.uuid4().hex}/{name}"
-        outputs[name].write.parquet(staged[name])
-    for name, at in staged.items():
-        df = outputs[name].sparkSession.read.schema(outputs[name].schema).parquet(at)
-        df.write.mode("overwrite").parquet(f"{root}/{name}/job={job_id}")
-    return {name: f"{root}/{name}" for name in staged}
+        if fs.exists(path(f"{root}/{name}/job={job_id}")):
+            raise FileExistsError(f"{name} has rows of job {job_id} already")
+    hidden = {name: f"{root}/{name}/_{job_id}-{uuid.uuid4().hex}" for name in sorted(outputs)}
+    renamed: list[str] = []
+    try:
+        for name, at in hidden.items():
+            outputs[name].write.option("compression", "snappy").parquet(at)
+        if not may_commit():
+            raise RuntimeError(f"job {job_id} may not commit")
+        for name, at in hidden.items():
+            final = f"{root}/{name}/job={job_id}"
+            if not fs.rename(path(at), path(final)):
+                raise OSError(f"{at} could not be renamed")
+            renamed.append(final)
+    except BaseException:
+        for at in [*renamed, *hidden.values()]:
+            fs.delete(path(at), True)
+        raise
+    return {name: f"{root}/{name}" for name in hidden}
+
+
+def file_system(spark: SparkSession, root: str) -> tuple:
+    """The folder's Hadoop file system, and a maker of its paths."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    return make(root).getFileSystem(spark._jsc.hadoopConfiguration()), make
+
+
+def route(output: str, sinks: dict[str, str]) -> str:
+    """The sink of an output: its own, else the default (`*`, then `output`), else the only one there is."""
+    for name in (output, "*", "output"):
+        if name in sinks:
+            return sinks[name]
+    if len(sinks) == 1:
+        return next(iter(sinks.values()))
+    raise KeyError(f"no sink for {output}")
+
+
+def quarantine_sink(output: str, uri: str, quarantine: str | None = None) -> tuple[str, str]:
+    """Name and uri under which an output's quarantined rows are written: with its own rows, or in a folder of their own (parquet and csv only)."""
+    kind, _ = format_of(quarantine or uri)
+    if quarantine and kind not in ("parquet", "csv"):
+        raise ValueError("quarantined rows go to parquet or csv")
+    return f"{output}_quarantine", quarantine or uri
 
 
 def check_name(name: str) -> None:

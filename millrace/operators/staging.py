@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a local folder only where it is unset, as in tests."""
+    """spark.checkpoint.dir of the session. Only a local session, whose executors are this machine, may do without."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (at or "/tmp/checkpoints").rstrip("/")
+    if not at:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = tempfile.mkdtemp(prefix="spark-checkpoints-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:

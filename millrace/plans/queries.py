@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.text import failure_category, key_of, redact_hash, redact_truncate, retryable, safe_name
-from millrace.operators import backtest, catalog, contract, inference, paths, shred, sinks
+from millrace.operators import backtest, catalog, contract, inference, listing, paths, shred, sinks
 from millrace.operators.catalog import TagRule
 from millrace.operators.contract import ContractColumn
 from millrace.sources import fix, lines
@@ -97,11 +97,18 @@ def date_contract(spark, sf):
     return contract.enforce(raw, [ContractColumn("o_orderkey", "bigint"), ContractColumn("day", "date", True, "%Y-%m-%d")])
 
 
-@query("select 'c_acctbal' as name, 'removed' as change union all select 'c_mktsegment', 'type' union all select 'c_rank', 'added'")
+@query("""with b as (select unnest(['c_custkey', 'c_acctbal', 'c_mktsegment']) as name, unnest([cast(c_custkey as varchar), cast(cast(floor(c_acctbal) as bigint) as varchar) || '.5', c_mktsegment]) as v from customer),
+a as (select unnest(['c_custkey', 'c_mktsegment', 'c_rank']) as name, unnest([case when c_custkey % 50 <> 0 then cast(c_custkey as varchar) end, cast(length(c_mktsegment) * 11 as varchar), 'r' || c_custkey]) as v from customer),
+t as (select side, name, case when bool_and(regexp_full_match(v, '-?[0-9]+')) then 'integer' when bool_and(regexp_full_match(v, '-?[0-9]+\\.[0-9]+')) then 'float' else 'string' end as type, count(*) > count(v) as nullable from (select 'b' as side, * from b union all select 'a', * from a) group by 1, 2)
+select name, case when o.name is null then 'added' when n.name is null then 'removed' when o.type <> n.type then 'type' else 'nullability' end as change
+from (select * from t where side = 'b') o full join (select * from t where side = 'a') n using (name) where o.name is null or n.name is null or o.type <> n.type or o.nullable <> n.nullable""")
 def schema_diff(spark, sf):
-    before = table(spark, sf, "customer")
-    after = before.drop("c_acctbal").withColumn("c_mktsegment", F.length("c_mktsegment")).withColumn("c_rank", F.lit(1))
-    return contract.schema_changes(contract.schema_frame(before), contract.schema_frame(after))
+    """Schemas that the rows of two customer files have, compared."""
+    c = table(spark, sf, "customer")
+    before = c.select("c_custkey", F.concat(F.floor("c_acctbal").cast("string"), F.lit(".5")).alias("c_acctbal"), "c_mktsegment")
+    after = c.select(F.when(F.col("c_custkey") % 50 != 0, F.col("c_custkey")).alias("c_custkey"), (F.length("c_mktsegment") * 11).alias("c_mktsegment"), F.concat(F.lit("r"), F.col("c_custkey").cast("string")).alias("c_rank"))
+    seen = lambda df: inference.infer(df, df.columns).select("name", F.col("resolved").alias("type"), (F.col("n_null") > 0).alias("nullable"))
+    return contract.schema_changes(seen(before), seen(after))
 
 
 @query("select event_id, case when event_id % 7 = 0 or props is null then 'null_values' end as _error_reason from events")
@@ -238,11 +245,11 @@ def incremental_skip(spark, sf):
     return catalog.to_process(wanted.drop("t"), wanted.where(~gone).select("key"))
 
 
-@query(f"with {CATALOG} select count(*) as n_files, max(mtime) as watermark, sha256(string_agg(cast(file_id as varchar), ',' order by file_id)) as snapshot_hash from cat where status <> 'deleted' and extension = 'html' and mtime <= 720000000 and mtime >= 120000000")
+@query(f"""with {CATALOG}, s as (select *, sha256(cast(file_id as varchar)) as h from cat where status <> 'deleted' and extension = 'html' and mtime <= 720000000 and mtime >= 120000000)
+select count(*) as n_files, max(mtime) as watermark, sha256(concat_ws(',', count(*), {', '.join(f"coalesce(sum(cast(cast('0x' || substr(h, {1 + 8 * i}, 8) as bigint) as hugeint)), 0)" for i in range(4))})) as snapshot_hash from s""")
 def pipeline_selection(spark, sf):
     got = catalog.select_files(files(spark, sf), "html", 720000000, 600000000)
-    ids = F.array_sort(F.collect_list("file_id"))
-    return got.agg(F.count("*").alias("n_files"), F.max("mtime").alias("watermark"), F.sha2(F.array_join(F.transform(ids, lambda x: x.cast("string")), ","), 256).alias("snapshot_hash"))
+    return got.agg(F.count("*").alias("n_files"), F.max("mtime").alias("watermark"), listing.set_digest(got, "file_id").alias("snapshot_hash"))
 
 
 @query(f"with {CATALOG} select file_id, rel_path, mtime from cat where extension = 'html' order by mtime desc, rel_path limit 50 offset 10")
@@ -271,15 +278,20 @@ def backfill_days(spark, sf):
 
 # ---- inference
 
-@query("""with texts as (select 'o_orderkey' as name, cast(o_orderkey as varchar) as v from orders union all select 'o_orderstatus', o_orderstatus from orders union all select 'o_totalprice', cast(round(o_totalprice) as bigint) || '.5' from orders union all select 'day', strftime(o_orderdate, '%Y-%m-%d') from orders union all select 'void', 'NA' from orders),
-flags as (select *, v is null or v = '' or lower(v) = 'null' or v = 'NA' as nul from texts)
-select name, count(*) filter (nul) as n_null, count(*) filter (not nul) as n_values,
-  case name when 'o_orderkey' then 'integer,float,string' when 'o_totalprice' then 'float,string' when 'day' then 'date,string' when 'void' then '' else 'string' end as possible,
-  case name when 'o_orderkey' then 'integer' when 'o_totalprice' then 'float' when 'day' then 'date' when 'void' then 'null' else 'string' end as resolved,
-  case name when 'day' then '%Y-%m-%d' else '' end as date_formats from flags group by name""")
+@query("""with texts as (select 'o_orderkey' as name, cast(o_orderkey as varchar) as v from orders union all select 'o_orderstatus', o_orderstatus from orders union all select 'o_totalprice', cast(round(o_totalprice) as bigint) || '.5' from orders union all select 'day', '  ' || strftime(o_orderdate, '%Y-%m-%d') || ' ' from orders
+  union all select 'us_day', strftime(o_orderdate, '%m/%d/%y') from orders union all select 'void', 'NA' from orders),
+trimmed as (select name, trim(v) as v from texts), judged as (select *, v is null or v = '' or lower(v) = 'null' or v = 'NA' as nul from trimmed),
+f as (select name, count(*) filter (nul) as n_null, count(*) filter (not nul) as n_values,
+  bool_and(lower(v) in ('true', 'false', 'yes', 'no', 'y', 'n', '1', '0', 't', 'f')) filter (not nul) as boolean, bool_and(regexp_full_match(v, '[+-]?[0-9]+')) filter (not nul) as integer, bool_and(regexp_full_match(v, '[+-]?[0-9]*\\.?[0-9]*')) filter (not nul) as float,
+  bool_and(regexp_full_match(v, '[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}') and try_strptime(v, '%Y-%m-%d') is not null) filter (not nul) as ymd, bool_and(regexp_full_match(v, '[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}') and try_strptime(v, '%m/%d/%y') is not null) filter (not nul) as mdy,
+  bool_and(regexp_full_match(v, '[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}') and try_strptime(v, '%d/%m/%y') is not null) filter (not nul) as dmy, bool_and(regexp_full_match(v, '[0-9]{2}/[0-9]{1,2}/[0-9]{1,2}') and try_strptime(v, '%y/%m/%d') is not null) filter (not nul) as yymd from judged group by name),
+p as (select *, list_filter([case when boolean then 'boolean' end, case when integer then 'integer' end, case when float then 'float' end, case when ymd or mdy or dmy or yymd then 'date' end], lambda x: x is not null) as t from f)
+select name, n_null, n_values, array_to_string(list_filter([*t, case when n_values > 0 then 'string' end], lambda x: x is not null), ',') as possible,
+  case when n_values = 0 then 'null' when len(t) = 0 then 'string' when len(t) = 1 then t[1] when t = ['integer', 'float'] then 'integer' else 'ambiguous' end as resolved,
+  array_to_string(list_filter([case when ymd then '%Y-%m-%d' end, case when dmy then '%d/%m/%y' end, case when mdy then '%m/%d/%y' end, case when yymd then '%y/%m/%d' end], lambda x: x is not null), ',') as date_formats from p""".replace("[*t, case when n_values > 0 then 'string' end]", "list_append(t, case when n_values > 0 then 'string' end)"))
 def inferred_types(spark, sf):
     o = table(spark, sf, "orders")
-    df = o.select("o_orderkey", "o_orderstatus", F.concat(F.round("o_totalprice").cast("long").cast("string"), F.lit(".5")).alias("o_totalprice"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.lit("NA").alias("void"))
+    df = o.select("o_orderkey", "o_orderstatus", F.concat(F.round("o_totalprice").cast("long").cast("string"), F.lit(".5")).alias("o_totalprice"), F.date_format("o_orderdate", "'  'yyyy-MM-dd' '").alias("day"), F.date_format("o_orderdate", "MM/dd/yy").alias("us_day"), F.lit("NA").alias("void"))
     return inference.infer(df, df.columns)
 
 

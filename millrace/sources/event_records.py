@@ -36,10 +36,14 @@ def json_text(v: Column) -> Column:
     return F.when(kind(v) == "VOID", "null").otherwise(F.to_json(v))
 
 
+#: A whole number in hexadecimal that fits a signed long.
+HEX = "^0[xX]0*([0-9a-fA-F]{1,15}|[0-7][0-9a-fA-F]{15})$"
+
+
 def integer(text: Column) -> Column:
     t = F.trim(text)
-    hexed = F.conv(F.regexp_extract(t, "^0[xX]([0-9a-fA-F]{1,15})$", 1), 16, 10).try_cast("bigint")
-    return F.when(t.rlike("^0[xX][0-9a-fA-F]{1,15}$"), hexed).when(t.rlike("^[+-]?[0-9]+$"), t.try_cast("bigint"))
+    hexed = F.conv(F.regexp_extract(t, HEX, 1), 16, 10).try_cast("bigint")
+    return F.when(t.rlike(HEX), hexed).when(t.rlike("^[+-]?[0-9]+$"), t.try_cast("bigint"))
 
 
 def note(kind_: str, key: str | Column, value: Column, severity: int) -> Column:

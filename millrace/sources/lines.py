@@ -31,16 +31,22 @@ def raw_lines(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
 
 
 def detect_format(head: Column) -> Column:
-    """Format of a file's first characters."""
+    """Format of a file's first characters: parquet by its mark, JSON by its first bracket (lines of objects are ndjson), then commas or tabs with a line break, then text; control characters make it binary."""
     lines = F.filter(F.split(head, "\n"), lambda x: F.trim(x) != "")
     first = F.ltrim(head)
     objects = F.size(F.filter(lines, lambda x: F.trim(x).rlike(r"^\{.*\}$"))) >= 2
+    broken = F.contains(head, F.lit("\n"))
     return (
-        F.when(F.startswith(head, F.lit("PAR1")), "parquet").when(objects, "ndjson").when(first.rlike(r"^[\[{]"), "json")
-        .when(F.contains(lines[0], F.lit("\t")) & (F.size(lines) > 1), "tsv").when(F.contains(lines[0], F.lit(",")) & (F.size(lines) > 1), "csv").otherwise("text")
+        F.when(F.startswith(head, F.lit("PAR1")), "parquet").when(head.rlike(r"[\x00-\x08\x0E-\x1F\uFFFD]"), "binary").when(objects, "ndjson").when(first.rlike(r"^[\[{]"), "json")
+        .when(F.contains(head, F.lit(",")) & broken, "csv").when(F.contains(head, F.lit("\t")) & broken, "tsv").otherwise("text")
     )
 
 
+def raw_head(content: Column, n: int) -> Column:
+    """The first n bytes in hexadecimal, two digits a byte with spaces between."""
+    return F.rtrim(F.regexp_replace(F.hex(F.substring(content, 1, n)), "(..)", "$1 "))
+
+
 def json_pairs(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """A row for each key of a flat JSON object: key, value_raw, value_type, value_int64."""
     pairs = F.map_entries(F.from_json(text, "map<string,string>"))
@@ -64,3 +70,10 @@ def record_types(lines: DataFrame, line: str, keep: list[str], width: int) -> Da
 def tables_by_type(records: DataFrame, types: dict[str, dict[str, str]]) -> dict[str, DataFrame]:
     """A table for each wanted type: {type: {new name: column}}. Each is a filter and a projection of the same scan."""
     return {t: records.where(F.col("record_type") == t).select(*[F.col(old).alias(new) for new, old in columns.items()]) for t, columns in types.items()}
+
+
+def made_paths(df: DataFrame, key: str, fan_out: tuple[int, ...], largest: int) -> DataFrame:
+    """rel_path and size of a made-up file for each whole number in `key`: a folder level for each fan-out. To measure catalogs by."""
+    k = F.col(key)
+    folders = [F.concat(F.lit("d"), (k % n).cast("string"), F.lit("/")) for n in fan_out]
+    return df.select(F.concat(*folders, F.lit("file_"), k.cast("string"), F.lit(".dat")).alias("rel_path"), (k % largest).alias("size"))
