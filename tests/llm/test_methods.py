@@ -54,31 +54,77 @@ def test_lm_scores(spark, texts):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_lm_probabilities_sum_to_one():
-    """Over all words seen in training and one unknown word, each restaurant's predictive probabilities sum to one."""
+def small_model(bits=3):
     rng = random.Random(3)
     vocabulary = [f"w{i}".encode() for i in range(40)]
     block = pitman_yor.Block(0)
     for d in range(60):
         block.add(d, " ".join(rng.choice(vocabulary[: 1 + d]).decode() if d else "" for _ in range(30)))
-    block.held = [False] * 60
-    block.close(1)
+    block.held = [d % 5 == 0 for d in range(60)]
+    block.close(1, bits)
     sizes = np.bincount(block.place_of, minlength=len(block.words)).astype(np.int32)
     row = {"bucket": 0, "block": 0, "words": b"\n".join(block.words), "sizes": sizes.tobytes(), "classes": block.classes.tobytes(), "counts": block.counts.tobytes()}
-    merged = pitman_yor.merge((0,), pd.DataFrame([row])).iloc[0].to_dict()
-    b = pitman_yor.Bucket(merged)
-    model = pitman_yor.Model(merged["customers"], merged["pairs"], merged["sums"])
-    model.totals = np.array([np.r_[np.bincount(b.classes, weights=t, minlength=pitman_yor.CLASSES), r.sum()] for t, _, r in model.samples(b)])
-    for k in np.unique(b.classes)[:10]:
-        total = 0.0
-        for (tables, seated, at_root), sums in zip(model.samples(b), model.totals):
-            p = model.parent(seated, at_root, sums[:-1].sum(), sums[-1])
-            unknown = float(model.parent(np.zeros(1), np.zeros(1), sums[:-1].sum(), sums[-1])[0])
-            back = (pitman_yor.THETA + model.d * sums[k]) / (pitman_yor.THETA + model.customers[k])
-            mine = b.classes == k
-            held = (b.counts[mine] - model.d * tables[mine]) / (pitman_yor.THETA + model.customers[k])
-            total += held.sum() + back * (p.sum() + unknown)
-        assert math.isclose(total / pitman_yor.SAMPLES, 1.0, rel_tol=1e-6)
+    b = pitman_yor.Bucket(pitman_yor.merge_with(bits)((0,), pd.DataFrame([row])).iloc[0].to_dict(), bits)
+    k = pitman_yor.PARENTS << bits
+    flat = lambda pairs, families, words: np.r_[np.bincount(b.classes, weights=pairs, minlength=k), np.bincount(b.parents, weights=families, minlength=pitman_yor.PARENTS), words.sum()]
+    model = pitman_yor.Model(bits, np.bincount(b.classes, weights=b.counts, minlength=k), b.total.sum(), (b.total > 0).sum(), np.array([10.0, 5, 10, 5, 10, 5]))
+    model.sizes.append(pitman_yor.Sizes(flat(*b.opening()), bits))
+    for _ in range(pitman_yor.BURN_IN + pitman_yor.SAMPLES):
+        *_, (tables, _, families, _, words) = model.sweeps(b)
+        model.sizes.append(pitman_yor.Sizes(flat(tables, families, words), bits))
+    return model, b
+
+
+def test_lm_probabilities_sum_to_one():
+    """Over all words seen in training and one unknown word, each restaurant's predictive probabilities sum to one, in each sample."""
+    model, b = small_model()
+    seen = b.total > 0
+    for j, (tables, at_family, families, at_word, words) in enumerate(model.sweeps(b, 3)):
+        z = model.sizes[j + 1]
+        root = model.at_root(at_word, words, z)
+        unknown = float(model.at_root(np.zeros(1), np.zeros(1), z)[0])
+        assert math.isclose(root[seen].sum() + unknown, 1.0, rel_tol=1e-9)
+        for k in np.unique(b.classes)[:20].tolist():
+            parent = k >> model.bits
+            there = np.zeros(b.n), np.zeros(b.n)
+            mine = b.parents == parent
+            there[0][b.family_word[mine]], there[1][b.family_word[mine]] = at_family[mine], families[mine]
+            up = model.at_parent(*there, np.full(b.n, parent), root, z)
+            up_unknown = float(model.at_parent(np.zeros(1), np.zeros(1), np.array([parent]), np.array([unknown]), z)[0])
+            assert math.isclose(up[seen].sum() + up_unknown, 1.0, rel_tol=1e-9)
+            c, t = np.zeros(b.n), np.zeros(b.n)
+            pairs = b.classes == k
+            c[b.word[pairs]], t[b.word[pairs]] = b.counts[pairs], tables[pairs]
+            p = model.at_class(c, t, np.full(b.n, k), up, z)
+            last = float(model.at_class(np.zeros(1), np.zeros(1), np.array([k]), np.array([up_unknown]), z)[0])
+            assert math.isclose(p[seen].sum() + last, 1.0, rel_tol=1e-9)
+
+
+def test_lm_draws_are_exact():
+    """Numbers of tables against the posterior over all partitions of a few customers, for light and heavy new tables."""
+
+    def partitions(n):
+        if not n:
+            yield []
+            return
+        for p in partitions(n - 1):
+            for i in range(len(p)):
+                yield [*p[:i], p[i] + 1, *p[i + 1 :]]
+            yield [*p, 1]
+
+    rng = np.random.default_rng(4)
+    for c, d, weight in ((2, 0.5, 0.3), (6, 0.4, 1.5), (6, 0.8, 0.05)):
+        want = np.zeros(c + 1)
+        for p in partitions(c):
+            want[len(p)] += weight ** len(p) * math.prod(math.prod(i - d for i in range(1, size)) for size in p)
+        got = np.bincount(pitman_yor.Seats(d).draw(np.full(40_000, c), np.full(40_000, weight), rng), minlength=c + 1) / 40_000
+        assert np.abs(got - want / want.sum()).max() < 0.012
+
+
+def test_lm_classes_grow():
+    assert pitman_yor.class_bits(0) == pitman_yor.class_bits(6_000_000) == 0 < pitman_yor.class_bits(10**8) < pitman_yor.class_bits(5 * 10**8) < pitman_yor.class_bits(10**12) == pitman_yor.MOST_BITS
+    assert all(0 < pitman_yor.word_class(w, 5) < pitman_yor.PARENTS << 5 for w in (b"", b"a", b"walked", b"united"))
+    assert pitman_yor.word_class(b"walked", 5) >> 5 == pitman_yor.word_class(b"united", 0)
 
 
 def naive_fingerprint(text):
