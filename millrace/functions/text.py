@@ -84,6 +84,28 @@ def redact_truncate(c: Column, length: int) -> Column:
     return F.when(F.length(c) > length, F.concat(F.substring(c, 1, length), F.lit("..."))).otherwise(c)
 
 
+def redacted_json(text: Column, length: int | None = None, depth: int = 3) -> Column:
+    """JSON with its strings cut to `length`, or, without one, strings and numbers as digests; arrays and objects inside are treated alike, `depth` levels deep, deeper ones as one digest. Booleans and nulls pass."""
+    kind = F.regexp_extract(F.schema_of_variant(F.try_parse_json(text)), "^([A-Z]+)", 1)
+    value = F.get_json_object(text, "$")
+    quoted = lambda c: F.to_json(F.struct(c.alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(c.alias("v")))) - 6)
+    plain = F.when(kind == "STRING", quoted(redact_hash(value) if length is None else redact_truncate(value, length)))
+    if length is None:
+        plain = plain.when(kind.isin("BIGINT", "DOUBLE", "DECIMAL", "FLOAT"), quoted(redact_hash(text)))
+    if not depth:
+        return plain.when(kind.isin("ARRAY", "OBJECT"), quoted(redact_hash(text))).otherwise(text)
+    inner = lambda c: redacted_json(c, length, depth - 1)
+    items = F.transform(F.try_variant_get(F.try_parse_json(text), "$", "array<variant>"), lambda v: inner(F.to_json(v)))
+    fields = F.transform(F.json_object_keys(text), lambda k: F.concat(quoted(k), F.lit(":"), inner(F.to_json(F.element_at(F.try_variant_get(F.try_parse_json(text), "$", "map<string,variant>"), k)))))
+    array = F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
+    return plain.when(kind == "ARRAY", array).when(kind == "OBJECT", F.concat(F.lit("{"), F.array_join(fields, ","), F.lit("}"))).otherwise(text)
+
+
+def binned(c: Column, edges: tuple[float, ...], labels: tuple[str, ...]) -> Column:
+    """The label of the bin (edge, next edge] that a number lies in; null outside all bins."""
+    return first_of(*[((c > lo) & (c <= hi), label) for lo, hi, label in zip(edges, edges[1:], labels)])
+
+
 def key_of(*parts: Column | str) -> Column:
     """Digest of parts, each followed by the unit separator."""
     return F.sha2(F.concat(*[F.concat(F.coalesce(p.cast("string") if isinstance(p, Column) else F.lit(p), F.lit("")), F.lit(UNIT)) for p in parts]), 256)

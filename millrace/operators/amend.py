@@ -87,6 +87,11 @@ def apply_changes(df: DataFrame, changes: list[Change]) -> DataFrame:
     return df
 
 
+def without_files(df: DataFrame, excluded: DataFrame, file: str = "file_id") -> DataFrame:
+    """Rows of files that an approval does not exclude."""
+    return df.join(excluded.select(F.col(file).alias("_file")).distinct(), F.col(file) == F.col("_file"), "left_anti")
+
+
 def elimination_evidence(df: DataFrame, columns: list[str], order: str) -> DataFrame:
     """name, type, value: for each column and type that its values rule out, the value of least `order` that does. One aggregate."""
     texts = df.select(F.col(order).alias("_o"), F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("v")) for c in columns])).alias("x")).select("_o", "x.*")

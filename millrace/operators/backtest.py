@@ -40,6 +40,19 @@ def backtest_order(health: DataFrame, file: str = "file") -> DataFrame:
     return health.withColumn("bucket", bucket).orderBy("bucket", F.desc("n_consecutive"), file)
 
 
+def stop_reason(rates: list[float], elapsed: float, enough: float = 0.95, iterations: int = 10, seconds: float = 300, window: int = 3, least: float = 0.01) -> str | None:
+    """Why a loop over iterations ends after these pass rates: pass_rate_achieved, max_iterations, timeout or plateau, the first that holds; else it goes on."""
+    if not rates:
+        return None
+    if rates[-1] >= enough:
+        return "pass_rate_achieved"
+    if len(rates) >= iterations:
+        return "max_iterations"
+    if elapsed >= seconds:
+        return "timeout"
+    return "plateau" if len(rates) >= window and rates[-1] - rates[-window] < least else None
+
+
 def failure_history(runs: DataFrame, file: str = "file", order: str = "run") -> DataFrame:
     """Files that ever failed: failures, last failing run, its error and category, and whether a later run passed. A partial aggregate; the log is append-only."""
     bad = ~F.col("passed")

@@ -20,8 +20,12 @@ def with_path_parts(df: DataFrame, rel_path: str = "rel_path") -> DataFrame:
     return df.withColumns({"parent_path": F.regexp_extract(p, "^(.*)/[^/]*$", 1), "name": name, "extension": F.lower(F.regexp_extract(name, r"[^.]\.([^.]+)$", 1))})
 
 
-def without_excluded(df: DataFrame, rel_path: str = "rel_path") -> DataFrame:
-    return df.where(~F.col(rel_path).rlike(EXCLUDED_DIRS))
+def without_excluded(df: DataFrame, rel_path: str = "rel_path", substrings: tuple[str, ...] = ()) -> DataFrame:
+    """df without paths below an excluded folder, or with one of the substrings anywhere."""
+    out = df.where(~F.col(rel_path).rlike(EXCLUDED_DIRS))
+    for part in substrings:
+        out = out.where(~F.contains(rel_path, F.lit(part)))
+    return out
 
 
 def scan_filter(df: DataFrame, include: tuple = (), exclude: tuple = (), min_size: int | None = None, max_size: int | None = None, max_depth: int | None = None, extensions: tuple = ()) -> DataFrame:
@@ -186,3 +190,17 @@ def materializations(outputs: DataFrame) -> DataFrame:
     """A record for each output that did not fail: no_data without rows, partial_success with quarantined ones, else success."""
     status = F.when(F.col("n_rows") + F.col("n_quarantined") == 0, "no_data").when(F.col("n_quarantined") > 0, "partial_success").otherwise("success")
     return outputs.where(~F.col("failed")).withColumn("status", status).drop("failed")
+
+
+def evidence(df: DataFrame, tokens: tuple[str, ...], top: int = 10) -> DataFrame:
+    """what, which, n of a selection: its `top` folders of three steps, its extensions, and how many paths have each token."""
+    folder = F.array_join(F.slice(F.split("rel_path", "/"), 1, 3), "/")
+    dirs = df.groupBy(folder.alias("which")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "which").limit(top)
+    extensions = df.groupBy(F.col("extension").alias("which")).agg(F.count("*").alias("n"))
+    found = F.array(*[F.struct(F.lit(t).alias("which"), F.count_if(F.contains(F.lower("rel_path"), F.lit(t.lower()))).alias("n")) for t in tokens])
+    said = df.agg(found.alias("x")).select(F.inline("x"))
+    out = None
+    for what, part in (("dir", dirs), ("ext", extensions), ("token", said)):
+        one = part.select(F.lit(what).alias("what"), "which", "n")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -14,6 +14,23 @@ def shards(df: DataFrame, key: str, top: int = 5) -> DataFrame:
     return df.join(F.broadcast(best), F.col(key) == F.col("k"), "left").withColumn("shard", F.coalesce("k", F.lit(REST))).drop("k")
 
 
+def promoted_shards(df: DataFrame, key: str, top: int = 5, promotion: int = 1000) -> DataFrame:
+    """df with `shard`: the top keys have their own, and so has any other key of `promotion` rows or more; the rest share one.
+
+    The counts are a row a key and are joined back by key, not broadcast, as there may be many.
+    """
+    n = df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col(key).isNotNull())
+    best = n.orderBy(F.desc("_n"), key).limit(top)
+    own = best.unionByName(n.where(F.col("_n") >= promotion)).select(F.col(key).alias("_k")).distinct()
+    return df.join(own, F.col(key) == F.col("_k"), "left").withColumn("shard", F.coalesce(F.col("_k").cast("string"), F.lit(REST))).drop("_k")
+
+
+def shard_sizes(sharded: DataFrame, key: str, order: str) -> DataFrame:
+    """shard, rows, bytes of the rows as JSON, first and last place in the source, and how many keys it has."""
+    row = F.octet_length(F.to_json(F.struct(*[c for c in sharded.columns if c != "shard"])))
+    return sharded.groupBy("shard").agg(F.count("*").alias("n_rows"), F.sum(row).alias("n_bytes"), F.min(order).alias("first_row"), F.max(order).alias("last_row"), F.count_distinct(key).alias("n_keys"))
+
+
 def shard_metadata(sharded: DataFrame, order: str) -> DataFrame:
     return sharded.groupBy("shard").agg(F.count("*").alias("n_rows"), F.min(order).alias("first_row"), F.max(order).alias("last_row"))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.text import failure_category, key_of, redact_hash, redact_truncate, retryable, safe_name
+from millrace.functions.text import binned, failure_category, key_of, redact_hash, redact_truncate, retryable, safe_name
 from millrace.operators import backtest, catalog, contract, inference, listing, paths, shred, sinks
 from millrace.operators.catalog import TagRule
 from millrace.operators.contract import ContractColumn
@@ -117,10 +117,10 @@ def any_null_split(spark, sf):
     return contract.any_null(df).select("event_id", "_error_reason")
 
 
-@query("select l_orderkey, l_linenumber, case when l_quantity <= 0 then null when l_quantity <= 10 then 'low' when l_quantity <= 25 then 'mid' else 'high' end as bin from lineitem")
+@query("select event_id, value * 2 as value_doubled, case when value <= 0 then null when value <= 100 then 'low' when value <= 200 then 'medium' when value <= 300 then 'high' when value <= 500 then 'very_high' end as value_category from events")
 def quantity_bins(spark, sf):
-    q = F.col("l_quantity")
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.when(q <= 0, None).when(q <= 10, "low").when(q <= 25, "mid").otherwise("high").alias("bin"))
+    v = F.col("value")
+    return table(spark, sf, "events").select("event_id", (v * 2).alias("value_doubled"), binned(v, (0, 100, 200, 300, 500), ("low", "medium", "high", "very_high")).alias("value_category"))
 
 
 # ---- catalog
@@ -199,9 +199,7 @@ def tag_stats(spark, sf):
 
 @query(f"with {CATALOG}, {MATCHED} select file_id, rel_path from tagged where tag is null")
 def untagged_files(spark, sf):
-    df = files(spark, sf)
-    tags = catalog.all_rules(df, RULES).select("file_id").distinct()
-    return df.join(tags, "file_id", "left_anti").select("file_id", "rel_path")
+    return catalog.first_rule(files(spark, sf), RULES).where("tag is null").select("file_id", "rel_path")
 
 
 def snapshots(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -452,7 +450,6 @@ def event_timeline(spark, sf):
 
 @query(f"with {ENFORCED} select user_id as file, count(*) as n_rows from enforced join events using (event_id) where _cf_row_error is not null group by 1 order by n_rows desc, file limit 20")
 def worst_files(spark, sf):
-    bad = contract.split(enforced_events(spark, sf), "job-1")[1].select("event_id")
-    users = table(spark, sf, "events").select("event_id", F.col("user_id").alias("file"))
-    return bad.join(users, "event_id").groupBy("file").agg(F.count("*").alias("n_rows")).orderBy(F.desc("n_rows"), "file").limit(20)
-
+    raw = table(spark, sf, "events").select("event_id", "ts", "event_type", F.col("value").cast("string").alias("amount"), F.col("user_id").alias("file"))
+    enforced = contract.enforce(raw, [*EVENTS, ContractColumn("file", dict(raw.dtypes)["file"])])
+    return contract.split(enforced, "job-1")[1].groupBy("file").agg(F.count("*").alias("n_rows")).orderBy(F.desc("n_rows"), "file").limit(20)

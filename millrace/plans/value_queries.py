@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import values
 from millrace.functions.text import key_of
-from millrace.operators import backtest, contract, listing, samples, sinks
+from millrace.operators import backtest, catalog, contract, listing, samples, sinks
 from millrace.operators.contract import ContractColumn
 from millrace.operators.staging import shared_folder
 from millrace.plans.queries import CATALOG, ENFORCED, EVENTS, RUNS, VIOLATION, enforced_events, files, query, runs, table
@@ -280,6 +280,18 @@ def backtest_queue(spark, sf):
     return backtest.backtest_order(backtest.consecutive_failures(runs(spark, sf))).limit(100).select("file", "bucket", "n_consecutive")
 
 
+@query("""with g as (select l_orderkey * 8 + l_linenumber as k from lineitem), p as (select k, 'd' || (k % 100) || '/d' || (k % 97) || '/file_' || k || '.dat' as rel_path, k % 4096 as size from g),
+b as (select rel_path, size + case when k % 7 = 0 then 1 else 0 end as size from p where k % 10 <> 0), n as (select rel_path, size from p where k % 11 <> 0)
+select case when b.rel_path is null then 'new' when n.rel_path is null then 'deleted' when b.size = n.size then 'unchanged' else 'changed' end as state, count(*) as n_files from n full join b using (rel_path) group by 1""")
+def generated_upsert(spark, sf):
+    """Made-up paths of line items as two scans of a catalog, merged."""
+    keys = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("k"))
+    made = lambda df: lines.made_paths(df, "k", (100, 97), 4096)
+    shifted = made(keys.where("k % 10 <> 0 and k % 7 = 0")).withColumn("size", F.col("size") + 1)
+    before = made(keys.where("k % 10 <> 0 and k % 7 <> 0")).unionByName(shifted).withColumn("status", F.lit("processed"))
+    return catalog.upsert(before, made(keys.where("k % 11 <> 0")), "rel_path", ["size"]).groupBy("state").agg(F.count("*").alias("n_files"))
+
+
 @query("select 'd' || (o_orderkey % 10) || '/d' || (o_orderkey % 7) || '/file_' || o_orderkey || '.dat' as rel_path, o_orderkey % 4096 as size from orders")
 def generated_paths(spark, sf):
     return lines.made_paths(table(spark, sf, "orders"), "o_orderkey", (10, 7), 4096)
