@@ -11,7 +11,7 @@ from millrace.functions.text import binned, failure_category, key_of, redact_has
 from millrace.operators import backtest, catalog, contract, inference, listing, paths, shred, sinks
 from millrace.operators.catalog import TagRule
 from millrace.operators.contract import ContractColumn
-from millrace.sources import fix, lines
+from millrace.sources import fix, fix_outputs, lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -322,7 +322,7 @@ select o_orderkey, 0 as message_index, sha256(line) as raw_line_hash, 'order' as
 union all
 select o_orderkey, 1, sha256(line), 'order', '8', cast(o_orderkey % 6 as varchar), o_orderstatus, o_orderkey, null, null, cast(o_orderkey as varchar), null, null, null, case o_orderkey % 6 when 0 then 'ack' when 1 then 'partial_fill' when 2 then 'fill' when 4 then 'cancel' when 5 then 'replace' else 'exec_report' end from l""")
 def fix_messages(spark, sf):
-    return fix.parse(fix_lines(spark, sf))
+    return fix_outputs.typed_messages(fix_lines(spark, sf))
 
 
 @query(f"""with {FIX}, m as (select o_orderkey, unnest(['8=FIX' || string_split(line, '8=FIX')[2], '8=FIX' || string_split(line, '8=FIX')[3]]) as message, unnest([0, 1]) as message_index from l),
@@ -334,7 +334,7 @@ def fix_tags(spark, sf):
 
 @query("select o_orderkey, msg_seq_num, e as lifecycle_event from (select o_orderkey, o_orderkey as msg_seq_num, unnest(['new_order', case o_orderkey % 6 when 0 then 'ack' when 1 then 'partial_fill' when 2 then 'fill' when 4 then 'cancel' when 5 then 'replace' else 'exec_report' end]) as e from orders where o_orderkey = (select min(o_orderkey) from orders))")
 def order_history(spark, sf):
-    parsed = fix.parse(fix_lines(spark, sf))
+    parsed = fix_outputs.typed_messages(fix_lines(spark, sf))
     first = table(spark, sf, "orders").agg(F.min("o_orderkey").cast("string").alias("id"))
     return parsed.join(F.broadcast(first), parsed.cl_ord_id == F.col("id")).orderBy("msg_seq_num", "message_index").select("o_orderkey", "msg_seq_num", "lifecycle_event")
 

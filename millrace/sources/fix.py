@@ -1,12 +1,10 @@
-"""FIX log lines to typed messages, as expressions over a table of lines."""
+"""FIX log lines taken apart into messages and fields, as expressions over a table of lines."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import lifecycle_event
-
 ORDER_TYPES = ("D", "8", "F", "G", "9", "H")
 SOH = "\u0001"
 
@@ -31,29 +29,6 @@ def fields(message: Column) -> Column:
     return F.transform(parts, lambda f: F.struct(F.trim(F.substring_index(f, "=", 1)).alias("tag"), F.substring(f, F.instr(f, "=") + 1, F.length(f)).alias("value")))
 
 
-def last_value(fields: Column, tag: int) -> Column:
-    """Value of a tag; the last of repeated ones."""
-    return F.try_element_at(F.filter(fields, lambda f: f["tag"] == str(tag)), F.lit(-1))["value"]
-
-
-def fix_decimal(v: Column) -> Column:
-    return F.round(v.try_cast("decimal(38,12)"), 10).cast("decimal(38,10)")
-
-
-def parse(lines: DataFrame) -> DataFrame:
-    """Messages with type, ids, quantities, the order's event and the line's digest; `kind` says order, session or error."""
-    m = messages(lines).withColumn("fields", fields(F.col("message")))
-    tag = lambda n: last_value(F.col("fields"), n)
-    m = m.withColumns({"msg_type": tag(35), "exec_type": tag(150), "ord_status": tag(39)})
-    kind = F.when(F.col("msg_type").isNull(), "error").when(F.col("msg_type").isin(*ORDER_TYPES), "order").otherwise("session")
-    return m.select(
-        *[c for c in lines.columns if c != "line"], "message_index", F.sha2(F.regexp_replace("line", "[\r\n]+$", ""), 256).alias("raw_line_hash"), kind.alias("kind"), "msg_type", "exec_type", "ord_status",
-        tag(34).try_cast("bigint").alias("msg_seq_num"), tag(49).alias("sender_comp_id"), tag(56).alias("target_comp_id"), tag(11).alias("cl_ord_id"), tag(55).alias("symbol"),
-        fix_decimal(tag(38)).alias("order_qty"), fix_decimal(tag(44)).alias("price"),
-        lifecycle_event(F.col("msg_type"), F.col("exec_type"), F.col("ord_status")).alias("lifecycle_event"),
-    )
-
-
 def tags(lines: DataFrame) -> DataFrame:
     """A row a field: tag, value, position from 1."""
     m = messages(lines).withColumn("fields", fields(F.col("message")))

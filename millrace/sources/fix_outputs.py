@@ -86,6 +86,18 @@ def _columns(spec: tuple, zone: str) -> list[Column]:
     return [F.col("line_number").alias("__cf_row_id"), *[(event if kind == "event" else make[kind](value(tag))).alias(name) for name, tag, kind in spec]]
 
 
+def typed_messages(lines: DataFrame) -> DataFrame:
+    """Messages with type, ids, quantities, the order's event and the line's digest; `kind` says order, session or error."""
+    m = parsed(lines)
+    kind = F.when(F.col("msg_type").isNull(), "error").when(F.col("msg_type").isin(*ORDER_TYPES), "order").otherwise("session")
+    m = m.withColumns({"exec_type": value(150), "ord_status": value(39)})
+    return m.select(
+        *[c for c in lines.columns if c != "line"], "message_index", "raw_line_hash", kind.alias("kind"), "msg_type", "exec_type", "ord_status",
+        value(34).try_cast("bigint").alias("msg_seq_num"), value(49).alias("sender_comp_id"), value(56).alias("target_comp_id"), value(11).alias("cl_ord_id"), value(55).alias("symbol"),
+        decimal(value(38)).alias("order_qty"), decimal(value(44)).alias("price"), lifecycle_event(F.col("msg_type"), F.col("exec_type"), F.col("ord_status")).alias("lifecycle_event"),
+    )
+
+
 def order_lifecycle(lines: DataFrame, zone: str) -> DataFrame:
     """Messages of ORDER_TYPES with 53 columns; times are of `zone`, which has no default as logs do not tell theirs."""
     m = parsed(lines)

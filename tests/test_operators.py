@@ -7,7 +7,7 @@ from pyspark.sql.types import StructType
 from millrace.functions import text
 from millrace.operators import amend, backtest, catalog, contract, inference, parsers, path_groups, paths, sinks
 from millrace.operators.contract import ContractColumn
-from millrace.sources import event_records, fix, fix_outputs, lines
+from millrace.sources import event_records, fix_outputs, lines
 from millrace.streaming.contract_stream import run_available
 
 LIFECYCLE = [
@@ -24,7 +24,7 @@ LIFECYCLE = [
 
 def test_fix(spark):
     df = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(LIFECYCLE)], "line_number long, line string")
-    got = fix.parse(df).orderBy("line_number", "message_index").collect()
+    got = fix_outputs.typed_messages(df).orderBy("line_number", "message_index").collect()
     assert [(r.line_number, r.lifecycle_event) for r in got] == [(i, e) for i, (_, es) in enumerate(LIFECYCLE) for e in es]
     assert str(got[0].order_qty) == "100.1234567891"
     assert {r.kind for r in got if r.msg_type == "A"} == {"session"}
