@@ -34,6 +34,8 @@ SHARD = 512
 MOST = 50_000
 #: Bits that a vantage point's distance tells about a shard, about.
 BITS_EACH = 2.9
+#: Parts of a group when its members are named.
+SALTS = 32
 #: Above so many links a member, groups are first covered by pivots.
 DENSE = 20
 
@@ -201,9 +203,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     fps = stage(fingerprints(docs, doc_id, text), "fingerprints")
     distinct = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = connected(links(distinct.select("fp"), distinct.count(), radius))
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    known = rooted.join(least, "root").select("fp", "component_id")
+    linked = roots.join(distinct, F.col("node") == F.col("fp")).select("fp", "first", "root")
+    # A group's name goes to its members in SALTS parts, so that a large group is no single key.
+    least = linked.groupBy("root").agg(F.min("first").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(least, ["root", "salt"]).select("fp", "component_id")
+    known = distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     return fps.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
