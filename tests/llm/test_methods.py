@@ -54,50 +54,80 @@ def test_lm_scores(spark, texts):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def small_model(bits=3):
+def small_model(plan):
     rng = random.Random(3)
     vocabulary = [f"w{i}".encode() for i in range(40)]
-    block = pitman_yor.Block(0)
-    for d in range(60):
-        block.add(d, " ".join(rng.choice(vocabulary[: 1 + d]).decode() if d else "" for _ in range(30)))
-    block.held = [d % 5 == 0 for d in range(60)]
-    block.close(1, bits)
-    sizes = np.bincount(block.place_of, minlength=len(block.words)).astype(np.int32)
-    row = {"bucket": 0, "block": 0, "words": b"\n".join(block.words), "sizes": sizes.tobytes(), "classes": block.classes.tobytes(), "counts": block.counts.tobytes()}
-    b = pitman_yor.Bucket(pitman_yor.merge_with(bits)((0,), pd.DataFrame([row])).iloc[0].to_dict(), bits)
-    k = pitman_yor.PARENTS << bits
-    flat = lambda pairs, families, words: np.r_[np.bincount(b.classes, weights=pairs, minlength=k), np.bincount(b.parents, weights=families, minlength=pitman_yor.PARENTS), words.sum()]
-    model = pitman_yor.Model(bits, np.bincount(b.classes, weights=b.counts, minlength=k), b.total.sum(), (b.total > 0).sum(), np.array([10.0, 5, 10, 5, 10, 5]))
-    model.sizes.append(pitman_yor.Sizes(flat(*b.opening()), bits))
+    rows = []
+    for number in range(2):
+        block = pitman_yor.Block(number)
+        for d in range(60):
+            block.add(d, " ".join(rng.choice(vocabulary[: 1 + d]).decode() if d else "" for _ in range(30)))
+        block.held = [d % 5 == 0 for d in range(60)]
+        block.close(plan)
+        rows += block.packets()
+    names = [x.split()[0] for x in pitman_yor.WORDS.split(", ")]
+    frame = pd.DataFrame(rows, columns=names)
+    buckets, words = [], []
+    for k, part in frame.groupby("bucket"):
+        buckets.append(pitman_yor.Bucket(pitman_yor.merge_with(plan)((k,), part).iloc[0].to_dict(), plan.bits))
+        words.append(list(dict.fromkeys(w for x in part.sort_values("block")["words"] for w in x.split(b"\n"))))
+    edges = pitman_yor.range_edges(plan.bits)
+
+    def total(batches):
+        value, customers = np.zeros(int(edges[-1])), np.zeros(int(edges[-1]))
+        for r in (r for b in batches for r in b.to_pylist()):
+            value[np.frombuffer(r["at"], np.int32)] += np.frombuffer(r["value"])
+            customers[np.frombuffer(r["at"], np.int32)] += np.frombuffer(r["customers"])
+        n = pitman_yor.SINGLES
+        return value[:-n], customers[:-n], value[-n:]
+
+    openings = []
+    for b in buckets:
+        pairs, families, own = b.opening()
+        at_word = np.bincount(b.family_word, weights=families, minlength=b.n)
+        openings.append(pitman_yor.sized(b, plan.bits, pairs, families, at_word, own, [float(b.total.sum()), float((b.total[b.whole] > 0).sum()), 10.0, 5, 10, 5, 10, 5]))
+    flat, customers, singles = total(openings)
+    singles[2:] /= len(buckets)
+    model = pitman_yor.Model(plan.bits, customers[: plan.classes], customers[plan.classes + pitman_yor.PARENTS + 1 :], singles)
+    model.record(flat, opening=True)
     for _ in range(pitman_yor.BURN_IN + pitman_yor.SAMPLES):
-        *_, (tables, _, families, _, words) = model.sweeps(b)
-        model.sizes.append(pitman_yor.Sizes(flat(tables, families, words), bits))
-    return model, b
-
-
-def test_lm_probabilities_sum_to_one():
-    """Over all words seen in training and one unknown word, each restaurant's predictive probabilities sum to one, in each sample."""
-    model, b = small_model()
-    seen = b.total > 0
-    for j, (tables, at_family, families, at_word, words) in enumerate(model.sweeps(b, 3)):
-        z = model.sizes[j + 1]
-        root = model.at_root(at_word, words, z)
+        drawn = []
+        for b in buckets:
+            *_, (tables, _, families, at_word, own) = model.sweeps(b)
+            drawn.append(pitman_yor.sized(b, plan.bits, tables, families, at_word, own))
+        model.record(total(drawn)[0])
+    return model, buckets, words
+
+
+@pytest.mark.parametrize("hot", [(), (b"w0", b"", b"w3", b"absent")])
+def test_lm_probabilities_sum_to_one(hot):
+    """Over all words seen in training and one unknown word, each restaurant's predictive probabilities sum to one in each sample, in however many buckets a word lies."""
+    plan = pitman_yor.Plan(3, 3, hot=hot)
+    model, buckets, words = small_model(plan)
+    plain = small_model(pitman_yor.Plan(1, 3))[0]
+    assert (model.n, model.v) == (plain.n, plain.v) and np.array_equal(model.customers, plain.customers)
+    assert {w for w in hot if w != b"absent"} == {w for b, own in zip(buckets, words) for w in np.array(own, object)[b.split].tolist()}
+    for j in range(3):
+        z, samples = model.sizes[j + 1], [list(model.sweeps(b, 3))[j] for b in buckets]
+        root, parents, classes = {}, collections.defaultdict(dict), collections.defaultdict(dict)
+        for b, own, (tables, at_family, families, at_word, mine) in zip(buckets, words, samples):
+            total = b.total.copy()
+            total[b.split] = model.hot_totals[b.hot]
+            root |= {own[i]: p for i, p in enumerate(model.root_of(b, at_word, mine, z).tolist()) if total[i]}
+            for i, (w, k) in enumerate(zip(b.family_word.tolist(), b.parents.tolist())):
+                parents[k][own[w]] = at_family[i], families[i]
+            for i, (w, k) in enumerate(zip(b.word.tolist(), b.classes.tolist())):
+                classes[k][own[w]] = b.counts[i], tables[i]
         unknown = float(model.at_root(np.zeros(1), np.zeros(1), z)[0])
-        assert math.isclose(root[seen].sum() + unknown, 1.0, rel_tol=1e-9)
-        for k in np.unique(b.classes)[:20].tolist():
-            parent = k >> model.bits
-            there = np.zeros(b.n), np.zeros(b.n)
-            mine = b.parents == parent
-            there[0][b.family_word[mine]], there[1][b.family_word[mine]] = at_family[mine], families[mine]
-            up = model.at_parent(*there, np.full(b.n, parent), root, z)
-            up_unknown = float(model.at_parent(np.zeros(1), np.zeros(1), np.array([parent]), np.array([unknown]), z)[0])
-            assert math.isclose(up[seen].sum() + up_unknown, 1.0, rel_tol=1e-9)
-            c, t = np.zeros(b.n), np.zeros(b.n)
-            pairs = b.classes == k
-            c[b.word[pairs]], t[b.word[pairs]] = b.counts[pairs], tables[pairs]
-            p = model.at_class(c, t, np.full(b.n, k), up, z)
-            last = float(model.at_class(np.zeros(1), np.zeros(1), np.array([k]), np.array([up_unknown]), z)[0])
-            assert math.isclose(p[seen].sum() + last, 1.0, rel_tol=1e-9)
+        assert math.isclose(sum(root.values()) + unknown, 1.0, rel_tol=1e-9)
+        at = lambda f, seats, k, up: float(f(*(np.array([x], float) for x in seats), np.array([k]), np.array([up]), z)[0])
+        for k in sorted(classes)[:20]:
+            parent = k >> plan.bits
+            up = {w: at(model.at_parent, parents[parent].get(w, (0, 0)), parent, p) for w, p in root.items()}
+            up_unknown = at(model.at_parent, (0, 0), parent, unknown)
+            assert math.isclose(sum(up.values()) + up_unknown, 1.0, rel_tol=1e-9)
+            p = sum(at(model.at_class, classes[k].get(w, (0, 0)), k, x) for w, x in up.items())
+            assert math.isclose(p + at(model.at_class, (0, 0), k, up_unknown), 1.0, rel_tol=1e-9)
 
 
 def test_lm_draws_are_exact():
