@@ -67,7 +67,16 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/staged/{label}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    back = spark.read.schema(df.schema).parquet(at)
+    back._staged_at = at
+    return back
+
+
+def unstage(df: DataFrame) -> None:
+    """Removes a staged table that nothing reads any more; what was made from it is staged itself."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_map(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stage
+from millrace.llm.common import stage, unstage
 
 MAX_ROUNDS = 60
 
@@ -28,7 +28,8 @@ def connected(edges: DataFrame) -> DataFrame:
         # Small star: the node and its lesser neighbours go to the least of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
-        links = stage(small.where("u != v").distinct().toDF("a", "b"), "links")
+        past, links = links, stage(small.where("u != v").distinct().toDF("a", "b"), "links")
+        unstage(past)
         now = links.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
         if tuple(now) == before:
             break

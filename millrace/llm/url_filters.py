@@ -15,8 +15,9 @@ from millrace.llm.common import pick, read, stage
 
 #: Verdict and rule; a rule is a host and the start of a path.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-#: Public suffixes of two labels; any other suffix is the last label.
-SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "net.au", "org.au", "co.jp", "co.nz", "com.br", "co.in", "co.za", "com.cn")
+#: Labels that make a public suffix of two labels with a country's two letters; any other suffix is the last label.
+SECOND_LABELS = ("ac", "co", "com", "edu", "go", "gob", "gov", "govt", "gv", "mil", "ne", "net", "or", "org", "sch")
+TWO_LABELS = f"^(?:{'|'.join(SECOND_LABELS)})\\.[a-z][a-z]$"
 BLOCK_ABOVE = 0.5
 Z = 1.645
 #: A prior is worth at least and at most so many labelled pages.
@@ -50,8 +51,8 @@ def rule_for(host: Column, path: Column, rules: tuple) -> Column:
 def levels(df: DataFrame) -> DataFrame:
     """suffix and domain of a host; a host of fewer labels is its own domain."""
     two = F.substring_index("host", ".", -2)
-    suffix = F.when(two.isin(*SUFFIXES), two).otherwise(F.substring_index("host", ".", -1))
-    domain = F.when(two.isin(*SUFFIXES), F.substring_index("host", ".", -3)).otherwise(two)
+    suffix = F.when(two.rlike(TWO_LABELS), two).otherwise(F.substring_index("host", ".", -1))
+    domain = F.when(two.rlike(TWO_LABELS), F.substring_index("host", ".", -3)).otherwise(two)
     return df.withColumns({"suffix": suffix, "domain": domain})
 
 
@@ -118,7 +119,6 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    two = ", ".join(f"'{s}'" for s in SUFFIXES)
     last = lambda n: f"array_to_string(string_split(host, '.')[-{n}:], '.')"
     m = lambda t, n, k: f"""(select least(greatest(case when j > 1 and n > j then case when (b - w) / nullif(b + (t0 - 1) * w, 0) > 0 then 1 / ((b - w) / (b + (t0 - 1) * w)) - 1 else {STRENGTH[1]} end else {STRENGTH[0]} end, {STRENGTH[0]}), {STRENGTH[1]}) from (
       select j, n, (kr - k * k / n) / nullif(j - 1, 0) as b, (k - kr) / nullif(n - j, 0) as w, (n - nn / n) / nullif(j - 1, 0) as t0
@@ -136,7 +136,7 @@ with df as (
 ), counts as (
   select host, count(bad) as n, coalesce(sum(bad), 0) as k from (select distinct page_id, host from df) left join outcomes using (page_id) group by 1
 ), hosts as (
-  select *, case when {last(2)} in ({two}) then {last(2)} else {last(1)} end as suffix, case when {last(2)} in ({two}) then {last(3)} else {last(2)} end as domain from counts
+  select *, case when regexp_matches({last(2)}, '{TWO_LABELS}') then {last(2)} else {last(1)} end as suffix, case when regexp_matches({last(2)}, '{TWO_LABELS}') then {last(3)} else {last(2)} end as domain from counts
 ), domains as (select suffix, domain, sum(n) as dn, sum(k) as dk from hosts group by 1, 2),
 suffixes as (select suffix, sum(dn) as sn, sum(dk) as sk from domains group by 1),
 prior as (select (select (sum(sk) + 1) / (sum(sn) + 2)::double from suffixes) as top, {m('suffixes', 'sn', 'sk')} as m0, {m('domains', 'dn', 'dk')} as m1, {m('hosts', 'n', 'k')} as m2),

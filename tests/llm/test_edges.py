@@ -81,6 +81,17 @@ def test_urls(spark, docs):
     assert filter_urls(pages, labels.limit(0)).count() == 6
 
 
+def test_urls_beside_other_columns(spark):
+    """Columns of pages and labels that are named like the operator's own do no harm, and suffixes of two labels share nothing."""
+    from millrace.llm.url_filters import levels
+
+    pages = spark.createDataFrame([(1, "http://a.b.co.uk/x", 7, 8, "p"), (2, "http://c.com/", 7, 8, "q")], "page_id long, url string, bad int, n int, host string")
+    labels = spark.createDataFrame([(1, 0, 0, "r", 5)], "doc_id long, quality int, toxic int, host string, page_id int")
+    assert {(r.page_id, r.host, r.n_labelled) for r in filter_urls(pages, labels).collect()} == {(1, "a.b.co.uk", 1), (2, "c.com", 0)}
+    hosts = spark.createDataFrame([("a.b.co.uk",), ("x.y.com",), ("co.uk",), ("z",)], "host string")
+    assert [(r.suffix, r.domain) for r in levels(hosts).collect()] == [("co.uk", "b.co.uk"), ("com", "y.com"), ("co.uk", "co.uk"), ("z", "z")]
+
+
 def test_filters_keep_columns(docs, empty):
     for f in (keep_good, keep_one, redact):
         got = f(docs)
