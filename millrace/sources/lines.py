@@ -55,16 +55,23 @@ def json_pairs(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return each.withColumn("value_type", F.when(F.col("value_raw").isNull(), "empty").otherwise(kind)).withColumn("value_int64", F.when(F.col("value_type") == "int", F.col("value_raw").try_cast("bigint")))
 
 
-def record_types(lines: DataFrame, line: str, keep: list[str], width: int) -> DataFrame:
+def csv_fields(line: Column) -> Column:
+    """All fields of a line of CSV as an array: quotes around a field are taken off, doubled ones inside are one, an empty field is null."""
+    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+    bare = lambda x: F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))
+    return F.transform(raw, lambda x: F.when(x.rlike('^".*"$'), bare(x)).when(x != "", x))
+
+
+def record_types(lines: DataFrame, line: str, keep: list[str], width: int, rest: str | None = None) -> DataFrame:
     """keep, record_type and column_1..width, all strings, of headerless CSV lines whose second field names their type.
 
-    A trailing colon of the type is dropped; a short line has nulls, a long one loses the rest; a line without a type is left out.
+    A trailing colon of the type is dropped; a short line has nulls; what a long one has beyond `width` is an array in the
+    column `rest`, if that is named; a line without a type is left out.
     """
-    names = [f"column_{i + 1}" for i in range(width)]
-    row = F.from_csv(F.col(line), ", ".join(f"{n} string" for n in names), {"mode": "PERMISSIVE"})
-    flat = lines.select(*keep, row.alias("_r")).select(*keep, "_r.*")
-    kind = F.regexp_replace(F.trim("column_2"), ":$", "")
-    return flat.withColumn("record_type", kind).where("record_type <> ''").select(*keep, "record_type", *names)
+    flat = lines.withColumn("_f", csv_fields(F.col(line)))
+    kind = F.regexp_replace(F.trim(F.get("_f", 1)), ":$", "")
+    more = [F.slice("_f", F.lit(width + 1), F.greatest(F.size("_f") - width, F.lit(0))).alias(rest)] if rest else []
+    return flat.withColumn("record_type", kind).where("record_type <> ''").select(*keep, "record_type", *[F.get("_f", i).alias(f"column_{i + 1}") for i in range(width)], *more)
 
 
 def tables_by_type(records: DataFrame, types: dict[str, dict[str, str]]) -> dict[str, DataFrame]:

@@ -119,3 +119,11 @@ def test_patterns_fit_their_paths(spark):
         import re
 
         assert re.fullmatch(regex.removeprefix("(?i)"), path, re.I), (regex, path)
+
+
+def test_records_longer_than_their_columns(spark):
+    from millrace.sources import lines
+
+    rows = ['1,A:,x,"y, ""z""",w', ",B", "1,,c", "2,C,", ""]
+    got = lines.record_types(spark.createDataFrame([(r,) for r in rows], "line string"), "line", [], 3, rest="rest").collect()
+    assert [tuple(r) for r in got] == [("A", "1", "A:", "x", ['y, "z"', "w"]), ("B", None, "B", None, []), ("C", "2", "C", None, [])]
