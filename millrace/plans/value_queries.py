@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import values
 from millrace.functions.text import key_of
-from millrace.operators import backtest, catalog, contract, listing, samples, sinks
+from millrace.operators import backtest, catalog, contract, listing, samples, shred, sinks
 from millrace.operators.contract import ContractColumn
 from millrace.operators.staging import shared_folder
 from millrace.plans.queries import CATALOG, ENFORCED, EVENTS, RUNS, VIOLATION, enforced_events, files, query, runs, table
@@ -295,3 +295,34 @@ def generated_upsert(spark, sf):
 @query("select 'd' || (o_orderkey % 10) || '/d' || (o_orderkey % 7) || '/file_' || o_orderkey || '.dat' as rel_path, o_orderkey % 4096 as size from orders")
 def generated_paths(spark, sf):
     return lines.made_paths(table(spark, sf, "orders"), "o_orderkey", (10, 7), 4096)
+
+
+@query(f"""with {CATALOG}, k as (select file_id, sha256(file_id || chr(31) || mtime || chr(31) || size || chr(31) || 'parser-1' || chr(31) || 't' || chr(31)) as key from cat where file_id % 4 <> 0),
+n as (select file_id, sha256(file_id || chr(31) || (mtime + case when file_id % 5 = 0 then 1 else 0 end) || chr(31) || size || chr(31) || 'parser-1' || chr(31) || 't' || chr(31)) as key from cat)
+select file_id from n where key not in (select key from k)""")
+def new_generations(spark, sf):
+    """Files to process in a second scan: those not seen, and those seen whose time of change is another."""
+    df = files(spark, sf)
+    keyed = lambda mtime: key_of(F.col("file_id"), mtime, F.col("size"), "parser-1", "t").alias("key")
+    done = df.where("file_id % 4 <> 0").select(keyed(F.col("mtime")))
+    now = df.select("file_id", keyed(F.col("mtime") + F.when(F.col("file_id") % 5 == 0, 1).otherwise(0)))
+    return catalog.to_process(now, done)
+
+
+@query("with best as (select event_type as k from events group by 1 order by count(*) desc, k limit 3) select coalesce(k, '_MISC') as shard, count(*) as n_rows, cast(sum(event_id) as bigint) as keys from events left join best on event_type = k group by 1")
+def shards_read_back(spark, sf):
+    """Shards written in folders of their own and read back."""
+    at = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
+    shred.write_shards(shred.shards(table(spark, sf, "events").select("event_id", "event_type"), "event_type", 3), at)
+    return spark.read.parquet(at).groupBy("shard").agg(F.count("*").alias("n_rows"), F.sum("event_id").alias("keys"))
+
+
+@query(f"with {ENFORCED} select v.event_type, v.n_rows, coalesce(q.n_quarantined, 0) as n_quarantined from (select event_type, count(*) as n_rows from enforced where _cf_row_error is null group by 1) v left join (select event_type, count(*) as n_quarantined from enforced where _cf_row_error is not null group by 1) q using (event_type)")
+def views_over_outputs(spark, sf):
+    """Free SQL over views of written outputs, behind the read-only gate."""
+    root = f"{shared_folder(spark)}/views-{uuid.uuid4().hex}"
+    valid, bad = contract.split(enforced_events(spark, sf), "job-1")
+    sinks.register_views(spark, sinks.write_all({"events": valid, "events_quarantine": bad}, root, "job-1"))
+    return sinks.read_only(spark, """
+        select v.event_type, v.n_rows, coalesce(q.n_quarantined, 0) as n_quarantined from (select event_type, count(*) as n_rows from outputs_events group by 1) v
+        left join (select event_type, count(*) as n_quarantined from outputs_events_quarantine group by 1) q using (event_type)""", 1000)

@@ -127,3 +127,21 @@ def test_records_longer_than_their_columns(spark):
     rows = ['1,A:,x,"y, ""z""",w', ",B", "1,,c", "2,C,", ""]
     got = lines.record_types(spark.createDataFrame([(r,) for r in rows], "line string"), "line", [], 3, rest="rest").collect()
     assert [tuple(r) for r in got] == [("A", "1", "A:", "x", ['y, "z"', "w"]), ("B", None, "B", None, []), ("C", "2", "C", None, [])]
+
+
+def test_table_modes(spark):
+    import uuid
+
+    name, df = f"modes_{uuid.uuid4().hex[:8]}", spark.range(3)
+    try:
+        sinks.write(df, f"table://{name}", "error")
+        sinks.write(df, f"table://{name}", "append")
+        assert spark.table(name).count() == 6
+        with pytest.raises(Exception, match="already exists"):
+            sinks.write(df, f"table://{name}", "error")
+        sinks.write(df, f"table://{name}", "replace")
+        assert spark.table(name).count() == 3
+        with pytest.raises(ValueError):
+            sinks.write(df, "parquet:///tmp/x", "replace")
+    finally:
+        spark.sql(f"drop table if exists {name}")
