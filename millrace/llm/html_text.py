@@ -53,7 +53,7 @@ CLOSED_BY = {
 }
 #: Words of class, id and role names that speak for or against content; a word ending in * stands for all that begin so.
 BOILER_NAMES = frozenset(
-    "ad ads advert* banner breadcrumb* comment comments cookie* consent disqus footer header login masthead menu modal nav* newsletter notice notices popup promo* recommend* related replies reply "
+    "ad ads advert* alert banner breadcrumb* comment comments cookie* consent discussion disqus footer header login masthead menu modal nav* newsletter notice notices popup promo* recommend* related replies reply responses "
     "search share sharing sidebar signup skip social sponsor* subscribe tag tags toolbar widget contentinfo complementary".split()
 )
 CONTENT_NAMES = frozenset("article content entry main post story text body".split())
@@ -61,7 +61,7 @@ _BOILER_STARTS = tuple(w[:-1] for w in BOILER_NAMES if w.endswith("*"))
 #: Features and the prior's mean weights.
 PRIOR = {
     "one": -2.0, "words": 0.9, "linked": -5.0, "sentence": 0.8, "copyright": -3.0, "p": 0.8, "heading": 1.2, "item": -0.3,
-    "boiler_tag": -6.0, "boiler_name": -6.0, "content_tag": 3.0, "content_name": 1.5,
+    "boiler_tag": -9.0, "boiler_name": -9.0, "content_tag": 3.0, "content_name": 1.5,
 }
 FEATURES = tuple(PRIOR)
 #: The features that come from mark-up around the block, not from the block.
