@@ -34,6 +34,14 @@ def test_headline_in_the_articles_own_header_stays():
     assert html_text.main_text(page) == "Headline here\nText of it goes on and on."
 
 
+def test_long_comments_go():
+    long = "This is what a reader has to say about it, at some length and with a good many words, so that it looks like any paragraph of the article above, which it is not, however well it is written and however long it goes on. " * 2
+    page = f'<main><article><h1>Title of it</h1><p>{long}</p><p>A short end.</p></article><section class="reader-comments"><div><p>{long}</p></div><p>Nice one.</p></section></main><div class="notice"><p>{long}</p></div>'
+    assert html_text.main_text(page) == f"Title of it\n{long.strip()}\nA short end."
+    pages = [h for (h,) in duckdb.sql(f"select html from '{SF}/pages.parquet' where html is not null").fetchall()]
+    assert html_text.main_text(page, weights_of(pages)) == html_text.main_text(page)
+
+
 BIG = ['<a "' * 250_000, "<div>" * 100_000 + "text", "</b>" * 100_000 + "<i>" * 100_000, '<a href="' * 100_000, "<!--" * 200_000, "<svg>" * 100_000, "<p>word word word.</p></div>" * 20_000, "<a x='" * 100_000]
 
 
