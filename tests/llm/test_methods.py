@@ -54,6 +54,14 @@ def test_lm_scores(spark, texts):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_lm_ids_of_text(spark):
+    """Ids that are no numbers are held out by their text."""
+    rows = [(f"doc-{i}", f"a text of word{i} and more") for i in range(20)]
+    got = pitman_yor.score_documents(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {r.doc_id for r in got} == {None} and len(got) == 20
+    assert sum(r.held_out for r in got) == sum(zlib.crc32(d.encode()) % 7 == 2 for d, _ in rows)
+
+
 def small_model(plan):
     rng = random.Random(3)
     vocabulary = [f"w{i}".encode() for i in range(40)]
