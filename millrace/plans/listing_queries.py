@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import catalog, jobs, listing, paths, structure
-from millrace.plans.queries import CATALOG, FIELDS, MATCHED, RULES, RUNS, files, query, runs, table
+from millrace.plans.queries import CATALOG, FIELDS, RULES, RUNS, files, query, runs, table
 
 TAGS = "tags as (select file_id, tag from (select *, unnest(['german', 'english', 'html', 'blogs']) as r, unnest(['lang-de', 'lang-en', 'web', 'blog']) as tag, unnest(['(?i)(.*/)?de/[^/]*', '(?i)(.*/)?en/.*', '(?i)(.*/)?[^/]*\\.html', '(?i)blog\\.[^/]*/.*']) as re from cat) where regexp_full_match(rel_path, re))"
 
