@@ -31,7 +31,7 @@ SAMPLE_PAGES, SAMPLE_BLOCKS = 500, 60
 #: What the sample counts for against the prior, whose weights have this deviation.
 SAMPLE_WEIGHT, DEVIATION = 200.0, 1.0
 #: Smoothness of blocks in a row without a container between them, and of blocks of one container with others between them.
-FOLLOWS, SIBLINGS = 1.5, 0.75
+FOLLOWS, SIBLINGS = 1.25, 0.6
 
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=]+)(?:\s*=\s*)?")
