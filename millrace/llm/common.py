@@ -55,7 +55,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it. Only a local session, whose executors are this machine, may do without."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="spark-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", at)
