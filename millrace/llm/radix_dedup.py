@@ -27,7 +27,8 @@ def meet(rows: DataFrame, groups: DataFrame, keys: list[str], n: str, most: int)
     """rows with the columns of groups, by a left join on keys whose groups have distinct keys. Groups of at least `most` rows (few, as all rows are only so many) are broadcast, so no task gets all rows of a large one."""
     more = [c for c in groups.columns if c not in keys]
     hot = groups.where(F.col(n) >= most).select(*keys, *[F.col(c).alias(f"hot_{c}") for c in more])
-    cold = groups.where(F.col(n) < most)
+    # One plan at every size: small tables are not broadcast where large ones are not.
+    cold = groups.where(F.col(n) < most).hint("merge")
     known = rows.join(F.broadcast(hot), keys, "left")
     # Rows of hot groups need no partner any more and are dealt out by their number.
     spread = F.when(F.col(f"hot_{n}").isNull(), 0).otherwise(1 + F.pmod("row", F.lit(1 << 20)))
