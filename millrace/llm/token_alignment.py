@@ -31,8 +31,8 @@ BYTE_VOCABULARY, BYTE_RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 AT_ONCE = 1 << 20
 #: Pairs with at least this share of all documents' links are hot; there are no more of them than its inverse.
 HOT_SHARE = 1e-4
-#: Distinct pairs of a bucket, and links gathered before they are handed to buckets.
-BUCKET, PACKET = 250_000, 1 << 21
+#: Distinct pairs of a bucket, links of a part of one, and links gathered before they are handed to parts.
+BUCKET, PART, PACKET = 250_000, 1 << 22, 1 << 21
 #: Chunks remembered, and their ids, until all are forgotten.
 REMEMBERED, MOST_IDS = 300_000, 1 << 22
 #: Neither side has a token across the start of a chunk: white space, if only spaces and line feeds, goes with the word behind it.
@@ -272,8 +272,11 @@ def bucket_of(pairs: np.ndarray, n: int) -> np.ndarray:
     return ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % n
 
 
-def looked_up(each: DataFrame, counts: DataFrame, buckets: int, hot: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
-    """row, n_best and count_sum in parts that add up. each: row, pairs, times. counts: pair, n, best. hot: such columns as arrays, sorted by pair."""
+def looked_up(each: DataFrame, counts: DataFrame, buckets: int, parts: int, hot: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
+    """row, n_best and count_sum in parts that add up. each: row, pairs, times. counts: pair, n, best. hot: such columns as arrays, sorted by pair.
+
+    A bucket's links are dealt to its `parts`, each of which has all counts of the bucket.
+    """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Parts of rows whose pairs are hot (kind 2), and pairs left by bucket (kind 1)."""
@@ -282,11 +285,13 @@ def looked_up(each: DataFrame, counts: DataFrame, buckets: int, hot: tuple[np.nd
 
         def packets() -> Iterator[pa.RecordBatch]:
             rows, pairs, times = (np.concatenate(x) for x in zip(*held))
+            if not len(rows):
+                return
             bucket = bucket_of(pairs, buckets)
             order = np.argsort(bucket, kind="stable")
             at = np.searchsorted(bucket[order], np.arange(buckets + 1))
             full = np.flatnonzero(np.diff(at))
-            yield packet(full, 1, np.r_[at[full], at[-1]], rows[order], pairs[order].astype(np.int64), times[order].astype(np.int64))
+            yield packet(full * parts + int(rows[0] + len(rows)) % parts, 1, np.r_[at[full], at[-1]], rows[order], pairs[order].astype(np.int64), times[order].astype(np.int64))
 
         for k, batch in enumerate(batches):
             rows, pairs, times = batch.column(0).to_numpy(), batch.column(1), batch.column(2).flatten().to_numpy()
@@ -295,7 +300,7 @@ def looked_up(each: DataFrame, counts: DataFrame, buckets: int, hot: tuple[np.nd
             known = np.zeros(len(flat), bool) if not len(hot_pair) else hot_pair[np.minimum(found, len(hot_pair) - 1)] == flat
             at = found[known]
             sums = [np.bincount(parents[known], weights=w, minlength=len(rows)) for w in (times[known] * hot_best[at], times[known].astype(np.float64) * hot_n[at])]
-            yield packet(np.array([k % buckets]), 2, np.array([0, len(rows)]), rows, *(s.astype(np.int64) for s in sums))
+            yield packet(np.array([k % (buckets * parts)]), 2, np.array([0, len(rows)]), rows, *(s.astype(np.int64) for s in sums))
             held.append((rows[parents[~known]], flat[~known], times[~known]))
             if sum(len(h[0]) for h in held) > PACKET:
                 yield from packets()
@@ -304,18 +309,18 @@ def looked_up(each: DataFrame, counts: DataFrame, buckets: int, hot: tuple[np.nd
             yield from packets()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Buckets one after another, counts before links."""
-        bucket, loose, known = -1, [], None
+        """Parts one after another, counts before links."""
+        part, loose, known = -1, [], None
         for batch in batches:
             head = [batch.column(c).to_numpy() for c in (0, 1)]
             for k, (b, kind) in enumerate(zip(*(h.tolist() for h in head))):
                 rows, x, y = (batch.column(c)[k].values.to_numpy() for c in (2, 3, 4))
-                if b != bucket:
-                    bucket, loose, known = b, [], None
+                if b != part:
+                    part, loose, known = b, [], None
                 if kind == 0:
                     loose.append((rows, x, y))
                 elif kind == 2:
-                    yield parts(rows, x, y)
+                    yield sums_of(rows, x, y)
                 else:
                     if known is None:
                         known = [np.concatenate(c) for c in zip(*loose)]
@@ -323,14 +328,14 @@ def looked_up(each: DataFrame, counts: DataFrame, buckets: int, hot: tuple[np.nd
                         known = [c[order] for c in known]
                     at = np.searchsorted(known[0], x)
                     own, first = np.unique(rows, return_inverse=True)
-                    yield parts(own, *(np.bincount(first, weights=y * w[at]).astype(np.int64) for w in (known[2], known[1])))
+                    yield sums_of(own, *(np.bincount(first, weights=y * w[at]).astype(np.int64) for w in (known[2], known[1])))
 
-    def packet(bucket: np.ndarray, kind: int, at: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    def packet(part: np.ndarray, kind: int, at: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
         offsets = pa.array(at.astype(np.int32))
         made = [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in columns]
-        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.full(len(bucket), kind, np.int32)), *made], names=["bucket", "kind", "rows", "x", "y"])
+        return pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), kind, np.int32)), *made], names=["part", "kind", "rows", "x", "y"])
 
-    def parts(rows: np.ndarray, best: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
+    def sums_of(rows: np.ndarray, best: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(list(map(pa.array, (rows, best, total))), names=["row", "n_best", "count_sum"])
 
     def shelved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,11 +346,12 @@ def looked_up(each: DataFrame, counts: DataFrame, buckets: int, hot: tuple[np.nd
             order = np.argsort(bucket, kind="stable")
             at = np.searchsorted(bucket[order], np.arange(buckets + 1))
             full = np.flatnonzero(np.diff(at))
-            yield packet(full, 0, np.r_[at[full], at[-1]], pair[order], n[order], best[order])
+            for k in range(parts):
+                yield packet(full * parts + k, 0, np.r_[at[full], at[-1]], pair[order], n[order], best[order])
 
-    shape = "bucket long, kind int, rows array<long>, x array<long>, y array<long>"
+    shape = "part long, kind int, rows array<long>, x array<long>, y array<long>"
     all_packets = counts.select("pair", "n", "best").mapInArrow(shelved, shape).unionAll(each.select("row", "pairs", "times").mapInArrow(spread, shape))
-    return all_packets.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(meet, "row long, n_best long, count_sum long")
+    return all_packets.repartition(buckets * parts, "part").sortWithinPartitions("part", "kind").mapInArrow(meet, "row long, n_best long, count_sum long")
 
 
 def align_tokens(
@@ -365,10 +371,11 @@ def align_tokens(
     # An id of A has no more pairs than B has ids.
     counts = stage(pair_counts(each).withColumn("best", F.max("n").over(Window.partitionBy(a_id)) == F.col("n")), "pair-counts")
     n_pairs, n_links = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    hot = counts.where(F.col("n") >= max(2, n_links * HOT_SHARE)).orderBy("pair").toPandas()
+    hot = counts.where(F.col("n") >= max(2, n_links * HOT_SHARE)).toPandas().sort_values("pair")
     hot_arrays = tuple(hot[c].to_numpy(np.int64) for c in ("pair", "n", "best"))
     buckets = max(12, -(-n_pairs // BUCKET))
-    sums = looked_up(each, counts, buckets, hot_arrays).groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    parts = max(1, -(-(n_links - int(hot["n"].sum())) // (buckets * PART)))
+    sums = looked_up(each, counts, buckets, parts, hot_arrays).groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
     out = each.drop("pairs", "times").join(sums, "row", "left")
     out = out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_best", "count_sum")], "groups_sha256")
     return out, counts.select(a_id.cast("int").alias("a_id"), (F.col("pair") % size_b).alias("b_id"), F.col("n").alias("documents"), "best")

@@ -115,6 +115,7 @@ def test_alignment(spark, monkeypatch, hot):
     monkeypatch.setattr(token_alignment, "HOT_SHARE", hot)
     monkeypatch.setattr(token_alignment, "BUCKET", 700)
     monkeypatch.setattr(token_alignment, "PACKET", 4000)
+    monkeypatch.setattr(token_alignment, "PART", 900)
     texts = [r[0] for r in duckdb.sql(f"select text from '{SF}/documents.parquet' where length(text) < 1500 order by doc_id").fetchall()][:100]
     texts += [*ODD, None, "", "twice", "twice"]
     want, df, most = brute(texts)
