@@ -8,9 +8,11 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from millrace.functions.text import strict_decimal, violation_type
 from millrace.functions.values import offset_fits
+from millrace.operators import nested
 
 ERROR = "_cf_row_error"
 LINEAGE = ("_cf_source_hash", "_cf_job_id", "_cf_processed_at", "_cf_parser_version")
@@ -52,13 +54,27 @@ def check_shape(df: DataFrame, columns: list[ContractColumn]) -> None:
     kinds = dict(df.dtypes)
     for c in columns:
         kind = kinds[c.name]
+        if is_nested(c):
+            wrong = [(path, a, b) for path, a, b, how in nested.compatibility(df.schema[c.name].dataType, nested.type_of(c.type), c.name) if how == nested.MISMATCH]
+            if wrong:
+                raise SchemaMismatch("; ".join(f"{path} is {a or 'missing'}, the contract says {b or 'nothing'}" for path, a, b in wrong))
+            continue
         castable = kind == "string" and (c.type.startswith(("decimal", "date", "timestamp")) or c.type == "time")
         if kind not in ("void", c.type) and kind not in WIDENS.get(c.type, ()) and not castable:
             raise SchemaMismatch(f"column {c.name} is {kind}, the contract says {c.type}")
 
 
-def _cast(c: ContractColumn, kind: str) -> Column:
-    raw = F.col(c.name)
+def is_nested(c: ContractColumn) -> bool:
+    return c.type.startswith(("array", "struct", "map"))
+
+
+def _leaf(v: Column, have: DataType, want: DataType) -> Column:
+    """A part of a nested column in its type, by the formats that hold without a given one."""
+    return _cast(ContractColumn("", want.simpleString()), have.simpleString(), v)
+
+
+def _cast(c: ContractColumn, kind: str, raw: Column | None = None) -> Column:
+    raw = F.col(c.name) if raw is None else raw
     if kind != "string" or c.type == "string":
         return raw.cast(c.type)
     filled = F.when(raw != "", raw)
@@ -85,8 +101,13 @@ def enforce(df: DataFrame, columns: list[ContractColumn]) -> DataFrame:
     check_shape(df, columns)
     kinds = dict(df.dtypes)
     messages: list[Column] = [F.when(F.col(ERROR) != "", F.col(ERROR))] if ERROR in df.columns else []
-    cast = {c.name: _cast(c, kinds[c.name]) for c in columns}
+    cast = {c.name: _cast(c, kinds[c.name]) for c in columns if not is_nested(c)}
     for c in columns:
+        if is_nested(c):
+            have = df.schema[c.name].dataType
+            cast[c.name], errors = nested.rewrite(F.col(c.name), have, nested.type_of(c.type), F.lit(c.name), _leaf, not c.nullable)
+            messages.append(F.when(F.size(errors) > 0, F.array_join(errors, "; ")))
+            continue
         raw, value = F.col(c.name), cast[c.name]
         if kinds[c.name] == "string" and c.type == "string" and c.format:
             messages.append(F.when(~_fits_format(c), f"schema: value does not match format '{c.format}' for '{c.name}'"))
@@ -96,7 +117,7 @@ def enforce(df: DataFrame, columns: list[ContractColumn]) -> DataFrame:
             messages.append(F.when(value.isNull(), f"schema: null not allowed in '{c.name}'"))
     joined = F.concat_ws("; ", *messages) if messages else F.lit("")
     rest = [x for x in df.columns if x == "__cf_row_id"]
-    return df.select(*[v.alias(n) for n, v in cast.items()], *rest, F.when(joined != "", joined).alias(ERROR))
+    return df.select(*[cast[c.name].alias(c.name) for c in columns], *rest, F.when(joined != "", joined).alias(ERROR))
 
 
 def with_row_numbers(bad: DataFrame, position: str, row_id: str = "__cf_row_id") -> DataFrame:

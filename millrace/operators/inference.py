@@ -81,25 +81,34 @@ def fits(v: Column, days: Column) -> dict[str, Column]:
     }
 
 
-def infer(df: DataFrame, columns: list[str], cannot_be: dict[str, tuple[str, ...]] | None = None, must_be: dict[str, str] | None = None) -> DataFrame:
-    """A row a column: possible types, resolved type, formats that survive, nulls, and distinct state. One pass over the table.
-
-    Hints rule types out beforehand: cannot_be lists those of a column, must_be leaves one (and string).
-    """
+def hints(cannot_be: dict[str, tuple[str, ...]] | None, must_be: dict[str, str] | None) -> dict[str, set[str]]:
+    """Types that a column can't have: those ruled out, and all but a demanded one (and string)."""
     hinted = {c: set(ts) for c, ts in (cannot_be or {}).items()}
     for c, t in (must_be or {}).items():
         hinted[c] = hinted.get(c, set()) | set(TYPES) - {t, "string"}
     if unknown := set().union(*hinted.values()) - set(TYPES):
         raise ValueError(f"unknown types {sorted(unknown)}")
+    return hinted
+
+
+def masks(df: DataFrame, columns: list[str]) -> DataFrame:
+    """name, null and mask of each value of each column. A mask is one number: a bit for each date format that the value leaves possible, then one for each type; what all values leave is the AND of their masks."""
     texts = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.trim(F.col(c).cast("string")).alias("v")) for c in columns])).alias("x")).select("x.*")
     v = F.col("v")
-    # One number a value: a bit for each date format, then one for each type. What all values leave is the AND of the numbers.
-    n = len(DATE_FORMATS)
     bit = lambda test, i: F.when(test, 1 << i).otherwise(0)
     marked = with_dates(texts.withColumn("null", is_null(v)))
-    types = reduce(lambda a, b: a + b, [bit(test, n + i) for i, test in enumerate(fits(v, F.col("days")).values())])
-    masks = marked.select("name", "null", F.when(~F.col("null"), F.coalesce(F.col("days") + types, F.lit(0))).alias("mask"))
-    left_of = masks.groupBy("name").agg(F.count_if("null").alias("n_null"), F.count_if(~F.col("null")).alias("n_values"), F.bit_and("mask").alias("mask"))
+    types = reduce(lambda a, b: a + b, [bit(test, len(DATE_FORMATS) + i) for i, test in enumerate(fits(v, F.col("days")).values())])
+    return marked.select("name", "null", F.when(~F.col("null"), F.coalesce(F.col("days") + types, F.lit(0))).alias("mask"))
+
+
+def eliminated(values: DataFrame) -> DataFrame:
+    """name, n_null, n_values and the mask that all values of masks() leave; of a table or a stream."""
+    return values.groupBy("name").agg(F.count_if("null").alias("n_null"), F.count_if(~F.col("null")).alias("n_values"), F.bit_and("mask").alias("mask"))
+
+
+def concluded(left_of: DataFrame, hinted: dict[str, set[str]]) -> DataFrame:
+    """What the rows of eliminated() leave: possible types, the resolved one, and date formats."""
+    n = len(DATE_FORMATS)
     has = lambda i: F.col("mask").bitwiseAND(F.lit(1 << i)) != 0
     agg = left_of.select("name", "n_null", "n_values", *[has(n + i).alias(f"_{t}") for i, t in enumerate(TYPES)], *[has(i).alias(f"__{i}") for i in range(n)])
     allowed = {t: ~F.col("name").isin(*[c for c, ts in hinted.items() if t in ts]) if any(t in ts for ts in hinted.values()) else F.lit(True) for t in TYPES}
@@ -113,6 +122,14 @@ def infer(df: DataFrame, columns: list[str], cannot_be: dict[str, tuple[str, ...
     return agg.withColumn("possible", left).select("name", "n_null", "n_values", F.array_join("possible", ",").alias("possible"), state.alias("resolved"), F.array_join(survivors, ",").alias("date_formats"))
 
 
+def infer(df: DataFrame, columns: list[str], cannot_be: dict[str, tuple[str, ...]] | None = None, must_be: dict[str, str] | None = None) -> DataFrame:
+    """A row a column: possible types, resolved type, formats that survive, nulls, and distinct state. One pass over the table.
+
+    Hints rule types out beforehand: cannot_be lists those of a column, must_be leaves one (and string).
+    """
+    return concluded(eliminated(masks(df, columns)), hints(cannot_be, must_be))
+
+
 def intents(inferred: DataFrame) -> DataFrame:
     """name, declared_type, nullable, null_rate, candidates, method and the question to ask where several types are left, for rows of infer()."""
     typed = F.filter(F.split("possible", ","), lambda t: (t != "") & (t != "string"))

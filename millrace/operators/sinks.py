@@ -1,4 +1,4 @@
-"""Sinks: format by suffix, staged writes of many outputs, names of output tables, and read-only SQL."""
+"""Sinks: format by suffix, staged writes of many outputs, and names of output tables."""
 
 from __future__ import annotations
 
@@ -11,8 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MODES = {"append": "append", "replace": "overwrite", "error": "errorifexists"}
-#: Words that no reading statement has.
-FORBIDDEN = frozenset("insert update delete drop create alter truncate copy attach detach install load export import call pragma".split())
 
 
 def format_of(uri: str) -> tuple[str, str]:
@@ -100,15 +98,6 @@ def schema_table(base: str, schema: str) -> str:
     return f"{base}__schema_{hashlib.sha256(schema.encode()).hexdigest()[:8]}"
 
 
-def read_only(spark: SparkSession, query: str, limit: int) -> DataFrame:
-    """Rows of one SELECT, WITH or EXPLAIN statement, at most `limit`."""
-    text = re.sub(r"'(?:[^']|'')*'", "''", query).strip().rstrip(";")
-    words = re.findall(r"[a-z_]+", text.lower())
-    if not words or words[0] not in ("select", "with", "explain") or ";" in text or FORBIDDEN & set(words):
-        raise ValueError("only one reading statement is allowed")
-    return spark.sql(query.strip().rstrip(";")).limit(limit)
-
-
 def register_views(spark: SparkSession, tables: dict[str, str], prefix: str = "outputs_") -> None:
     for name, path in tables.items():
         spark.read.parquet(path).createOrReplaceTempView(f"{prefix}{name}")

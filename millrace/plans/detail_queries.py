@@ -58,10 +58,17 @@ def top_archetypes(spark, sf):
     return paths.top_archetypes(files(spark, sf))
 
 
-@query(f"""with {DATED} select o_orderkey, 'Data/v' || (o_orderkey % 3) || '.1/<date:date>/<number:int>/client_' || case when o_custkey < 10 then cast(o_custkey as varchar) when o_custkey between 1900 and 2100 then '<date_2:date>' else '<number_2:int>' end || '/sum-'
-  || case when o_orderkey + 10 between 1900 and 2100 then case when o_custkey between 1900 and 2100 then '<date_3:date>' else '<date_2:date>' end else case when o_custkey < 10 or o_custkey between 1900 and 2100 then '<number_2:int>' else '<number_3:int>' end end || case when o_orderkey % 2 = 0 then '.csv' else '.JSON' end as pattern from dated where o_orderkey + 10 < 10000000""")
+def _is_date(k: str) -> str:
+    """SQL: whether digits are a year from 1900 to 2100, alone or before four more."""
+    return f"(length({k}) in (4, 8) and cast(left({k}, 4) as int) between 1900 and 2100)"
+
+
+@query(f"""with {DATED}, k as (select o_orderkey, cast(o_custkey as varchar) as c, cast(o_orderkey + 10 as varchar) as s from dated),
+d as (select *, {_is_date('c')} as cd, {_is_date('s')} as sd from k)
+select o_orderkey, 'Data/v' || (o_orderkey % 3) || '.1/<date:date>/<number:int>/client_' || case when length(c) = 1 then c when cd then '<date_2:date>' else '<number_2:int>' end || '/sum-'
+  || case when sd then case when cd then '<date_3:date>' else '<date_2:date>' end when length(c) = 1 or cd then '<number_2:int>' else '<number_3:int>' end || case when o_orderkey % 2 = 0 then '.csv' else '.JSON' end as pattern from d""")
 def patterns_of_paths(spark, sf):
-    return dated_paths(spark, sf).where("o_orderkey + 10 < 10000000").select("o_orderkey", structure.pattern_of(F.col("rel_path")).alias("pattern"))
+    return dated_paths(spark, sf).select("o_orderkey", structure.pattern_of(F.col("rel_path")).alias("pattern"))
 
 
 # ---- selections

@@ -1,4 +1,4 @@
-"""Registered queries of walks, file generations, positions, budgets and life cycles."""
+"""Registered queries of walks, file generations, streamed inference, nested contracts, positions, budgets and life cycles."""
 
 from __future__ import annotations
 
@@ -6,13 +6,16 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from millrace.operators import lifecycle, positions
+from millrace.operators import contract, lifecycle, nested, positions
+from millrace.operators.contract import ContractColumn
 from millrace.operators.lifecycle import MOVES, STATES
 from millrace.operators.staging import shared_folder
-from millrace.plans.queries import query, table
+from millrace.plans.queries import ORACLE_SQL, query, table, texts_of_orders
 from millrace.sources.walk import WalkOptions, local_path, walk, write_files
 from millrace.streaming.generation_stream import current, process_generations
+from millrace.streaming.inference_stream import infer_until_resolved
 
 #: Times (ms) that the queries' files get: of a first and of a second generation.
 FIRST, SECOND = 1_700_000_000_000, 1_700_000_600_000
@@ -105,6 +108,56 @@ def reprocessed_generations(spark, sf):
     return current(two_generations(spark, sf)[1]).groupBy("mtime").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
+# ---- inference over a stream
+
+
+@query(f"select *, (select count(*) from orders) as n_rows, 'end' as stopped from ({ORACLE_SQL['inferred_types']})")
+def streamed_types(spark, sf):
+    """Types from a stream of files, all of it read: no limit, and a column that is never resolved."""
+    df, at = texts_of_orders(spark, sf), folder(spark, "orders")
+    df.repartition(6).write.parquet(at)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(at)
+    found = infer_until_resolved(stream, df.columns, max_rows=None)
+    return found.types.withColumns({"n_rows": F.lit(found.rows).cast("long"), "stopped": F.lit(found.stopped)})
+
+
+# ---- nested contracts
+
+
+NESTED = [ContractColumn("event_id", "bigint", False), ContractColumn("cart", "struct<items: array<struct<price: decimal(8,2), n: bigint NOT NULL, day: date>>, note: string>", False)]
+
+
+def carts(spark: SparkSession, sf: str) -> DataFrame:
+    """Events with a cart of two items; some have no cart, prices that are none, items without a number."""
+    k = F.col("event_id")
+    price = F.round("value", 2).cast("decimal(12,2)").cast("string")
+    item = lambda p, n, d: F.struct(p.alias("price"), n.cast("int").alias("n"), d.alias("day"))
+    items = F.array(item(price, F.col("user_id"), F.lit("2024-02-29")), item(F.when(k % 5 == 0, "much").otherwise(price), F.when(k % 7 > 0, k), F.when(k % 11 == 0, "2023-02-29").otherwise("")))
+    cart = F.when(k % 13 > 0, F.struct(items.alias("items"), F.col("event_type").alias("note")))
+    return table(spark, sf, "events").select("event_id", cart.alias("cart"))
+
+
+@query("""select event_id, case when event_id % 13 = 0 then 'schema: null not allowed in ''cart''' else nullif(concat_ws('; ', case when event_id % 5 = 0 then 'schema: value does not match format ''decimal(8,2)'' for ''cart.items[1].price''' end,
+  case when event_id % 7 = 0 then 'schema: null not allowed in ''cart.items[1].n''' end, case when event_id % 11 = 0 then 'schema: value does not match format ''date'' for ''cart.items[1].day''' end), '') end as _cf_row_error,
+  case when event_id % 13 > 0 then cast(round(value, 2) as decimal(12,2)) * case when event_id % 5 = 0 then 1 else 2 end end as total, case when event_id % 13 > 0 and event_id % 7 > 0 then event_id + user_id end as numbers, case when event_id % 13 > 0 then event_type end as note from events""")
+def nested_contract(spark, sf):
+    done = contract.enforce(carts(spark, sf), NESTED)
+    items = F.col("cart.items")
+    total = F.aggregate(items, F.lit(0).cast("decimal(12,2)"), lambda a, x: (a + F.coalesce(x["price"], F.lit(0))).cast("decimal(12,2)"))
+    return done.select("event_id", "_cf_row_error", F.when(items.isNotNull(), total).alias("total"), (items[0]["n"] + items[1]["n"]).alias("numbers"), F.col("cart.note").alias("note"))
+
+
+@query("""with c(path, wanted) as (values ('o_orderkey', 'compatible'), ('o_custkey', 'mismatch'), ('o_orderdate', 'cast'), ('cart', 'compatible'), ('cart[]', 'compatible'), ('cart[].price', 'cast'), ('cart[].n', 'mismatch'), ('cart[].void', 'null_only'), ('cart[].gone', 'mismatch'), ('cart[].more', 'mismatch'))
+select path, wanted as outcome, count(*) as n_rows from orders, c group by 1, 2""")
+def type_outcomes(spark, sf):
+    """How the columns of a table fit a contract, part by part, with the rows that are concerned."""
+    item = F.struct(F.col("o_totalprice").cast("string").alias("price"), F.lit("1").alias("n"), F.lit(None).alias("void"), F.lit(1).alias("more"))
+    df = table(spark, sf, "orders").select(F.col("o_orderkey").cast("int").alias("o_orderkey"), F.col("o_custkey").cast("string").alias("o_custkey"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"), F.array(item).alias("cart"))
+    want = StructType.fromDDL("o_orderkey bigint, o_custkey bigint, o_orderdate date, cart array<struct<price: decimal(12,2), n: bigint, void: string, gone: int>>")
+    n = df.agg(F.count("*").alias("n_rows"))
+    return nested.compatibility_frame(spark, df.schema, want).select("path", "outcome").crossJoin(F.broadcast(n))
+
+
 # ---- positions and budgets
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.text import binned, failure_category, key_of, redact_hash, redact_truncate, retryable, safe_name
-from millrace.operators import backtest, catalog, contract, inference, listing, paths, shred, sinks
+from millrace.operators import backtest, catalog, contract, inference, listing, paths, shred, sql_gate
 from millrace.operators.catalog import TagRule
 from millrace.operators.contract import ContractColumn
 from millrace.sources import fix, fix_outputs, lines
@@ -288,11 +288,16 @@ select name, n_null, n_values, array_to_string(list_filter([*t, case when n_valu
   case when n_values = 0 then 'null' when len(t) = 0 then 'string' when len(t) = 1 then t[1] when t = ['integer', 'float'] then 'integer' else 'ambiguous' end as resolved,
   array_to_string(list_filter([case when ymd then '%Y-%m-%d' end, case when dmy then '%d/%m/%y' end, case when mdy then '%m/%d/%y' end, case when yymd then '%y/%m/%d' end], lambda x: x is not null), ',') as date_formats from p""".replace("[*t, case when n_values > 0 then 'string' end]", "list_append(t, case when n_values > 0 then 'string' end)"))
 def inferred_types(spark, sf):
-    o = table(spark, sf, "orders")
-    df = o.select("o_orderkey", "o_orderstatus", F.concat(F.round("o_totalprice").cast("long").cast("string"), F.lit(".5")).alias("o_totalprice"), F.date_format("o_orderdate", "'  'yyyy-MM-dd' '").alias("day"), F.date_format("o_orderdate", "MM/dd/yy").alias("us_day"), F.lit("NA").alias("void"))
+    df = texts_of_orders(spark, sf)
     return inference.infer(df, df.columns)
 
 
+def texts_of_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders with columns whose types are to be inferred."""
+    o = table(spark, sf, "orders")
+    return o.select("o_orderkey", "o_orderstatus", F.concat(F.round("o_totalprice").cast("long").cast("string"), F.lit(".5")).alias("o_totalprice"), F.date_format("o_orderdate", "'  'yyyy-MM-dd' '").alias("day"), F.date_format("o_orderdate", "MM/dd/yy").alias("us_day"), F.lit("NA").alias("void"))
+
+
 # ---- sources
 
 @query(r"select doc_id, unnest(range(1, len(l) + 1)) as line_number, unnest(l) as raw from (select doc_id, string_split(regexp_replace(text, '\n$', ''), chr(10)) as l from documents)")
@@ -437,10 +442,11 @@ def shard_metadata(spark, sf):
     return shred.shard_metadata(shred.shards(table(spark, sf, "events"), "event_type", 3), "event_id")
 
 
-@query("select event_type, count(*) as n_rows, cast(sum(value * 100) as bigint) // 100000000 as mass from events group by 1")
+@query("select event_type as load, count(*) as call, sum(cast(round(value, 2) as decimal(12,2))) as mass from events group by 1")
 def guarded_sql(spark, sf):
     table(spark, sf, "events").createOrReplaceTempView("guarded_events")
-    return sinks.read_only(spark, "select event_type, count(*) as n_rows, cast(sum(value * 100) as bigint) div 100000000 as mass from guarded_events group by 1", 1000)
+    text = "with sums as (select event_type as load, count(*) as call, sum(cast(round(value, 2) as decimal(12,2))) as mass from guarded_events group by 1) select load, call, mass from sums -- drop; nothing"
+    return sql_gate.read_only(spark, text, 1000)
 
 
 @query("select event_id, ts, event_type, value from events where event_type in ('click', 'purchase', 'error') order by ts, event_id limit 1000")

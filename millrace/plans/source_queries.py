@@ -123,9 +123,31 @@ def event_files(spark, sf):
     return event_records.files(records(spark, sf), "file", "1")
 
 
-@query("select l_orderkey, 'A' as record_type, cast(l_orderkey as varchar) as order_id, l_linestatus as status, cast(l_linenumber as varchar) as line_number from lineitem where l_returnflag = 'A'")
+@query("""select l_orderkey, l_returnflag as record_type, case l_returnflag when 'A' then cast(l_orderkey as varchar) when 'N' then l_linestatus else cast(l_linenumber as varchar) end as first_value,
+  case l_returnflag when 'A' then l_linestatus when 'N' then cast(l_linenumber as varchar) else cast(l_orderkey as varchar) end as second_value from lineitem""")
 def discriminated_records(spark, sf):
+    """All three tables of one file, each with columns of its own."""
     li = table(spark, sf, "lineitem")
     text = F.concat_ws(",", F.col("l_orderkey").cast("string"), F.concat("l_returnflag", F.lit(":")), "l_linestatus", F.col("l_linenumber").cast("string"))
     found = lines.record_types(li.select("l_orderkey", text.alias("line")), "line", ["l_orderkey"], 5)
-    return lines.tables_by_type(found, {"A": {"l_orderkey": "l_orderkey", "record_type": "record_type", "order_id": "column_1", "status": "column_3", "line_number": "column_4"}})["A"]
+    own = {"A": ("column_1", "column_3"), "N": ("column_3", "column_4"), "R": ("column_4", "column_1")}
+    tables = lines.tables_by_type(found, {t: {"l_orderkey": "l_orderkey", "record_type": "record_type", "first_value": a, "second_value": b} for t, (a, b) in own.items()})
+    return tables["A"].unionByName(tables["N"]).unionByName(tables["R"])
+
+
+# ---- user data of any depth
+
+
+def deep_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Records whose user data is nested up to ten levels, deeper the higher the event's number."""
+    e = table(spark, sf, "events")
+    depth = (F.col("event_id") % 10).cast("int")
+    data = F.concat(F.repeat(F.lit('{"n":['), depth), F.lit('{"v":'), F.col("event_id").cast("string"), F.lit(',"t":"'), "event_type", F.lit('"}'), F.repeat(F.lit("]}"), depth))
+    record = F.concat(F.lit('{"Event":{"System":{"EventID":1},"UserData":{"U":'), data, F.lit("}}}"))
+    return e.select(F.col("event_id").alias("event_record_id"), F.col("ts").alias("timestamp"), record.alias("record"))
+
+
+@query("""select event_id as event_record_id, 'UserData' as section, 'U' || repeat('.n', cast(event_id % 10 as int)) || x.k as key, case when event_id % 10 > 0 then 0 end as idx, x.raw as value_raw, x.t as value_type, x.n as value_int64, null as value_bool, null as value_ts, null as value_bytes
+from events, lateral (select unnest(['.v', '.t']) as k, unnest([cast(event_id as varchar), event_type]) as raw, unnest(['int', 'string']) as t, unnest([event_id, null]) as n) x""")
+def deep_user_data(spark, sf):
+    return event_records.user_data(deep_records(spark, sf))

@@ -14,6 +14,7 @@ from millrace.operators.contract import ContractColumn
 from millrace.operators.staging import shared_folder
 from millrace.plans.queries import CATALOG, ENFORCED, EVENTS, RUNS, VIOLATION, enforced_events, files, query, runs, table
 from millrace.sources import lines
+from millrace.sources.walk import write_files
 from millrace.streaming.contract_stream import run_available
 
 # ---- validity of texts
@@ -227,12 +228,12 @@ def formats_read_back(spark, sf):
     out = None
     for kind in ("csv", "tsv", "json", "ndjson", "parquet"):
         at = f"{root}/{kind}"
-        if kind == "json":  # files that hold arrays of objects, about one a thousand rows
-            arrays = df.groupBy(F.floor(F.col("c_custkey") / 1000).alias("g")).agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("value")).select("value")
-            arrays.write.text(at)
+        if kind == "json":  # files that hold an array each, of objects over many lines
+            arrays = df.groupBy(F.floor(F.col("c_custkey") / 100).alias("g")).agg(F.replace(F.to_json(F.collect_list(F.struct(*df.columns))), F.lit(","), F.lit(",\n  ")).alias("content"))
+            write_files(arrays.select(F.concat("g", F.lit(".json")).alias("rel_path"), "content"), at).write.format("noop").mode("overwrite").save()
         else:
             df.write.options(**({"header": True, "sep": "\t" if kind == "tsv" else ","} if kind.endswith("sv") else {})).format({"tsv": "csv", "ndjson": "json"}.get(kind, kind)).save(at)
-        got = lines.read_table(spark, at, "ndjson" if kind == "json" else kind)  # a line is an array: its objects are rows
+        got = lines.read_table(spark, at, kind)
         one = got.agg(F.count("*").alias("n_rows"), F.sum(F.col("c_custkey").cast("bigint")).alias("keys"), F.count_distinct("c_name").alias("n_names"), F.min("c_mktsegment").alias("segment")).select(F.lit(kind).alias("format"), "*")
         out = one if out is None else out.unionByName(one)
     return out

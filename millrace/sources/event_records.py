@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import value_type
+from millrace.operators.staging import staged
 
 INFO, WARN, ERROR = 1, 3, 4
 SHAPE, FAILED, WARNING = "field_shape_variant", "conversion_failed", "parse_warning"
-#: User data is flattened to this depth; what lies deeper stays JSON text.
-DEPTH = 5
+#: Levels of user data that a round opens.
+LEVELS = 4
 
 
 def at(v: Column, *keys: str) -> Column:
@@ -148,25 +149,37 @@ def event_data(records: DataFrame) -> DataFrame:
     return typed(each, "EventData", F.col("_kind"))
 
 
-def user_data(records: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Leaves of UserData by dotted path; array items keep their parent's path and have their place in `idx`. Members of `#attributes` and `#text` are leaves."""
+def opened(rows: DataFrame, leaf: Column) -> DataFrame:
+    """rows (event_record_id, key, idx, value) with the members of objects and the items of arrays in place of them, one level; an empty one has none."""
+    own = rows.withColumn("_k", kind(F.col("value"))).withColumn("_open", F.when(~leaf & F.col("_k").isin("OBJECT", "ARRAY"), F.col("value")))
+    each = own.lateralJoin(rows.sparkSession.tvf.variant_explode_outer(F.col("_open").outer()).toDF("_pos", "_name", "_value"))
+    return each.where("_open is null or _pos is not null").select(
+        "event_record_id", F.when(F.col("_name").isNotNull(), F.concat("key", F.lit("."), "_name")).otherwise(F.col("key")).alias("key"),
+        F.when(F.col("_open").isNotNull() & (F.col("_k") == "ARRAY"), F.col("_pos").cast("long")).otherwise(F.col("idx")).alias("idx"),
+        F.when(F.col("_open").isNotNull(), F.col("_value")).otherwise(F.col("value")).alias("value"),
+    )
+
+
+def user_data(records: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """Leaves of UserData by dotted path; array items keep their parent's path and have their place in `idx`. Members of `#attributes` and `#text` are leaves.
+
+    However deep: a round opens some levels, and what is still an object or an array is staged as JSON and opened by the next.
+    """
     df = events_of(records).select("event_record_id", at(F.col("event"), "UserData").alias("data"))
     rows = members(df, "data", "event_record_id").select("event_record_id", "key", F.lit(None).cast("long").alias("idx"), "value")
-    tvf = records.sparkSession.tvf
-    leaf = F.col("key").rlike(r"\.#text$|\.#attributes\.")
-    for _ in range(depth):
-        own = rows.withColumn("_k", kind(F.col("value"))).withColumn("_open", F.when(~leaf & F.col("_k").isin("OBJECT", "ARRAY"), F.col("value")))
-        each = own.lateralJoin(tvf.variant_explode_outer(F.col("_open").outer()).toDF("_pos", "_name", "_value"))
-        each = each.where("_open is null or _pos is not null")  # an empty object or array has no leaf
-        rows = each.select(
-            "event_record_id", F.when(F.col("_name").isNotNull(), F.concat("key", F.lit("."), "_name")).otherwise(F.col("key")).alias("key"),
-            F.when(F.col("_open").isNotNull() & (F.col("_k") == "ARRAY"), F.col("_pos").cast("long")).otherwise(F.col("idx")).alias("idx"),
-            F.when(F.col("_open").isNotNull(), F.col("_value")).otherwise(F.col("value")).alias("value"),
-        )
-    v = F.col("value")
-    leaves = rows.where(~(F.col("key").rlike(r"\.#attributes$") & (kind(v) != "OBJECT")))
-    raw = F.when(kind(v) == "VOID", None).otherwise(F.coalesce(plain(v), json_text(v)))
-    return typed(leaves.select("event_record_id", "key", "idx", raw.alias("value_raw")), "UserData")
+    leaf, v, leaves = F.col("key").rlike(r"\.#text$|\.#attributes\."), F.col("value"), None
+    while True:
+        for _ in range(levels):
+            rows = opened(rows, leaf)
+        still = F.when(~leaf & kind(v).isin("OBJECT", "ARRAY"), json_text(v))
+        raw = F.when(kind(v) == "VOID", None).otherwise(F.coalesce(plain(v), json_text(v)))
+        attributes = F.col("key").rlike(r"\.#attributes$") & (kind(v) != "OBJECT")
+        out = staged(rows.select("event_record_id", "key", "idx", still.alias("still"), F.coalesce(attributes, F.lit(False)).alias("aside"), raw.alias("value_raw")), "user-data")
+        own = out.where("still is null and not aside").select("event_record_id", "key", "idx", "value_raw")
+        leaves = own if leaves is None else leaves.unionAll(own)
+        rows = out.where("still is not null").select("event_record_id", "key", "idx", F.parse_json("still").alias("value"))
+        if rows.isEmpty():
+            return typed(leaves, "UserData")
 
 
 def annotations(records: DataFrame) -> DataFrame:

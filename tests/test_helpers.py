@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import text, values
-from millrace.operators import backtest, catalog, contract, listing, paths, samples, sinks, structure
+from millrace.operators import backtest, catalog, contract, listing, paths, samples, sinks, sql_gate, structure
 from millrace.operators.contract import ContractColumn, SchemaMismatch
 
 COLUMNS = [ContractColumn("a", "bigint", False), ContractColumn("b", "date", True, "%Y-%m-%d")]
@@ -41,7 +41,7 @@ def test_sinks_are_routed():
     with pytest.raises(ValueError):
         sinks.quarantine_sink("a", "parquet://x", "table://q")
     with pytest.raises(ValueError):
-        sinks.read_only(None, "select 1; install httpfs", 1)
+        sql_gate.read_only(None, "select 1; install httpfs", 1)
 
 
 def test_writes_are_taken_back(spark, tmp_path):

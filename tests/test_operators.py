@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from millrace.functions import text
-from millrace.operators import amend, backtest, catalog, contract, inference, parsers, path_groups, paths, sinks
+from millrace.operators import amend, backtest, catalog, contract, inference, parsers, path_groups, paths, sinks, sql_gate
 from millrace.operators.contract import ContractColumn
 from millrace.sources import event_records, fix_outputs, lines
 from millrace.streaming.contract_stream import run_available
@@ -97,8 +97,8 @@ def test_sinks(spark, tmp_path):
     with pytest.raises(ValueError):
         sinks.write(df, f"csv://{tmp_path}/x", "replace")
     with pytest.raises(ValueError):
-        sinks.read_only(spark, "drop table x", 1)
-    assert sinks.read_only(spark, "select 1 as a", 5).count() == 1
+        sql_gate.read_only(spark, "drop table x", 1)
+    assert sql_gate.read_only(spark, "select 1 as a", 5).count() == 1
     assert sinks.format_of("file://a/b.csv") == ("csv", "a/b.csv")
     assert lines.files(spark, str(tmp_path)).where("size > 0").count() > 0
 
