@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.positions import with_positions
+from millrace.operators.positions import with_group, with_positions
 from millrace.operators.staging import staged
 
 #: States of a file, and to which each may go.
@@ -67,12 +67,7 @@ def numbered(log: DataFrame, file: str, order: list[str], status: str) -> DataFr
     """_file, _nth (from 0 in each file's order), _order (struct), _status, _code; staged. Positions come from prefix sums over (file, order), less the file's first."""
     own = log.select(F.col(file).alias("_file"), F.struct(*order).alias("_order"), F.col(status).alias("_status"))
     wide = staged(with_positions(own, ["_file", "_order"], "_position"), "positions")
-    first = wide.groupBy("_file").agg(F.min("_position").alias("_first"), F.count(F.lit(1)).alias("_n")).withColumnRenamed("_file", "_own")
-    # Files with more than a 256th of all changes are fewer than 256, and broadcast; no task gets all changes of one.
-    many = F.broadcast(first.where(F.col("_n") * 256 > wide.count()))
-    same = F.col("_file").eqNullSafe(F.col("_own"))
-    rest = wide.join(many.select("_own"), same, "left_anti")
-    out = wide.join(many, same).unionByName(rest.join(first, same)).withColumn("_nth", F.col("_position") - F.col("_first"))
+    out = with_group(wide, ["_file"], {"_first": F.min("_position")}).withColumn("_nth", F.col("_position") - F.col("_first"))
     return staged(out.select("_file", "_nth", "_order", "_status", code_of(F.col("_status")).alias("_code")), "changes")
 
 

@@ -16,12 +16,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from millrace.operators.deadline import OK, Caller
 from millrace.operators.sinks import check_name
 from millrace.operators.staging import staged
 
 #: Rows that a task holds for one output before it passes them on.
 ROWS_AT_ONCE = 4096
 PAUSE_AFTER = 3
+#: Seconds that an extractor has for a file.
+DEADLINE = 5.0
 Parser = Callable[[str, bytes], Iterable[tuple[str, dict]]]
 
 
@@ -71,19 +74,28 @@ def preview(outputs: dict[str, DataFrame], rows: int = 1000) -> dict[str, DataFr
     return {k: v if k == "_errors" else v.orderBy("_source_path", "_source_row").limit(rows) for k, v in outputs.items()}
 
 
-def extract(files: DataFrame, extractor: Callable[[str, bytes], dict]) -> DataFrame:
-    """path, status (ok or error), metadata (JSON with sorted keys) and error for each file."""
+def extract(files: DataFrame, extractor: Callable[[str, bytes], dict], seconds: float = DEADLINE) -> DataFrame:
+    """path, status (ok, error, timeout or crash), metadata (JSON with sorted keys) and error for each file.
+
+    The extractor runs in a child of the task's worker and has so many seconds for a file; one that hangs is ended, one that
+    takes its process down is begun anew, and either costs its own file only. A null content is an empty file.
+    """
+
+    def described(path: str, content: bytes) -> str:
+        return json.dumps(extractor(path, content), sort_keys=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                try:
-                    rows.append((path, "ok", json.dumps(extractor(path, content or b""), sort_keys=True), None))
-                except Exception as error:  # noqa: BLE001
-                    rows.append((path, "error", None, str(error)))
-            columns = list(zip(*rows)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["path", "status", "metadata", "error"])
+        call = Caller(described, seconds)
+        try:
+            for batch in batches:
+                rows = []
+                for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    status, said = call(path, content or b"")
+                    rows.append((path, status, said, None) if status == OK else (path, status, None, said))
+                columns = list(zip(*rows)) if rows else [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["path", "status", "metadata", "error"])
+        finally:
+            call.close()
 
     return files.select("path", "content").mapInArrow(run, "path string, status string, metadata string, error string")
 

@@ -50,6 +50,18 @@ def placed(rows: DataFrame, parts: list[tuple[int, int, int]], position: str, ru
     return out.drop("_part", "_at", "_weight", "_rows", "_sum")
 
 
+def with_group(rows: DataFrame, keys: list[str], sums: dict[str, Column], share: int = 256) -> DataFrame:
+    """rows (staged, or cheap to read twice) with aggregates of their keys' groups, null keys as one value. Groups with more than a `share`th of all rows are fewer than that, and broadcast; no task gets all rows of a large one."""
+    own = [f"_own{k}" for k in range(len(keys))]
+    per = rows.groupBy(*[F.col(k).alias(o) for k, o in zip(keys, own)]).agg(F.count(F.lit(1)).alias("_size_of_group"), *[c.alias(n) for n, c in sums.items()])
+    many = F.broadcast(per.where(F.col("_size_of_group") * share > rows.count()))
+    same = F.lit(True)
+    for k, o in zip(keys, own):
+        same = same & F.col(k).eqNullSafe(F.col(o))
+    rest = rows.join(many.select(*own), same, "left_anti")
+    return rows.join(many, same).unionByName(rest.join(per, same)).drop(*own, "_size_of_group")
+
+
 def with_row_index(df: DataFrame, order: list, index: str = "_output_row_index") -> DataFrame:
     """df with the position of each row in its whole output."""
     return with_positions(df, order, index)

@@ -1,14 +1,15 @@
-"""Registered queries of walks, file generations, streamed inference, nested contracts, positions, budgets and life cycles."""
+"""Registered queries of walks, file generations, streamed inference, nested contracts, positions, budgets, life cycles, commits, shreds and deadlines."""
 
 from __future__ import annotations
 
 import os
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from millrace.operators import contract, lifecycle, nested, positions
+from millrace.operators import contract, lifecycle, manifest, nested, parsers, positions, shred
 from millrace.operators.contract import ContractColumn
 from millrace.operators.lifecycle import MOVES, STATES
 from millrace.operators.staging import shared_folder
@@ -223,3 +224,92 @@ def file_states(spark, sf):
 select file_id, l_orderkey, l_linenumber, {_STATES}[1 + before] as from_status, {_NAMES}[1 + x] as status from walk join log using (file_id, nth) where not ok""")
 def illegal_status_moves(spark, sf):
     return lifecycle.illegal_moves(status_log(spark, sf, F.col("l_suppkey")), "file_id", ["l_orderkey", "l_linenumber"])
+
+
+# ---- commits
+
+
+@query("""with e as (select event_id, cast(round(value, 2) as decimal(12,2)) as value from events), sums as (select event_id % 10 = 0 as bad, count(*) as n, sum(value) as total, sum(value + 1) as more from e group by 1)
+select 'held events' as seen, n as n_rows, total from sums where not bad union all select 'held events_quarantine', n, total from sums where bad union all select 'now events', n, more from sums where not bad union all select 'now events_quarantine', n, more from sums where bad
+union all select 'after events', n, more from sums where not bad union all select 'after events_quarantine', n, more from sums where bad union all select 'appended events', n * 2, total + more from sums where not bad union all select 'appended events_quarantine', n, more from sums where bad""")
+def replaced_outputs(spark, sf):
+    """Two tables replaced at once under a reader that keeps what it held; a commit that fails changes nothing; one more appends."""
+    root = folder(spark, "lake")
+    e = table(spark, sf, "events").select("event_id", F.round("value", 2).cast("decimal(12,2)").alias("value"))
+    bad = F.col("event_id") % 10 == 0
+    outputs = lambda df, mode: {"events": (df.where(~bad), mode), "events_quarantine": (df.where(bad), mode)}
+    later = e.withColumn("value", (F.col("value") + 1).cast("decimal(12,2)"))
+    seen = lambda: {name: manifest.read(spark, root, name) for name in ("events", "events_quarantine")}
+    manifest.commit(spark, root, outputs(e, "error"), "first")
+    views = {"held": seen()}
+    manifest.commit(spark, root, outputs(later, "replace"), "second", "csv")
+    views["now"] = seen()
+    broken = later.withColumn("value", F.when(F.col("event_id") < 0, F.col("value")).otherwise(F.raise_error(F.lit("broken")).cast("decimal(12,2)")))
+    try:
+        manifest.commit(spark, root, outputs(broken, "replace"), "third")
+    except Exception:  # noqa: BLE001  meant to fail
+        views["after"] = seen()
+    manifest.commit(spark, root, {"events": (e.where(~bad), "replace"), "events_quarantine": (later.where(bad), "replace")}, "fourth")
+    manifest.commit(spark, root, {"events": (later.where(~bad), "append")}, "fifth")
+    views["appended"] = seen()
+    out = None
+    for when, tables in views.items():
+        for name, df in tables.items():
+            one = df.agg(F.count("*").alias("n_rows"), F.sum("value").alias("total")).select(F.lit(f"{when} {name}").alias("seen"), "n_rows", "total")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+# ---- shredding raw lines
+
+
+def raw_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as CSV lines below a header, as JSON lines, and as log lines."""
+    e = table(spark, sf, "events")
+    k, t = F.col("event_id").cast("string"), F.col("event_type")
+    return e.select("event_id", F.concat(k, F.lit(',"'), t, F.lit('",'), F.col("user_id").cast("string")).alias("csv"), F.concat(F.lit('{"id":'), k, F.lit(',"event":{"type":"'), t, F.lit('"}}')).alias("json"), F.concat(F.lit("at "), k, F.lit(" type="), t, F.lit(";")).alias("log"))
+
+
+_SHREDS = """select '{0}' as strategy, coalesce(shard, '_MISC') as shard, count(*) as n_lines, cast(sum(strlen({1}) + 1) as bigint) as n_bytes from (select *, {1} as line, case when event_type in (select k from best) then event_type end as shard from events) group by 2"""
+_LINES = {"csv": """event_id || ',"' || event_type || '",' || user_id""", "json": """'{"id":' || event_id || ',"event":{"type":"' || event_type || '"}}'""", "regex": "'at ' || event_id || ' type=' || event_type || ';'"}
+
+
+@query("with best as (select event_type as k from events group by 1 order by count(*) desc, k limit 2) " + " union all ".join(_SHREDS.format(s, line) for s, line in _LINES.items()))
+def shredded_lines(spark, sf):
+    """Lines shredded by a CSV field, a JSON path and a named group, written as files of 20 000 bytes at most and read back."""
+    df, out = raw_events(spark, sf), None
+    header = spark.createDataFrame([(-1, "id,type,user")], "event_id long, line string")
+    for strategy, column, options in (("csv", "csv", {"index": 1, "has_header": True}), ("json", "json", {"path": "event.type"}), ("regex", "log", {"pattern": r"type=(?<kind>\w+);", "group": "kind"})):
+        lines = df.select("event_id", F.col(column).alias("line"))
+        lines = header.unionAll(lines) if strategy == "csv" else lines
+        root = folder(spark, f"shreds-{strategy}")
+        sharded = shred.shred_lines(lines, "line", strategy, top=2, promotion=1 << 40, order=["event_id"], **options)
+        shred.write_line_files(sharded, root, "line", ["event_id"], 20_000, "id,type,user" if strategy == "csv" else None)
+        back = spark.read.text(root).select("value", "shard", F.col("_metadata.file_size").alias("size"))
+        back = back.where("value <> 'id,type,user' and size <= 20000")
+        one = back.groupBy("shard").agg(F.count("*").alias("n_lines"), F.sum(F.octet_length("value") + 1).alias("n_bytes")).select(F.lit(strategy).alias("strategy"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+# ---- extractors
+
+
+@query("""select 'doc/' || doc_id as path, case doc_id when 7 then 'timeout' when 11 then 'crash' when 13 then 'error' else 'ok' end as status, case when doc_id not in (7, 11, 13) then '{"bytes": ' || strlen(coalesce(text, '')) || ', "words": ' || len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) || '}' end as metadata,
+  case doc_id when 7 then 'no answer within 2 s' when 11 then 'exit code 3' when 13 then 'no document' end as error from documents""")
+def extracted_with_deadlines(spark, sf):
+    """One document hangs its extractor, one takes it down and one makes it fail; all other rows are there."""
+    d, k = table(spark, sf, "documents"), F.col("doc_id")
+    content = F.concat(F.when(k == 7, "H").when(k == 11, "C").when(k == 13, "E").otherwise(" "), F.coalesce("text", F.lit(""))).cast("binary")
+    return parsers.extract(d.select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), content.alias("content")), describe, 2.0)
+
+
+def describe(path: str, content: bytes) -> dict:
+    """Bytes and words of a document; its first letter may tell it to hang, to crash or to fail."""
+    if content[:1] == b"H":
+        time.sleep(3600)
+    if content[:1] == b"C":
+        os._exit(3)
+    if content[:1] == b"E":
+        raise ValueError("no document")
+    return {"bytes": len(content) - 1, "words": len(content[1:].split())}

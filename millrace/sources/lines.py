@@ -55,9 +55,10 @@ def json_pairs(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return each.withColumn("value_type", F.when(F.col("value_raw").isNull(), "empty").otherwise(kind)).withColumn("value_int64", F.when(F.col("value_type") == "int", F.col("value_raw").try_cast("bigint")))
 
 
-def csv_fields(line: Column) -> Column:
+def csv_fields(line: Column, delimiter: str = ",") -> Column:
     """All fields of a line of CSV as an array: quotes around a field are taken off, doubled ones inside are one, an empty field is null."""
-    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+    d = "\\" + delimiter if len(delimiter) == 1 and not delimiter.isalnum() else delimiter
+    raw = F.regexp_extract_all(F.concat(F.lit(delimiter), line), F.lit(f'{d}("(?:[^"]|"")*"|[^{d}]*)'), F.lit(1))
     bare = lambda x: F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))
     return F.transform(raw, lambda x: F.when(x.rlike('^".*"$'), bare(x)).when(x != "", x))
 
