@@ -32,9 +32,9 @@ AT_ONCE = 1 << 20
 #: Pairs with at least this share of all documents' links are hot; there are no more of them than its inverse.
 HOT_SHARE = 1e-4
 #: Distinct pairs of a bucket, links of a part of one, and links gathered before they are handed to parts.
-BUCKET, PART, PACKET = 250_000, 1 << 22, 1 << 21
+BUCKET, PART, PACKET = 250_000, 1 << 20, 1 << 21
 #: Chunks remembered, and their ids, until all are forgotten.
-REMEMBERED, MOST_IDS = 300_000, 1 << 22
+REMEMBERED, MOST_IDS = 500_000, 1 << 22
 #: Neither side has a token across the start of a chunk: white space, if only spaces and line feeds, goes with the word behind it.
 CHUNK = re.compile("[ \n]*[^ \n]+|[ \n]+")
 #: A text with other white space, or beyond the code points long assigned (on whose classes every Unicode version agrees), is encoded as a whole.
