@@ -55,13 +55,29 @@ def test_lm_scores(spark, texts):
 
 
 def test_lm_ids_of_text(spark):
-    """Ids that are no numbers are held out by their text."""
+    """Ids that are no numbers are held out by their text, and come back as they are."""
     rows = [(f"doc-{i}", f"a text of word{i} and more") for i in range(20)]
     got = pitman_yor.score_documents(spark.createDataFrame(rows, "doc_id string, text string")).collect()
-    assert {r.doc_id for r in got} == {None} and len(got) == 20
+    assert sorted(r.doc_id for r in got) == sorted(d for d, _ in rows)
+    assert all(r.held_out == (zlib.crc32(r.doc_id.encode()) % 7 == 2) for r in got)
     assert sum(r.held_out for r in got) == sum(zlib.crc32(d.encode()) % 7 == 2 for d, _ in rows)
 
 
+def test_lm_sums_in_rounds(spark, texts, monkeypatch):
+    """Sizes are the same however many rows are summed at a time, and so are all scores."""
+    docs = spark.createDataFrame(list(texts.items())[:60], "doc_id long, text string").coalesce(2)
+    score = lambda: sorted(map(tuple, pitman_yor.score_documents(docs, block_bytes=20_000, bucket_bytes=8_000).collect()))
+    whole = score()
+    monkeypatch.setattr(pitman_yor, "SUMMED_AT_ONCE", 3)
+    assert score() == whole and len(whole) == 60
+
+
+def test_lm_groups_by_share():
+    plan = pitman_yor.Plan(5000, 3, hot=(b"a", b"b"), shares=(0.05, 0.0003))
+    assert plan.groups == {b"a": 500, b"b": 3} and len({plan.bucket(b"a", g) for g in range(500)}) == 500
+    assert pitman_yor.Plan(1, 3, hot=(b"a",), shares=(0.5,)).groups == {b"a": 1}
+
+
 def small_model(plan):
     rng = random.Random(3)
     vocabulary = [f"w{i}".encode() for i in range(40)]
