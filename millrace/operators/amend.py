@@ -101,6 +101,17 @@ def elimination_evidence(df: DataFrame, columns: list[str], order: str) -> DataF
     return texts.select("name", "_o", "v", F.explode(out).alias("type")).groupBy("name", "type").agg(F.min_by("v", F.struct("_o", "v")).alias("value"))
 
 
+def samples_of(df: DataFrame, columns: list[str], most: int = 3) -> DataFrame:
+    """name and samples: the `most` least distinct texts of each column, least first; empty text is no sample. One aggregate for each, that looks for the least text beyond the one before."""
+    texts = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("v")) for c in columns])).alias("x")).select("x.*").where("v <> ''")
+    found = texts.groupBy("name").agg(F.array(F.min("v")).alias("samples"))
+    for _ in range(most - 1):
+        last = F.element_at("samples", -1)
+        beyond = texts.join(F.broadcast(found), "name").where(F.col("v") > last).groupBy("name").agg(F.min("v").alias("next"))  # found has a row a column
+        found = found.join(F.broadcast(beyond), "name", "left").select("name", F.array_compact(F.array_append("samples", F.col("next"))).alias("samples"))
+    return found
+
+
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """name, has_null, type (string over boolean over float over integer), and its least value, of text columns. Empty text is a null."""
     texts = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("v")) for c in columns])).alias("x")).select("x.*")

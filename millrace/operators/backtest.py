@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from millrace.functions.text import failure_category
+from millrace.operators.contract import ERROR
 from millrace.operators.staging import staged
 
 
@@ -69,6 +70,15 @@ def job_status(outputs: DataFrame, job: str = "job_id", status: str = "status")
     return outputs.groupBy(job).agg(F.when(worst == 2, "failed").when(worst == 1, "partial_success").otherwise("success").alias("status"))
 
 
+def file_results(enforced: DataFrame, errors: DataFrame, file: str = "_source_path") -> DataFrame:
+    """file, passed, n_rows, n_bad, error and category: of a parser's rows under a contract, and of the files (path, error) that it failed on. A file's error is that of its first bad row."""
+    bad = F.col(ERROR).isNotNull()
+    rows = enforced.groupBy(F.col(file).alias("file")).agg(F.count("*").alias("n_rows"), F.count_if(bad).alias("n_bad"), F.min_by(ERROR, F.when(bad, F.col("_source_row"))).alias("error"))
+    failed = errors.select(F.col("path").alias("file"), F.lit(0).cast("long").alias("n_rows"), F.lit(0).cast("long").alias("n_bad"), "error")
+    every = rows.unionByName(failed)
+    return every.select("file", F.col("error").isNull().alias("passed"), "n_rows", "n_bad", "error", F.when(F.col("error").isNotNull(), failure_category(F.col("error"))).alias("category"))
+
+
 def fail_fast(files: DataFrame, history: DataFrame, run, file: str = "file", threshold: float = 0.8, least: int = 3) -> tuple[DataFrame, bool]:
     """Results of `run` (files to rows of file, passed, error) and whether it stopped early.
 

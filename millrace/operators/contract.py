@@ -237,6 +237,20 @@ def schema_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select(F.coalesce("name", "old").alias("name"), change.alias("change")).where("change is not null")
 
 
+def contract_changes(before: list[ContractColumn], after: list[ContractColumn]) -> list[tuple[str, str, str | None, str | None]]:
+    """(column, change, old, new): added, removed, type, nullability, format; a column may have several."""
+    old, new = {c.name: c for c in before}, {c.name: c for c in after}
+    out: list[tuple[str, str, str | None, str | None]] = [(n, "removed", c.type, None) for n, c in old.items() if n not in new]
+    for n, c in new.items():
+        b = old.get(n)
+        if b is None:
+            out.append((n, "added", None, c.type))
+            continue
+        pairs = (("type", b.type, c.type), ("nullability", str(b.nullable).lower(), str(c.nullable).lower()), ("format", b.format, c.format))
+        out += [(n, what, x, y) for what, x, y in pairs if x != y]
+    return out
+
+
 def any_null(df: DataFrame) -> DataFrame:
     """df with `_error_reason`: null_values for a row with a null in any column."""
     bad = F.lit(False)

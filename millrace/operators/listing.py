@@ -35,7 +35,32 @@ def children_matching(df: DataFrame, prefix: str = "", glob: str = "", limit: in
 
 def like_of(glob: str) -> str:
     """A glob as a LIKE pattern: folders of any depth vanish, `*` and `?` become `%` and `_`, and an underscore is escaped."""
-    return glob.replace("**/", "").replace("_", "\\_").replace("*", "%").replace("?", "_")
+    return escaped(glob.replace("**/", "")).replace("*", "%").replace("?", "_")
+
+
+def escaped(text: str) -> str:
+    """A text with the signs that mean something to LIKE made literal."""
+    return text.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
+
+
+def glob_parts(glob: str) -> tuple[str | None, str | None]:
+    """Extension and LIKE pattern of whole paths that a glob asks for; either may be None. Only a glob with folders has a pattern, and one that fits all paths is none."""
+    tail = glob.rpartition("*.")[2] if "*." in glob else ""
+    extension = tail.lower() if tail and not set("/*") & set(tail) else None
+    if "/" not in glob and "**" not in glob:
+        return extension, None
+    body = glob[: -len(tail) - 2] + "*" if extension is not None else glob
+    like = escaped(body).replace("**/", "%").replace("**", "%").replace("*", "%").replace("?", "_")
+    while "%%" in like:
+        like = like.replace("%%", "%")
+    return extension, like if like.strip("%") else None
+
+
+def matching_parts(df: DataFrame, glob: str) -> DataFrame:
+    """Files that fit a glob by their extension column, which an index can serve, and by LIKE on the path."""
+    extension, like = glob_parts(glob)
+    df = df.where(F.col("extension") == extension) if extension is not None else df
+    return df.where(F.col("rel_path").like(like)) if like is not None else df
 
 
 def counts(df: DataFrame, prefixes: tuple[str, ...] = (), globs: tuple[str, ...] = (), folders: tuple[str, ...] = ()) -> DataFrame:

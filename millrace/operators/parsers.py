@@ -11,7 +11,7 @@ import traceback
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -69,9 +69,16 @@ def run_parser(files: DataFrame, parse: Parser, outputs: dict[str, StructType])
     return found | {"_errors": done.where("_output = '_errors'").select(F.col("_path").alias("path"), F.col("_error").alias("error"))}
 
 
-def preview(outputs: dict[str, DataFrame], rows: int = 1000) -> dict[str, DataFrame]:
-    """The first rows of each output by source path and row; errors whole."""
-    return {k: v if k == "_errors" else v.orderBy("_source_path", "_source_row").limit(rows) for k, v in outputs.items()}
+def preview(outputs: dict[str, DataFrame], rows: int = 1000, redact: dict[str, Callable[[Column], Column]] | None = None) -> dict[str, DataFrame]:
+    """The first rows of each output by source path and row, with the columns named in `redact` put through its functions; errors whole."""
+    redact = redact or {}
+    shown = {k: v if k == "_errors" else v.orderBy("_source_path", "_source_row").limit(rows) for k, v in outputs.items()}
+    return {k: v.select(*[redact[c](F.col(c)).alias(c) if c in redact else F.col(c) for c in v.columns]) for k, v in shown.items()}
+
+
+def output_schemas(outputs: dict[str, DataFrame]) -> list[tuple[str, int, str, str]]:
+    """(output, place, column, type) of each output's own columns."""
+    return [(name, k, f.name, f.dataType.simpleString()) for name, df in sorted(outputs.items()) if name != "_errors" for k, f in enumerate(x for x in df.schema if not x.name.startswith("_source_"))]
 
 
 def extract(files: DataFrame, extractor: Callable[[str, bytes], dict], seconds: float = DEADLINE) -> DataFrame:

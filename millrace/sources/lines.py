@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from millrace.functions.text import value_type
 
@@ -24,6 +25,17 @@ def read_table(spark: SparkSession, path: str, kind: str, separator: str = ",")
     return spark.read.format(kind).load(path)
 
 
+def read_flexible(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
+    """CSV with a header, of lines of any width, all columns text: what a short line lacks is null, what a long one has beyond the header is the array `_rest` (null for others). The header is the first file's."""
+    own = {"header": True, "sep": separator, "escape": '"'}
+    names = spark.read.csv(path, **own).columns
+    schema = StructType([StructField(n, StringType()) for n in names] + [StructField("_line", StringType())])
+    df = spark.read.schema(schema).csv(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_line", enforceSchema=True, **own)
+    # A line of another width is kept as it stands.
+    rest = csv_fields(F.col("_line"), separator)
+    return df.select(*[F.col(f"`{n}`") for n in names], F.when(F.size(rest) > len(names), F.slice(rest, len(names) + 1, F.greatest(F.size(rest), F.lit(1)))).alias("_rest"))
+
+
 def raw_lines(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """line_number from 1 and raw for each line of a text; a final line feed makes no line."""
     lines = F.split(F.regexp_replace(text, "\n$", ""), "\n")

@@ -111,3 +111,34 @@ def test_deep_user_data(spark):
     got = {(r.key.count(".n"), r.key.rpartition(".n")[2], r.idx): r.value_raw for r in event_records.user_data(df).collect()}
     want = {(k, "", 0): "7" for k in range(1, depth + 1)} | {(depth, ".#text", 1): '{"a":[1]}', (depth, ".#attributes.k", 1): "[2]", (depth, ".z", 1): None}
     assert got == want
+
+
+# --- rows completed beside them
+
+
+def test_globs_in_parts(spark):
+    from millrace.operators.listing import glob_parts, like_of, matching_parts
+
+    cases = {"*.rs": ("rs", None), "**/*.PY": ("py", None), "src/**/*.rs": ("rs", "src/%"), "data/*": (None, "data/%"), "**": (None, None), "name": (None, None), "a_b/100%/*": (None, "a\\_b/100\\%/%"), "x/*.tar/*": (None, "x/%.tar/%"), "**/v?/*.csv": ("csv", "%v_/%")}
+    assert {g: glob_parts(g) for g in cases} == cases
+    assert like_of("100%_*") == "100\\%\\_%"
+    df = spark.createDataFrame([("a_b/100%/x", ""), ("aXb/100%/x", ""), ("a_b/1000/x", "")], "rel_path string, extension string")
+    assert [r[0] for r in matching_parts(df, "a_b/100%/*").collect()] == ["a_b/100%/x"]
+
+
+def test_flexible_tables(spark, tmp_path):
+    from millrace.operators.amend import samples_of
+    from millrace.sources.lines import read_flexible
+
+    (tmp_path / "a.csv").write_text('id;name\n1;"a;""b"\n2\n3;c;d;"e;f"\n\n4;\n')
+    rows = sorted((r.id, r.name, r._rest) for r in read_flexible(spark, str(tmp_path / "a.csv"), ";").collect())
+    assert rows == [("1", 'a;"b', None), ("2", None, None), ("3", "c", ["d", "e;f"]), ("4", None, None)]
+    df = spark.createDataFrame([("b", None), ("a", ""), ("b", None), ("d", None), ("c", None)], "x string, y string")
+    assert [tuple(r) for r in samples_of(df, ["x", "y"]).collect()] == [("x", ["a", "b", "c"])]
+
+
+def test_contract_changes():
+    a = [ContractColumn("x", "int"), ContractColumn("d", "date", True, "%Y")]
+    b = [ContractColumn("d", "date", False, "%d"), ContractColumn("y", "int")]
+    assert contract.contract_changes(a, b) == [("x", "removed", "int", None), ("d", "nullability", "true", "false"), ("d", "format", "%Y", "%d"), ("y", "added", None, "int")]
+    assert contract.contract_changes(a, a) == []
