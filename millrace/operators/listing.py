@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from millrace.functions.text import glob_regex
 from millrace.operators.catalog import seeded
+from millrace.operators.positions import page  # noqa: F401  pages of listings, by prefix sums
 
 
 def list_files(df: DataFrame, tags: DataFrame | None = None, status: str | None = None, source: str | None = None, tag: str | None = None, untagged: bool = False, extension: str | None = None) -> DataFrame:
@@ -72,18 +73,6 @@ def counts(df: DataFrame, prefixes: tuple[str, ...] = (), globs: tuple[str, ...]
     return one.select(F.inline("all"))
 
 
-def page(df: DataFrame, order: list[str], start: int, size: int) -> DataFrame:
-    """Rows start .. start + size - 1 of an order, with `position` and the cursor of the next page (null on the last).
-
-    Spark keeps the first start + size + 1 rows of each partition alone; only the page itself is numbered.
-    """
-    first = df.orderBy(*order).limit(start + size + 1)
-    numbered = first.withColumn("position", F.row_number().over(W.orderBy(*order)) - 1).where(F.col("position") >= start)
-    more = F.max("position").over(W.partitionBy(F.lit(1))) >= start + size
-    out = numbered.withColumn("next_cursor", F.when(more, F.lit(start + size)))
-    return out.where(F.col("position") < start + size).withColumn("position", F.col("position").cast("long")).withColumn("next_cursor", F.col("next_cursor").cast("long"))
-
-
 def tag_counts(df: DataFrame, tags: DataFrame, source: str = "source") -> DataFrame:
     """source, tag, n_files, the most first; files without a tag stand as null."""
     return df.join(tags.select("file_id", "tag"), "file_id", "left").groupBy(source, "tag").agg(F.count_distinct("file_id").alias("n_files"))
