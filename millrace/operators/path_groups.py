@@ -65,21 +65,64 @@ def signatures(paths: DataFrame, path: str = "rel_path") -> DataFrame:
     ).withColumn("initials", F.array_join(F.transform(F.slice("literals", 1, F.greatest("n_literal", F.lit(1))), lambda x: F.substring(x, 1, 1)), ""))
 
 
+#: Literals of up to so many letters may differ by edits; of up to SHORT letters a literal may stand for a longer one.
+EDITED, SHORT = 6, 3
+BLOCK = ("depth", "name_template", "n_literal", "initials")
+
+
+def shortened(word: Column) -> Column:
+    """A word with up to two letters left out, in all ways. Words two edits apart have one of these in common."""
+    without = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
+    once = without(word)
+    return F.array_distinct(F.concat(F.array(word), once, F.flatten(F.transform(once, without))))
+
+
+def literal_keys(x: Column, probe: bool) -> Column:
+    """Keys by which literals at one place meet if they may be spellings of one (see fuzzy): those that a literal lies under, or, to probe, those that its partners lie under.
+
+    Longer literals meet their equals; those of four to EDITED letters any that share a shortened form; up to SHORT letters stand
+    for any literal of the same first letter, so all lie under that too, and short ones apart from the others.
+    """
+    size, first = F.length(x), F.substring(x, 1, 1)
+    own = F.when(size > EDITED, F.array(F.concat(F.lit("w:"), x))).otherwise(F.transform(shortened(x), lambda d: F.concat(F.lit("d:"), d)))
+    short, every = F.array(F.concat(F.lit("s:"), first)), F.array(F.concat(F.lit("f:"), first))
+    if probe:
+        return F.when(size <= SHORT, every).otherwise(F.concat(own, short))
+    return F.when(size <= SHORT, F.concat(short, every)).otherwise(F.concat(own, every))
+
+
+def candidate_pairs(signatures: DataFrame) -> DataFrame:
+    """(a, b), a < b: templates that agree in BLOCK and may have spellings of one literal at every place.
+
+    As literals must fit at all places, one place finds all partners: each template probes that at which the fewest others
+    lie under its keys. Templates without a literal are few, as only their kinds tell them apart, and meet by BLOCK alone.
+    """
+    place = F.transform(F.slice("literals", 1, F.greatest("n_literal", F.lit(1))), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    spot = signatures.where("n_literal > 0").select(*BLOCK, "template", F.explode(place).alias("p")).select(*BLOCK, "template", "p.i", "p.x")
+    under = staged(spot.select(*BLOCK, "template", "i", F.explode(literal_keys(F.col("x"), False)).alias("key")), "keys")
+    sizes = under.groupBy(*BLOCK, "i", "key").agg(F.count("*").alias("n"))
+    probes = spot.select(*BLOCK, "template", "i", F.explode(literal_keys(F.col("x"), True)).alias("key"))
+    met = staged(probes.join(sizes, [*BLOCK, "i", "key"]), "probes")
+    cost = met.groupBy("template", "i").agg(F.sum("n").alias("cost")).groupBy("template").agg(F.min(F.struct("cost", "i")).alias("best"))
+    chosen = met.join(cost.select(F.col("template").alias("_t"), F.col("best.i").alias("_i")), (F.col("template") == F.col("_t")) & (F.col("i") == F.col("_i"))).drop("n", "_t", "_i")
+    found = chosen.withColumnRenamed("template", "a").join(under.withColumnRenamed("template", "b"), [*BLOCK, "i", "key"]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    bare = signatures.where("n_literal = 0").select(*BLOCK, "template")
+    rest = bare.withColumnRenamed("template", "a").join(bare.withColumnRenamed("template", "b"), list(BLOCK)).where("a < b").select("a", "b")
+    return found.union(rest).distinct()
+
+
 def variant_pairs(signatures: DataFrame, least: int = LEAST_SCORE) -> DataFrame:
-    """(a, b, score) of templates that may be variants of one layout.
+    """(a, b, score) of templates that may be variants of one layout. signatures are read several times, so they are staged before.
 
     A pair below HARD_MISMATCH is never a variant, so literals at the same place share their first letter; every segment with
-    a literal has at least one, hence as many first letters as there are such segments are part of the join key.
+    a literal has at least one, hence as many first letters as there are such segments are part of what pairs agree in.
     """
     a = signatures.select(*[F.col(c).alias(f"a_{c}") for c in signatures.columns])
     b = signatures.select(*[F.col(c).alias(f"b_{c}") for c in signatures.columns])
-    keys = ("depth", "name_template", "n_literal", "initials")
-    on = F.col("a_template") < F.col("b_template")
-    for k in keys:
-        on = on & (F.col(f"a_{k}") == F.col(f"b_{k}"))
     n = F.least(F.size("a_literals"), F.size("b_literals"))
     both = F.arrays_zip(F.slice("a_literals", 1, n).alias("x"), F.slice("b_literals", 1, n).alias("y"))
-    pairs = a.join(b, on).withColumn("differ", F.filter(F.when(n > 0, both).otherwise(F.array().cast("array<struct<x:string,y:string>>")), lambda z: z["x"] != z["y"]))
+    pairs = candidate_pairs(signatures).join(a, F.col("a") == F.col("a_template")).join(b, F.col("b") == F.col("b_template"))
+    pairs = pairs.withColumn("differ", F.filter(F.when(n > 0, both).otherwise(F.array().cast("array<struct<x:string,y:string>>")), lambda z: z["x"] != z["y"]))
     hard = F.exists("differ", lambda z: ~fuzzy(z["x"], z["y"]))
     ratio = F.greatest("a_n_files", "b_n_files") / F.least("a_n_files", "b_n_files")
     shared, union = F.size(F.array_intersect("a_literals", "b_literals")), F.size(F.array_union("a_literals", "b_literals"))
@@ -89,7 +132,7 @@ def variant_pairs(signatures: DataFrame, least: int = LEAST_SCORE) -> DataFrame:
         - F.when(hard, 60).when(F.size("differ") > 0, 10).otherwise(0) + F.when(ratio <= 2, 10).otherwise(0) + F.when(j >= 0.6, 20).when(j >= 0.4, 10).when(j < 0.2, -20).otherwise(0)
     )
     pairs = pairs.withColumn("score", F.when(hard, F.least(score, F.lit(HARD_MISMATCH))).otherwise(score))
-    return pairs.where(F.col("score") >= least).select(F.col("a_template").alias("a"), F.col("b_template").alias("b"), "score")
+    return pairs.where(F.col("score") >= least).select("a", "b", "score")
 
 
 def least_reachable(edges: DataFrame) -> DataFrame:
