@@ -74,7 +74,7 @@ def test_lm_sums_in_rounds(spark, texts, monkeypatch):
 
 def test_lm_groups_by_share():
     plan = pitman_yor.Plan(5000, 3, hot=(b"a", b"b"), shares=(0.05, 0.0003))
-    assert plan.groups == {b"a": 500, b"b": 3} and len({plan.bucket(b"a", g) for g in range(500)}) == 500
+    assert plan.groups == {b"a": 1024, b"b": 24} and len({plan.bucket(b"a", g) for g in range(1024)}) == 1024
     assert pitman_yor.Plan(1, 3, hot=(b"a",), shares=(0.5,)).groups == {b"a": 1}
 
 
