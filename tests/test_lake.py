@@ -146,3 +146,19 @@ def test_deadlines(spark):
     assert time.time() - began < 30
     assert [got[k][0] for k in range(9)] == ["ok", "timeout", "ok", "crash", "ok", "error", "ok", "timeout", "ok"]
     assert [got[k][1] for k in (0, 2, 4, 6, 8)] == [1, 2, 3, 0, 0] and got[3][2] == "exit code -9" and got[1][2] == "no answer within 1 s"
+
+
+def test_streamed_outputs_appear_together(spark, tmp_path):
+    from millrace.operators.contract import ContractColumn
+    from millrace.streaming.contract_stream import KEPT, done_batches, run_available, visible
+
+    src, out = spark.createDataFrame([(1, "1.5"), (2, "x")], "id long, amount string"), f"{tmp_path}/out"
+    columns = [ContractColumn("id", "bigint", False), ContractColumn("amount", "decimal(5,1)", False)]
+    run = lambda: run_available(spark, f"{tmp_path}/in", src.schema, columns, ["id", "amount"], out, "j")
+    for k in range(KEPT + 2):
+        src.write.mode("append").parquet(f"{tmp_path}/in")
+        valid, bad = run()
+        assert (valid.count(), bad.count()) == (k + 1, k + 1)
+    assert done_batches(spark, out) == list(range(2, KEPT + 2))
+    src.write.parquet(f"{out}/valid/batch=99")  # half of a batch that broke off
+    assert [df.count() for df in visible(spark, out)] == [KEPT + 2, KEPT + 2]
