@@ -128,9 +128,10 @@ def upsert(before: DataFrame, now: DataFrame, key: str, compare: list[str], clea
     )
 
 
-def renames(before: DataFrame, now: DataFrame, uid: str = "uid", path: str = "rel_path") -> DataFrame:
-    """Same identity under another path."""
-    return before.select(uid, F.col(path).alias("old_path")).join(now.select(uid, F.col(path).alias("new_path")), uid).where("old_path <> new_path")
+def renames(before: DataFrame, now: DataFrame, uid: str = "uid", path: str = "rel_path", same: tuple[str, ...] = ()) -> DataFrame:
+    """Same identity under another path. A file system gives the identity of a removed file to a new one; the columns `same` (size and time, say) tell these apart."""
+    keys = [uid, *same]
+    return before.select(*keys, F.col(path).alias("old_path")).join(now.select(*keys, F.col(path).alias("new_path")), keys).where("old_path <> new_path").drop(*same)
 
 
 def to_process(candidates: DataFrame, done: DataFrame, file: str = "file_id", key: str = "key") -> DataFrame:

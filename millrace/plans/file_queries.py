@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from millrace.operators import contract, lifecycle, manifest, nested, parsers, positions, shred
+from millrace.operators import catalog, contract, lifecycle, manifest, nested, parsers, positions, shred
 from millrace.operators.contract import ContractColumn
 from millrace.operators.lifecycle import MOVES, STATES
 from millrace.operators.staging import shared_folder
 from millrace.plans.queries import ORACLE_SQL, query, table, texts_of_orders
-from millrace.sources.walk import WalkOptions, local_path, walk, write_files
+from millrace.sources.walk import WalkOptions, local_path, move_files, walk, write_files
 from millrace.streaming.generation_stream import current, process_generations
 from millrace.streaming.inference_stream import infer_until_resolved
 
@@ -33,14 +33,18 @@ def folder(spark: SparkSession, label: str) -> str:
 # ---- walks
 
 
-def page_tree(spark: SparkSession, sf: str) -> str:
-    """Pages written as files below folders of their urls' hosts and languages; every seventh below a hidden folder, every eleventh below one that walks pass over."""
-    p = table(spark, sf, "pages")
+def named_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as files below folders of their urls' hosts and languages; every seventh below a hidden folder, every eleventh below one that walks pass over."""
     steps = F.split("url", "/")
     where = F.when(F.col("page_id") % 7 == 0, ".drafts/").when(F.col("page_id") % 11 == 0, "node_modules/").otherwise("")
+    path = F.concat(F.array_join(F.reverse(F.split(steps[2], r"\.")), "/"), F.lit("/"), where, steps[3], F.lit("/"), F.col("page_id").cast("string"), F.lit(".html"))
+    return table(spark, sf, "pages").select("page_id", path.alias("rel_path"), F.col("html").alias("content"), F.lit(FIRST).alias("time"))
+
+
+def page_tree(spark: SparkSession, sf: str) -> str:
+    """named_pages() written; the folder's path."""
     root = folder(spark, "tree")
-    named = p.select(F.concat(F.array_join(F.reverse(F.split(steps[2], r"\.")), "/"), F.lit("/"), where, steps[3], F.lit("/"), F.col("page_id").cast("string"), F.lit(".html")).alias("rel_path"), F.col("html").alias("content"), F.lit(FIRST).alias("time"))
-    write_files(named, root, mtime="time").write.format("noop").mode("overwrite").save()
+    write_files(named_pages(spark, sf), root, mtime="time").write.format("noop").mode("overwrite").save()
     return root
 
 
@@ -62,6 +66,44 @@ def walked_folders(spark, sf):
     return files.groupBy("parent_path").agg(F.count("*").alias("n_files"), F.sum("size").alias("n_bytes"))
 
 
+#: What becomes of a page between two scans.
+_FATE = "case when page_id % 5 = 0 then 'changed' when page_id % 7 = 3 then 'moved' when page_id % 9 = 4 then 'deleted' else 'unchanged' end"
+
+
+def two_scans(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
+    """A lake with the catalog of a page tree, committed, and a second scan after files were written anew, moved and removed."""
+    root, lake = page_tree(spark, sf), folder(spark, "catalog")
+    scan = lambda: walk(spark, root, budget=500)[0].select("rel_path", "size", "mtime", "uid")
+    first = scan().withColumn("status", F.lit("processed"))
+    manifest.commit(spark, lake, {"catalog": (first, "error")}, "scan-1")
+    p = named_pages(spark, sf).withColumn("fate", F.expr(_FATE))
+    again = p.where("fate = 'changed'").select("rel_path", F.concat("content", F.lit("x")).alias("content"), F.lit(SECOND).alias("time"))
+    write_files(again, root, mtime="time").write.format("noop").mode("overwrite").save()
+    gone = p.where("fate in ('moved', 'deleted')").select("rel_path", F.when(F.col("fate") == "moved", F.concat(F.lit("moved/"), F.col("page_id").cast("string"), F.lit(".html"))).alias("new_path"))
+    move_files(gone, root).write.format("noop").mode("overwrite").save()
+    return lake, scan()
+
+
+_SCANS = f"""scans as (select *, host || aside || part || page_id || '.html' as place, {_FATE} as fate, aside <> 'node_modules/' as seen from {_TREE})"""
+
+
+@query(f"""with {_SCANS} select place as rel_path, case fate when 'moved' then 'deleted' else fate end as state, case fate when 'unchanged' then 'processed' when 'changed' then 'pending' else 'deleted' end as status,
+  strlen(html) + (fate = 'changed')::int as size from scans where seen union all select 'moved/' || page_id || '.html', 'new', 'pending', strlen(html) from scans where fate = 'moved'""")
+def rescanned_catalog(spark, sf):
+    """A second scan merged into the committed catalog, and committed in its place."""
+    lake, now = two_scans(spark, sf)
+    merged = catalog.upsert(manifest.read(spark, lake, "catalog"), now, "rel_path", ["size", "mtime", "uid"])
+    manifest.commit(spark, lake, {"catalog": (merged, "replace")}, "scan-2")
+    return manifest.read(spark, lake, "catalog").select("rel_path", "state", "status", "size")
+
+
+@query(f"with {_SCANS} select place as old_path, 'moved/' || page_id || '.html' as new_path from scans where seen and fate = 'moved'")
+def moved_files(spark, sf):
+    """Files found under another path by their device and inode, which others that were written meanwhile may have taken over."""
+    lake, now = two_scans(spark, sf)
+    return catalog.renames(manifest.read(spark, lake, "catalog"), now, same=("size", "mtime")).select("old_path", "new_path")
+
+
 # ---- generations
 
 

@@ -1,4 +1,4 @@
-"""Registered queries of parsers under contracts, previews, ragged tables, column samples, globs in parts, contract changes and widening appends."""
+"""Registered queries of parsers under contracts, previews, ragged tables, column samples, globs in parts, contract changes, widening appends, zones and delimiters."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from millrace.operators.contract import ContractColumn
 from millrace.operators.staging import staged
 from millrace.plans.file_queries import folder
 from millrace.plans.queries import CATALOG, files, query, table
-from millrace.sources import lines
+from millrace.sources import fix, lines
 from millrace.sources.walk import write_files
 
 # ---- parsers under contracts
@@ -166,3 +166,24 @@ def widened_append(spark, sf):
         got = manifest.read(spark, root, "lines")
         return got.groupBy(F.col("line").cast("int").alias("l_linenumber")).agg(F.count("*").alias("n"), F.sum("key").alias("keys"), F.sum("quantity").cast("long").alias("quantity"))
     raise AssertionError("text was added to numbers")
+
+
+# ---- zones and delimiters
+
+
+@query("""select event_id, case when event_id % 4 < 2 then date_trunc('second', ts) end as "at", case event_id % 4 when 2 then 'schema: value does not match format ''timestamp'' for ''at''' when 3 then 'schema: value does not match format ''timestamp'' for ''at''' end as _cf_row_error from events""")
+def zoned_timestamps(spark, sf):
+    """Instants of a zone from texts: offsets that are the zone's, one that is not, and none."""
+    k = F.col("event_id") % 4
+    text = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.when(k == 0, "Z").when(k == 1, "+00:00").when(k == 2, "+02:00").otherwise(""))
+    done = contract.enforce(table(spark, sf, "events").select("event_id", text.alias("at")), [ContractColumn("event_id", "bigint", False), ContractColumn("at", "timestamp", zone="UTC")])
+    return done.withColumn("at", F.to_utc_timestamp("at", F.current_timezone()).cast("timestamp_ntz"))
+
+
+@query("""select o_orderkey, 0 as message_index, unnest(['8', '35', '34', '11']) as tag, unnest(['FIX.4.4', 'D', cast(o_orderkey as varchar), 'A' || o_custkey]) as value, unnest([1, 2, 3, 4]) as position from orders""")
+def fix_delimiters(spark, sf):
+    """Messages whose fields are parted by SOH, a pipe, ^A or a space."""
+    o, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    mark = F.when(k % 4 == 0, fix.SOH).when(k % 4 == 1, "|").when(k % 4 == 2, "^A").otherwise(" ")
+    line = F.concat(F.lit("8=FIX.4.4"), mark, F.lit("35=D"), mark, F.lit("34="), k.cast("string"), mark, F.lit("11=A"), F.col("o_custkey").cast("string"), mark)
+    return fix.tags(o.select("o_orderkey", line.alias("line")))

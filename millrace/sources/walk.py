@@ -169,3 +169,28 @@ def write_files(df: DataFrame, root: str, rel_path: str = "rel_path", content: s
 
     time = F.col(mtime).cast("long") if mtime else F.lit(None).cast("long")
     return df.select(F.col(rel_path).alias("rel_path"), F.col(content).alias("content"), time.alias("mtime")).mapInArrow(run, "rel_path string, size long")
+
+
+def move_files(df: DataFrame, root: str, rel_path: str = "rel_path", new_path: str = "new_path") -> DataFrame:
+    """Moves files below root to other paths, or removes them where the new path is null; gives rel_path and whether the file was there. Done when the result is computed; a task tried again finds nothing left to do."""
+    base = local_path(root)
+    if base is None:
+        raise ValueError("files are moved below a mounted folder")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                at = os.path.join(base, r["rel_path"])
+                try:
+                    if r["new_path"] is None:
+                        os.remove(at)
+                    else:
+                        os.makedirs(os.path.dirname(os.path.join(base, r["new_path"])), exist_ok=True)
+                        os.replace(at, os.path.join(base, r["new_path"]))
+                    out.append((r["rel_path"], True))
+                except FileNotFoundError:
+                    out.append((r["rel_path"], False))
+            yield from in_batches(iter(out), pa.schema([("rel_path", pa.string()), ("done", pa.bool_())]))
+
+    return df.select(F.col(rel_path).alias("rel_path"), F.col(new_path).alias("new_path")).mapInArrow(run, "rel_path string, done boolean")
