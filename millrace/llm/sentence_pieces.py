@@ -134,7 +134,11 @@ def decode_pieces(df: DataFrame, ids: str = "ids", keep: tuple[str, ...] = ("doc
 
 
 def digest_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """encode_pieces with a digest in place of the ids (SHA-256 of little-endian 32-bit ids), and whether decoding gives the text back."""
+    """encode_pieces with a digest in place of the ids (SHA-256 of little-endian 32-bit ids), and whether decoding gives the text back.
+
+    A null or empty text has no pieces, scores 0 and comes back. Null ids and repeated rows give a row each; an empty table
+    an empty one; other columns are not read. Texts are encoded whole.
+    """
 
     def make() -> Callable[[list], list]:
         own = codec(vocabulary)
