@@ -84,6 +84,13 @@ def redact_truncate(c: Column, length: int) -> Column:
     return F.when(F.length(c) > length, F.concat(F.substring(c, 1, length), F.lit("..."))).otherwise(c)
 
 
+def within_bytes(c: Column, most: int) -> Column:
+    """The longest beginning of a text that takes no more than `most` bytes as UTF-8; no character is cut in two."""
+    raw = c.cast("binary")
+    cuts = [F.substring(raw, 1, max(0, most - k)).cast("string") for k in range(4)]
+    return F.when(F.octet_length(c) <= most, c).otherwise(F.coalesce(*[F.when(F.is_valid_utf8(x), x) for x in cuts]))
+
+
 def redacted_json(text: Column, length: int | None = None, depth: int = 3) -> Column:
     """JSON with its strings cut to `length`, or, without one, strings and numbers as digests; arrays and objects inside are treated alike, `depth` levels deep, deeper ones as one digest. Booleans and nulls pass."""
     kind = F.regexp_extract(F.schema_of_variant(F.try_parse_json(text)), "^([A-Z]+)", 1)

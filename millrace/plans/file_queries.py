@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from millrace.functions.text import within_bytes
 from millrace.operators import catalog, contract, lifecycle, manifest, nested, parsers, positions, shred
 from millrace.operators.contract import ContractColumn
 from millrace.operators.lifecycle import MOVES, STATES
@@ -232,6 +233,12 @@ def late_page(spark, sf):
     return positions.page(df, ["l_shipdate", "l_orderkey", "l_linenumber"], 2900, 100).drop("l_shipdate")
 
 
+@query("""select doc_id, left(text, (select max(i) from unnest(range(0, 101)) t(i) where strlen(left(text, i)) <= 100)) as cut, strlen(text) > 100 as truncated from documents""")
+def cut_texts(spark, sf):
+    """Texts within a budget of 100 bytes each, with a flag for those cut short."""
+    return table(spark, sf, "documents").select("doc_id", within_bytes(F.col("text"), 100).alias("cut"), (F.octet_length("text") > 100).alias("truncated"))
+
+
 # ---- life cycle
 
 

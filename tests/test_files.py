@@ -176,6 +176,16 @@ def test_budgets(spark):
         positions.budgeted(df, ["k"], -1, 5)
 
 
+def test_texts_within_bytes(spark):
+    from millrace.functions.text import within_bytes
+
+    texts = ["", "abc", "aé", "é" * 5, "漢字", "😀😀", None, "a😀b"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for most in range(9):
+        want = [None if t is None else next(t[:i] for i in range(len(t), -1, -1) if len(t[:i].encode()) <= most) for t in texts]
+        assert [r[0] for r in df.select(within_bytes(F.col("t"), most)).collect()] == want, most
+
+
 def test_pages(spark):
     df = spark.range(25)
     got = [[(r.id, r.position, r.next_cursor) for r in positions.page(df, ["id"], s, 10).orderBy("id").collect()] for s in (0, 10, 20, 30)]
