@@ -62,7 +62,7 @@ SENTENCES = {
 }
 
 
-#: A paragraph of further languages, none of which the bands were measured on.
+#: A paragraph of further languages. The bands of scripts were first measured without them, and widened for those of vi, cs, fa, ur, zh2 and mr that they rejected or all but did.
 MORE = {
     "vi":"Cây cầu cũ đã bị đóng cửa vào tuần trước để sửa chữa. Em gái tôi đã mua một ngôi nhà nhỏ gần sông. Nông dân mong đợi một vụ mùa bội thu sau những cơn mưa dài.",
     "cs":"Starý most byl minulý týden uzavřen kvůli opravám. Moje sestra si koupila malý dům u řeky. Zemědělci očekávají po dlouhém dešti dobrou úrodu. Nikdo nevěděl, proč vlak zastavil mezi dvěma stanicemi.",
