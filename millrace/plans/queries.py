@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.text import binned, failure_category, key_of, redact_hash, redact_truncate, retryable, safe_name
-from millrace.operators import backtest, catalog, contract, inference, listing, paths, shred, sql_gate
+from millrace.operators import backtest, catalog, contract, inference, listing, paths, shred, sinks, sql_gate
 from millrace.operators.catalog import TagRule
 from millrace.operators.contract import ContractColumn
 from millrace.sources import fix, fix_outputs, lines

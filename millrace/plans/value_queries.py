@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import values
 from millrace.functions.text import key_of
-from millrace.operators import backtest, catalog, contract, listing, samples, shred, sinks
+from millrace.operators import backtest, catalog, contract, listing, samples, shred, sinks, sql_gate
 from millrace.operators.contract import ContractColumn
 from millrace.operators.staging import shared_folder
 from millrace.plans.queries import CATALOG, ENFORCED, EVENTS, RUNS, VIOLATION, enforced_events, files, query, runs, table
@@ -324,6 +324,6 @@ def views_over_outputs(spark, sf):
     root = f"{shared_folder(spark)}/views-{uuid.uuid4().hex}"
     valid, bad = contract.split(enforced_events(spark, sf), "job-1")
     sinks.register_views(spark, sinks.write_all({"events": valid, "events_quarantine": bad}, root, "job-1"))
-    return sinks.read_only(spark, """
+    return sql_gate.read_only(spark, """
         select v.event_type, v.n_rows, coalesce(q.n_quarantined, 0) as n_quarantined from (select event_type, count(*) as n_rows from outputs_events group by 1) v
         left join (select event_type, count(*) as n_quarantined from outputs_events_quarantine group by 1) q using (event_type)""", 1000)
