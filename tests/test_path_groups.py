@@ -6,7 +6,8 @@ import time
 
 from pyspark.sql import functions as F
 
-from millrace.operators import path_groups
+from millrace.functions.text import GUID
+from millrace.operators import path_groups, structure
 from millrace.operators.path_groups import candidate_pairs, fuzzy, signatures
 
 
@@ -39,3 +40,10 @@ def test_many_templates_of_one_initial_string(spark):
     assert own.count() == 100_001
     pairs = candidate_pairs(own).count()
     assert pairs < 11_000_000 and time.time() - began < 240
+
+
+def test_kinds_of_a_path_are_found_once(spark):
+    """However many parts a path has, the plan asks for their kinds in one place; fields are numbered within their kind."""
+    df = spark.createDataFrame([("2024-01-02/" + "/".join(f"a{k}_{10 + k}.x" for k in range(40)),)], "p string").select(structure.pattern_of(F.col("p")).alias("p"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count(GUID) == 1
+    assert df.first().p == "<date:date>/" + "/".join(f"a{k}_<number{'' if not k else f'_{k + 1}'}:int>.x" for k in range(40))
