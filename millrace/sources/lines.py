@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -19,12 +21,23 @@ def read_table(spark: SparkSession, path: str, kind: str, separator: str = ",")
     if kind in ("csv", "tsv"):
         return spark.read.csv(path, header=True, sep="\t" if kind == "tsv" else separator, mode="PERMISSIVE")
     if kind == "json":
-        return spark.read.json(path, multiLine=True)
+        schema = whole_file_schema(spark, path)
+        return (spark.read.schema(schema) if schema.names else spark.read).json(path, multiLine=True)
     if kind == "ndjson":
         return spark.read.json(path)
     return spark.read.format(kind).load(path)
 
 
+def whole_file_schema(spark: SparkSession, path: str) -> StructType:
+    """Schema of JSON files that hold a value each, inferred from all of them as texts.
+
+    Spark's own inference of multi-line JSON hands each file the paths of all, and packs small files into one task; contents
+    read as rows are dealt over tasks by size and number of files.
+    """
+    contents = spark.read.format("binaryFile").load(path).select("content").rdd
+    return spark.read.json(contents.map(lambda r: bytes(r["content"]).decode(json.detect_encoding(r["content"]), "replace"))).schema
+
+
 def read_flexible(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
     """CSV with a header, of lines of any width, all columns text: what a short line lacks is null, what a long one has beyond the header is the array `_rest` (null for others). The header is the first file's."""
     own = {"header": True, "sep": separator, "escape": '"'}
