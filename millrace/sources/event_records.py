@@ -24,8 +24,9 @@ def at(v: Column, *keys: str) -> Column:
 
 
 def kind(v: Column) -> Column:
-    """OBJECT, ARRAY, STRING, VOID (a JSON null), BIGINT, ...; null for no value."""
-    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    """OBJECT, ARRAY, STRING, VOID (a JSON null), BIGINT, ...; null for no value. Objects and lists are looked at one level deep: the schema of all they hold grows with it."""
+    scalar = F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    return F.when(F.try_variant_get(v, "$", "map<string,variant>").isNotNull(), "OBJECT").when(F.try_variant_get(v, "$", "array<variant>").isNotNull(), "ARRAY").otherwise(scalar)
 
 
 def plain(v: Column) -> Column:

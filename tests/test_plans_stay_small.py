@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from millrace.functions import text
+from millrace.sources import event_records
 
 #: JSON, cut to four letters two levels deep, and as digests one level deep.
 JSON = [
@@ -21,3 +22,12 @@ def test_json_is_parsed_once_a_level(spark):
     df = spark.createDataFrame([(j,) for j, _, _ in JSON], "j string").select("j", text.redacted_json(F.col("j"), 4, depth=2).alias("cut"), text.redacted_json(F.col("j"), depth=1).alias("hashed"))
     assert df.select("cut")._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
     assert sorted(map(str, df.collect())) == sorted(map(str, spark.createDataFrame(JSON, "j string, cut string, hashed string").collect()))
+
+
+def test_kinds_of_values_without_the_schema_of_what_they_hold(spark):
+    """A list's or an object's kind is told by itself; only other values' schemas are made."""
+    values = {'{"a":[{"b":1}]}': "OBJECT", "{}": "OBJECT", "[[1],{}]": "ARRAY", "[]": "ARRAY", '"x"': "STRING", '"{}"': "STRING", "null": "VOID", "12": "BIGINT", "1.5": "DECIMAL", "1e300": "DOUBLE", "true": "BOOLEAN", "{": None, None: None}
+    df = spark.createDataFrame([(j,) for j in values], "j string").select("j", event_records.kind(F.try_parse_json("j")).alias("k"))
+    assert {r.j: r.k for r in df.collect()} == values
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("OBJECT") < plan.index("schemaOfVariant")
