@@ -73,7 +73,7 @@ def numbered(log: DataFrame, file: str, order: list[str], status: str) -> DataFr
 
 def runs_of(df: DataFrame, block: int, *columns: str) -> DataFrame:
     """_file, _up and xs: blocks of consecutive rows, in order, no longer than `block`."""
-    return df.groupBy("_file", F.floor(F.col("_nth") / block).alias("_up")).agg(F.array_sort(F.collect_list(F.struct("_nth", *columns))).alias("xs"))
+    return df.groupBy("_file", F.floor(F.col("_nth") / block).alias("_up")).agg(F.sort_array(F.collect_list(F.struct("_nth", *columns))).alias("xs"))
 
 
 def levels(changes: DataFrame, block: int) -> list[DataFrame]:

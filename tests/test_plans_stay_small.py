@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from millrace.functions import text
+from millrace.operators import lifecycle
 from millrace.sources import event_records
 
 #: JSON, cut to four letters two levels deep, and as digests one level deep.
@@ -31,3 +32,11 @@ def test_kinds_of_values_without_the_schema_of_what_they_hold(spark):
     assert {r.j: r.k for r in df.collect()} == values
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("OBJECT") < plan.index("schemaOfVariant")
+
+
+def test_blocks_are_sorted_without_a_comparator(spark):
+    """array_sort calls a lambda for every two changes; places are unique, so their natural order is the same."""
+    df = spark.createDataFrame([("f", n, n % 3) for n in (3, 1, 0, 2)], "_file string, _nth long, _code int")
+    got = lifecycle.runs_of(df, 3, "_code")
+    assert "lambda" not in got._jdf.queryExecution().analyzed().toString()
+    assert sorted((r._up, [x._nth for x in r.xs]) for r in got.collect()) == [(0, [0, 1, 2]), (1, [3])]
