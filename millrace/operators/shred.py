@@ -107,7 +107,7 @@ def write_line_files(sharded: DataFrame, root: str, line: str, order: list[str],
     rows = staged(with_positions(sized, ["shard", "_alone", *order], "_line_at", F.col("_size"), "_upto"), "lines")
     both = with_group(rows, ["shard", "_alone"], {"_from": F.min(F.col("_upto") - F.col("_size")), "_first": F.min("_line_at")})
     slot = F.when(F.col("_alone"), F.col("_line_at") - F.col("_first")).otherwise(F.floor((F.col("_upto") - F.col("_size") - F.col("_from")) / (room - largest + 1)))
-    held = F.array_sort(F.collect_list(F.struct("_line_at", F.coalesce(F.col(line), F.lit("")).alias("line"))))
+    held = F.sort_array(F.collect_list(F.struct("_line_at", F.coalesce(F.col(line), F.lit("")).alias("line"))))
     files = both.groupBy("shard", "_alone", slot.alias("slot")).agg(held.alias("xs"))
     name = F.concat(F.when(F.col("_alone"), "long-").otherwise("part-"), F.lpad(F.col("slot").cast("string"), 6, "0"))
     safe = F.replace(F.url_encode("shard"), F.lit("*"), F.lit("%2A"))
