@@ -15,6 +15,7 @@ import pytest
 import xxhash
 
 from millrace.llm import decontaminate, html_text, licenses, pitman_yor, quality, registry, secrets, sentence_pieces, simhash_dedup, token_count
+from millrace.llm.common import encoded
 
 SF = "/root/testdata/sf0.001"
 
@@ -181,6 +182,23 @@ def test_lm_classes_grow():
     assert pitman_yor.word_class(b"walked", 5) >> 5 == pitman_yor.word_class(b"united", 0)
 
 
+def test_lm_coding_by_kernels():
+    """Tokens, classes and distinct pairs as found word by word, for odd white space, words of every length and texts without words."""
+    texts = [None, "", " \t\x0b ", "A\x1cb  \u00a0\u0130 x", "\rUnited walked \u00e9 ab ABC abcd\n", "x x\x00 \ud800z ab"]
+    block = pitman_yor.Block(0)
+    for d, text in enumerate(texts):
+        block.add(d, text)
+    words, tokens = block.coded()
+    want = [[*encoded(t).lower().split(), b""] for t in texts]
+    assert [words[i] for i in tokens.tolist()] == [w for ws in want for w in ws] and block.sizes.tolist() == [len(ws) for ws in want]
+    assert words == list(dict.fromkeys([b"", *[w for ws in want for w in ws]]))
+    for bits in (0, 5, 10):
+        assert pitman_yor.word_classes(words, bits).tolist() == [pitman_yor.word_class(w, bits) for w in words]
+    rng = np.random.default_rng(5)
+    for keys in (rng.integers(0, 50, 400), rng.integers(0, 2**62, 400), np.zeros(0, np.int64), np.array([2**62])):
+        assert all(np.array_equal(x, y) for x, y in zip(pitman_yor.distinct(keys), np.unique(keys, return_inverse=True)))
+
+
 def naive_fingerprint(text):
     words = text.encode().lower().split()
     if not words:
