@@ -35,7 +35,8 @@ def infer_until_resolved(
     """Reads a stream batch by batch until all columns are resolved and min_rows were read, or max_rows were (None: no limit), or the input ends.
 
     Limits are looked at after each batch, so a batch counts whole; its size is the source's (maxFilesPerTrigger). A column of
-    nulls alone is never resolved. Given a checkpoint, a stream that was stopped goes on where it was. The driver holds a row
+    nulls alone is never resolved. A batch's rows are dealt over all cores before values are judged, so that few files, or
+files of one row group, are not few tasks' work. Given a checkpoint, a stream that was stopped goes on where it was. The driver holds a row
     a column.
     """
     spark = stream.sparkSession
@@ -63,7 +64,8 @@ def infer_until_resolved(
             said["stopped"] = "resolved"
 
     at = checkpoint or f"{shared_folder(spark)}/inference-{uuid.uuid4().hex}"
-    query = eliminated(masks(stream, columns)).writeStream.outputMode("update").foreachBatch(look).option("checkpointLocation", at).trigger(availableNow=True).start()
+    dealt = stream.select(*columns).repartition(spark.sparkContext.defaultParallelism)
+    query = eliminated(masks(dealt, columns)).writeStream.outputMode("update").foreachBatch(look).option("checkpointLocation", at).trigger(availableNow=True).start()
     while not query.awaitTermination(LOOK):
         if said["stopped"]:
             query.stop()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.operators import contract, inference, nested, sql_gate
 from millrace.operators.contract import ContractColumn, SchemaMismatch
 from millrace.sources import event_records
+from millrace.streaming import inference_stream
 from millrace.streaming.inference_stream import infer_until_resolved
 
 READS = [
@@ -93,6 +94,22 @@ def test_streamed_inference_stops(spark, tmp_path):
     assert hinted.types.first().resolved == "float"
 
 
+def test_a_streamed_file_is_many_tasks_work(spark, tmp_path, monkeypatch):
+    """The rows of one file of one row group are dealt over all cores before their values are judged."""
+    at, tasks = str(tmp_path / "in"), str(tmp_path / "tasks")
+    df = spark.range(2000).select(F.col("id").cast("string").alias("n"))
+    df.coalesce(1).write.parquet(at)
+
+    def judged(dealt, columns):
+        seen = dealt.withColumn("task", F.spark_partition_id())
+        seen.select("task").writeStream.format("parquet").option("checkpointLocation", tasks + "-log").trigger(availableNow=True).start(tasks).awaitTermination()
+        return inference.masks(dealt, columns)
+
+    monkeypatch.setattr(inference_stream, "masks", judged)
+    found = infer_until_resolved(spark.readStream.schema(df.schema).parquet(at), ["n"], max_rows=None)
+    assert found.rows == 2000 and spark.read.parquet(tasks).distinct().count() == spark.sparkContext.defaultParallelism > 1
+
+
 def test_a_stopped_stream_goes_on(spark, tmp_path):
     df = spark.range(100).select(F.col("id").cast("string").alias("n"))
     at, checkpoint = str(tmp_path / "in"), str(tmp_path / "checkpoint")
