@@ -97,15 +97,17 @@ def _fits_format(c: ContractColumn) -> Column:
 
 
 def enforce(df: DataFrame, columns: list[ContractColumn]) -> DataFrame:
-    """df in the contract's types with `_cf_row_error`: messages of bad values and forbidden nulls, or null. One projection."""
+    """df in the contract's types with `_cf_row_error`: messages of bad values and forbidden nulls, or null. One projection, below it one in which each nested column is rewritten once."""
     check_shape(df, columns)
     kinds = dict(df.dtypes)
+    rewritten = {c.name: f"__cf_rewritten_{i}" for i, c in enumerate(columns) if is_nested(c)}
+    parts = [nested.rewrite(F.col(c.name), df.schema[c.name].dataType, nested.type_of(c.type), F.lit(c.name), _leaf, not c.nullable).alias(rewritten[c.name]) for c in columns if is_nested(c)]
+    df = df.select(*df.columns, *parts) if parts else df
     messages: list[Column] = [F.when(F.col(ERROR) != "", F.col(ERROR))] if ERROR in df.columns else []
     cast = {c.name: _cast(c, kinds[c.name]) for c in columns if not is_nested(c)}
     for c in columns:
         if is_nested(c):
-            have = df.schema[c.name].dataType
-            cast[c.name], errors = nested.rewrite(F.col(c.name), have, nested.type_of(c.type), F.lit(c.name), _leaf, not c.nullable)
+            cast[c.name], errors = F.col(rewritten[c.name])["v"], F.col(rewritten[c.name])["e"]
             messages.append(F.when(F.size(errors) > 0, F.array_join(errors, "; ")))
             continue
         raw, value = F.col(c.name), cast[c.name]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, DecimalType, DoubleType, FloatType, IntegralType, LongType, MapType, NullType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, DecimalType, DoubleType, FloatType, IntegralType, LongType, MapType, NullType, StringType, StructType
 
 COMPATIBLE, NULL_ONLY, CAST, MISMATCH = "compatible", "null_only", "cast", "mismatch"
 #: Kinds of type that are read from text by a format, and those that need none.
@@ -60,30 +60,45 @@ def _none() -> Column:
     return F.array().cast("array<string>")
 
 
-def rewrite(v: Column, have: DataType, want: DataType, path: Column, leaf: Callable[[Column, DataType, DataType], Column], required: bool = False) -> tuple[Column, Column]:
-    """A value in the wanted type, and messages (array<string>) that name the paths of bad parts, such as `items[3].price`.
+def _once(x: Column, then: Callable[[Column], Column]) -> Column:
+    """then(x), where x is evaluated once however often `then` names it; a column by itself stands anew in each place that names it, so work would double with every level of lists."""
+    return F.transform(F.array(x), then)[0]
+
+
+def rewrite(v: Column, have: DataType, want: DataType, path: Column, leaf: Callable[[Column, DataType, DataType], Column], required: bool = False) -> Column:
+    """struct<v, e>: a value in the wanted type, and messages (array<string>) that name the paths of bad parts, such as `items[3].price`.
 
     leaf(value, have, want) casts what is no list or struct, and gives null for what it can't. Lists keep their length, and a
-    part that is wrong becomes null. A null list or struct has no parts; fields that are not nullable must not be null.
+    part that is wrong becomes null. A null list or struct has no parts; fields that are not nullable must not be null. Each part
+    is rewritten once, however deep it lies.
     """
     missing = F.array(F.concat(F.lit("schema: null not allowed in '"), path, F.lit("'"))) if required else _none()
+    both = lambda value, errors: F.struct(value.alias("v"), errors.alias("e"))
     if isinstance(have, StructType) and isinstance(want, StructType):
         types = {f.name: f.dataType for f in have}
-        parts: list[tuple[StructField, Column, Column]] = []
-        for f in want:
-            parts.append((f, *rewrite(v.getField(f.name), types[f.name], f.dataType, F.concat(path, F.lit(f".{f.name}")), leaf, not f.nullable)))
-        value = F.when(v.isNotNull(), F.struct(*[x.alias(f.name) for f, x, _ in parts]))
-        return value, F.when(v.isNull(), missing).otherwise(F.concat(*[e for _, _, e in parts]) if parts else _none())
+        if not want.fields:
+            return both(F.when(v.isNotNull(), F.struct()), F.when(v.isNull(), missing).otherwise(_none()))
+        parts = [rewrite(v.getField(f.name), types[f.name], f.dataType, F.concat(path, F.lit(f".{f.name}")), leaf, not f.nullable).alias(f"_{i}") for i, f in enumerate(want)]
+
+        def joined(s: Column) -> Column:
+            value = F.struct(*[s[f"_{i}"]["v"].alias(f.name) for i, f in enumerate(want)])
+            return both(F.when(v.isNotNull(), value), F.when(v.isNull(), missing).otherwise(F.concat(*[s[f"_{i}"]["e"] for i in range(len(parts))])))
+
+        return _once(F.struct(*parts), joined)
     if isinstance(have, ArrayType) and isinstance(want, ArrayType):
 
         def item(e: Column, i: Column) -> Column:
-            value, errors = rewrite(e, have.elementType, want.elementType, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), leaf)
-            return F.struct(value.alias("v"), errors.alias("e"))
+            return rewrite(e, have.elementType, want.elementType, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), leaf)
+
+        def listed(xs: Column) -> Column:
+            return both(F.transform(xs, lambda x: x["v"]), F.when(v.isNull(), missing).otherwise(F.flatten(F.transform(xs, lambda x: x["e"]))))
 
-        both = F.transform(v, item)
-        return F.transform(both, lambda b: b["v"]), F.when(v.isNull(), missing).otherwise(F.flatten(F.transform(both, lambda b: b["e"])))
-    value = leaf(v, have, want)
+        return _once(F.transform(v, item), listed)
     text = isinstance(have, StringType)
     bad = F.concat(F.lit(f"schema: value does not match format '{want.simpleString()}' for '"), path, F.lit("'"))
-    wrong = v.isNotNull() & value.isNull() & ((v != "") if text else F.lit(True))
-    return value, F.when(wrong, F.array(bad)).when(value.isNull(), missing).otherwise(_none())
+
+    def judged(value: Column) -> Column:
+        wrong = v.isNotNull() & value.isNull() & ((v != "") if text else F.lit(True))
+        return both(value, F.when(wrong, F.array(bad)).when(value.isNull(), missing).otherwise(_none()))
+
+    return _once(leaf(v, have, want), judged)

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from millrace.functions import text
-from millrace.operators import lifecycle
+from millrace.operators import contract, lifecycle
+from millrace.operators.contract import ContractColumn
 from millrace.sources import event_records
 
 #: JSON, cut to four letters two levels deep, and as digests one level deep.
@@ -34,6 +35,19 @@ def test_kinds_of_values_without_the_schema_of_what_they_hold(spark):
     assert plan.index("OBJECT") < plan.index("schemaOfVariant")
 
 
+def test_nested_parts_are_rewritten_once(spark):
+    """A part is cast in one place of the plan, however many lists it lies in and however often the column is used."""
+    rows = [(1, [[[("2024-02-29", 1), ("", None)], None], [[("2023-02-29", 2)]]]), (2, []), (3, None)]
+    df = spark.createDataFrame(rows, "id bigint, x array<array<array<struct<day: string, n: bigint>>>>")
+    columns = [ContractColumn("id", "bigint"), ContractColumn("x", "array<array<array<struct<day: date, n: bigint NOT NULL>>>>", False)]
+    done = contract.enforce(df, columns).select("id", "_cf_row_error", F.transform(F.col("x")[0][0]["day"], lambda d: d.cast("string")).alias("days"), F.size(F.flatten("x")).alias("n"), F.col("x")[1][0][0]["day"].isNull().alias("none"))
+    assert done._jdf.queryExecution().optimizedPlan().toString().count("gettimestamp") == 1
+    found = {r.id: (r._cf_row_error, r.days, r.n, r.none) for r in done.where("id = 1").collect()}
+    assert found == {1: ("schema: null not allowed in 'x[0][0][1].n'; schema: value does not match format 'date' for 'x[1][0][0].day'", ["2024-02-29", None], 3, True)}
+    errors = {r.id: r._cf_row_error for r in contract.enforce(df, columns).where("id > 1").collect()}
+    assert errors == {2: None, 3: "schema: null not allowed in 'x'"}
+
+
 def test_blocks_are_sorted_without_a_comparator(spark):
     """array_sort calls a lambda for every two changes; places are unique, so their natural order is the same."""
     df = spark.createDataFrame([("f", n, n % 3) for n in (3, 1, 0, 2)], "_file string, _nth long, _code int")
