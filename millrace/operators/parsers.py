@@ -20,7 +20,7 @@ from millrace.operators.deadline import OK, Caller
 from millrace.operators.sinks import check_name
 from millrace.operators.staging import staged
 
-#: Rows that a task holds for one output before it passes them on.
+#: Rows that a task holds as Python objects before it packs them.
 ROWS_AT_ONCE = 4096
 PAUSE_AFTER = 3
 #: Seconds that an extractor has for a file.
@@ -32,7 +32,8 @@ def run_parser(files: DataFrame, parse: Parser, outputs: dict[str, StructType])
     """Each output's rows with `_source_path` and `_source_row` (from 0 within file and output), and `_errors` (path, error).
 
     parse(path, content) yields (output, row as a dict); keys that an output lacks are dropped and missing ones are null. Rows
-    that a file gave before it raised are kept out: a file counts whole or not at all, so its rows are held until it is done.
+    that a file gave before it raised are kept out: a file counts whole or not at all, so its rows are held until it is done,
+    packed by Arrow but for the last few.
     An unknown output is an error of the file. A null content is an empty file. All outputs come of one run, which is staged.
     """
     for name in outputs:
@@ -43,26 +44,40 @@ def run_parser(files: DataFrame, parse: Parser, outputs: dict[str, StructType])
     arrow = to_arrow_schema(tagged)
     fields = {name: schema.fieldNames() for name, schema in outputs.items()}
 
-    def one(path: str, content: bytes) -> list[dict]:
+    def one(path: str, content: bytes) -> list[pa.RecordBatch]:
+        done: list[pa.RecordBatch] = []
         rows: list[dict] = []
         counts = dict.fromkeys(fields, 0)
+        misfit: list[Exception] = []
+
+        def pack() -> None:
+            try:
+                if rows and not misfit:
+                    done.append(pa.RecordBatch.from_pylist(rows, schema=arrow))
+            except Exception as error:  # noqa: BLE001  values that do not fit their types are the file's error, unless the parser itself raises later
+                misfit.append(error)
+            rows.clear()
+
         try:
             for output, row in parse(path, content):
                 if output not in fields:
                     raise ValueError(f"unknown output {output!r}")
                 rows.append({"_path": path, "_output": output, "_row": counts[output], output: {k: row.get(k) for k in fields[output]}})
                 counts[output] += 1
-            pa.Table.from_pylist(rows, schema=arrow)  # values that do not fit their types are the file's error
-            return rows
+                if len(rows) >= ROWS_AT_ONCE:
+                    pack()
+            pack()
+            if misfit:
+                raise misfit[0]
+            return done
         except Exception as error:  # noqa: BLE001  a parser is the user's code; its failure is a row
-            return [{"_path": path, "_output": "_errors", "_error": "".join(traceback.format_exception_only(error)).strip()}]
+            failed = {"_path": path, "_output": "_errors", "_error": "".join(traceback.format_exception_only(error)).strip()}
+            return [pa.RecordBatch.from_pylist([failed], schema=arrow)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                rows = one(batch.column(0)[i].as_py(), batch.column(1)[i].as_py() or b"")
-                for at in range(0, len(rows), ROWS_AT_ONCE):
-                    yield pa.RecordBatch.from_pylist(rows[at : at + ROWS_AT_ONCE], schema=arrow)
+                yield from one(batch.column(0)[i].as_py(), batch.column(1)[i].as_py() or b"")
 
     done = staged(files.select("path", "content").mapInArrow(run, tagged), "parsed")
     found = {name: done.where(F.col("_output") == name).select(f"{name}.*", F.col("_path").alias("_source_path"), F.col("_row").alias("_source_row")) for name in outputs}

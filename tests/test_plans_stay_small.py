@@ -1,9 +1,12 @@
 """What a row's value is asked for several times is made once: results on odd values, and how often a plan makes them."""
 
+import weakref
+
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from millrace.functions import text
-from millrace.operators import contract, lifecycle
+from millrace.operators import contract, lifecycle, parsers
 from millrace.operators.contract import ContractColumn
 from millrace.sources import event_records
 
@@ -48,6 +51,32 @@ def test_nested_parts_are_rewritten_once(spark):
     assert errors == {2: None, 3: "schema: null not allowed in 'x'"}
 
 
+def test_rows_of_a_file_are_held_packed(spark):
+    """Of a long file's rows only the last few are Python objects at any time; a row that fits no type still spoils its file alone, and the parser's own error goes before it."""
+
+    def parse(path, content):
+        class Word(str):
+            __slots__ = ("__weakref__",)
+
+        alive, most = weakref.WeakSet(), 0
+        for i in range(20_000):
+            word = Word(i)
+            alive.add(word)
+            most = max(most, len(alive))
+            yield "words", {"n": "no number" if i == 5 and path != "good" else i, "word": word}
+        if path == "worst":
+            raise KeyError("end")
+        yield "most", {"n": most}
+
+    files = spark.createDataFrame([(p, b"") for p in ("good", "bad", "worst")], "path string, content binary")
+    found = parsers.run_parser(files, parse, {"words": StructType().add("n", "long").add("word", "string"), "most": StructType().add("n", "long")})
+    assert found["most"].first().n <= parsers.ROWS_AT_ONCE + 1
+    rows = found["words"].orderBy("_source_row").collect()
+    assert [(r.n, r.word, r._source_path, r._source_row) for r in rows] == [(i, str(i), "good", i) for i in range(20_000)]
+    errors = {r.path: r.error for r in found["_errors"].collect()}
+    assert errors.keys() == {"bad", "worst"} and errors["worst"] == "KeyError: 'end'" and "no number" in errors["bad"]
+
+
 def test_blocks_are_sorted_without_a_comparator(spark):
     """array_sort calls a lambda for every two changes; places are unique, so their natural order is the same."""
     df = spark.createDataFrame([("f", n, n % 3) for n in (3, 1, 0, 2)], "_file string, _nth long, _code int")
